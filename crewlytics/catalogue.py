@@ -17,9 +17,11 @@ from crewlytics.plans import (
     interns,
     location,
     movements,
+    training,
 )
 from crewlytics.sources.workforce import Workforce
 from crewlytics.twins import people as people_twins
+from crewlytics.twins import training as training_twins
 
 FAMILIES = [
     employees,
@@ -31,6 +33,7 @@ FAMILIES = [
     movements,
     family,
     interns,
+    training,
     datasets,
 ]
 
@@ -40,4 +43,4 @@ def reports() -> dict[str, Callable[[Workforce], DataFrame]]:
 
 
 def twins() -> dict[str, str]:
-    return dict(people_twins.TWINS)
+    return people_twins.TWINS | training_twins.TWINS
