@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crewlytics.functions import fixed_values as fv
 from crewlytics.functions.dates import covers, open_ended, running_at
@@ -87,7 +87,22 @@ def _preference() -> list[Column]:
     ]
 
 
-def assignment_timeline(assignments: DataFrame) -> DataFrame:
+def _preference_rank() -> Column:
+    """The same preference as one comparable value, smallest first."""
+    return F.struct(
+        F.when(F.col("is_primary") == 1, 1).otherwise(2),
+        F.col("valid_to").isNotNull(),
+        -F.unix_date("valid_to"),
+        F.col("valid_from").isNull(),
+        F.col("valid_from"),
+        F.col("pos_code").isNull(),
+        F.col("pos_code"),
+        F.col("org_code").isNull(),
+        F.col("org_code"),
+    )
+
+
+def assignment_timeline(assignments: DataFrame, running: DataFrame | None = None) -> DataFrame:
     """Which assignment counts for an employee on which days.
 
     For a day the choice is: an assignment valid on that day outside the excluded unit;
@@ -95,45 +110,55 @@ def assignment_timeline(assignments: DataFrame) -> DataFrame:
     Between two days on which some validity starts or stops the answer cannot change, so
     it is worked out once per stretch of days (``from_day`` inclusive, ``until_day``
     exclusive, NULL meaning without bound) instead of once per training participation.
-    An employee has at most one stretch per calendar day and company.
+    An employee has at most one stretch per calendar day and company, which also bounds
+    the sets of days gathered here.
+
+    ``running`` may add employees known from elsewhere; they are marked ``is_active``.
     """
     who = ["emp_no", "company_id"]
-    details = ["org_code", "pos_code"]
-    counted = assignments.where(
-        (F.col("org_code") != fv.EXCLUDED_ORG) & (F.col("valid_from") <= F.col("valid_to"))
+    counted = (F.col("org_code") != fv.EXCLUDED_ORG) & (F.col("valid_from") <= F.col("valid_to"))
+    rows = assignments.withColumn("assigned", F.lit(True)).withColumn("is_active", F.lit(False))
+    if running is not None:
+        known = running.select(*who, F.lit(False).alias("assigned"), F.lit(True).alias("is_active"))
+        rows = rows.unionByName(known, allowMissingColumns=True)
+    days = F.array_union(
+        F.collect_set(F.when(counted, F.col("valid_from"))),
+        F.collect_set(F.when(counted, F.date_add("valid_to", 1))),
     )
-    candidates = first_by(counted, [*who, "valid_from", "valid_to"], _preference())
-
-    changes = F.array(F.col("valid_from"), F.date_add("valid_to", 1))
-    days = candidates.select(*who, F.explode(changes).alias("from_day")).distinct()
-    following = F.lead("from_day").over(Window.partitionBy(*who).orderBy("from_day"))
-    stretches = days.withColumn("until_day", following)
+    codes = F.struct("org_code", "pos_code")
+    employees = rows.groupBy(*who).agg(
+        F.max("assigned").alias("assigned"),
+        F.max("is_active").alias("is_active"),
+        F.min_by(codes, F.when(F.col("assigned"), _preference_rank())).alias("_any"),
+        F.array_sort(days).alias("_days"),
+    )
+    open_day = F.array(F.lit(None).cast("date"))
+    bounds = F.arrays_zip(
+        F.concat(open_day, F.col("_days")).alias("from_day"),
+        F.concat(F.col("_days"), open_day).alias("until_day"),
+    )
+    stretches = employees.select(
+        *who, "assigned", "is_active", "_any", F.explode(bounds).alias("_bounds")
+    ).select(*who, "assigned", "is_active", "_any", "_bounds.*")
 
+    candidates = assignments.where(counted).alias("c")
     inside = covers(F.col("c.valid_from"), F.col("c.valid_to"), F.col("s.from_day"))
     same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in who]
-    valid = stretches.alias("s").join(candidates.alias("c"), [*same, inside])
-    chosen = first_by(
-        valid.select("s.*", "c.valid_from", "c.valid_to", "c.is_primary", *[f"c.{d}" for d in details]),
-        [*who, "from_day"],
-        _preference(),
-    ).select(*who, "from_day", *details, F.lit(True).alias("_chosen"))
-
-    fallback = first_by(assignments, who, _preference()).select(
-        *who, *[F.col(d).alias(f"_any_{d}") for d in details]
-    )
-    first_day = days.groupBy(*who).agg(F.min("from_day").alias("until_day"))
-    before = fallback.select(*who).join(first_day, who, "left").select(
-        *who, F.lit(None).cast("date").alias("from_day"), "until_day"
+    valid = stretches.alias("s").join(candidates, [*same, inside], "left").select(
+        "s.*", F.col("c.emp_no").isNotNull().alias("_valid"), *[
+            f"c.{c}" for c in ("is_primary", "valid_to", "valid_from", "pos_code", "org_code")
+        ]
     )
-    every = stretches.select(*who, "from_day", "until_day").unionByName(before)
-    filled = every.join(chosen, [*who, "from_day"], "left").join(fallback, who)
-    return filled.select(
+    chosen = first_by(valid, [*who, "from_day"], _preference())
+    return chosen.select(
         *who,
         "from_day",
         "until_day",
+        "assigned",
+        "is_active",
         *[
-            F.when(F.col("_chosen"), F.col(d)).otherwise(F.col(f"_any_{d}")).alias(d)
-            for d in details
+            F.when(F.col("_valid"), F.col(c)).otherwise(F.col(f"_any.{c}")).alias(c)
+            for c in ("org_code", "pos_code")
         ],
     )
 
@@ -157,5 +182,5 @@ def assignment_match(df: DataFrame, assignments: DataFrame, at: str) -> DataFram
         in_stretch(F.col(f"d.{at}"), F.col("a.from_day"), F.col("a.until_day")),
     ]
     return df.alias("d").join(side, match, "left").select(
-        "d.*", "a.org_code", "a.pos_code", F.col("a.emp_no").isNotNull().alias("assigned")
+        "d.*", "a.org_code", "a.pos_code", F.coalesce("a.assigned", F.lit(False)).alias("assigned")
     )

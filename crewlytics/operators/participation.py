@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,12 +15,12 @@ from crewlytics.operators.filters import live
 from crewlytics.operators.matching import assignment_timeline, in_stretch, lookup, running_spells
 from crewlytics.operators.skew import (
     HOT_ROWS,
-    PART,
     ROW,
     hot_keys,
     key_counts,
     numbered,
     repeat_rows,
+    same_part,
     split_rows,
     spread_join,
 )
@@ -63,28 +64,50 @@ def live_events(events: DataFrame, participants: DataFrame) -> DataFrame:
     return counted.where("_rows IS NULL OR _live_rows > 0").drop("_rows", "_live_rows")
 
 
+@dataclass(frozen=True)
+class Hot:
+    """Events and participants with very many rows; None where there cannot be any."""
+
+    events: DataFrame | None = None
+    people: DataFrame | None = None
+
+
+def hot_sides(participants: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> Hot:
+    """Finds the hot events and participants of a table of known length.
+
+    A table of at most ``hot_rows`` rows has no key with more, so nothing is counted.
+    """
+    if rows <= hot_rows:
+        return Hot()
+    people = ["participant_id"]
+    return Hot(
+        hot_keys(key_counts(participants, [EVENT]), [EVENT], hot_rows),
+        hot_keys(key_counts(participants, people), people, hot_rows),
+    )
+
+
 def participations(
-    events: DataFrame,
-    participants: DataFrame,
-    only_live: bool = False,
-    hot_rows: int = HOT_ROWS,
+    events: DataFrame, participants: DataFrame, hot: Hot, only_live: bool = False
 ) -> DataFrame:
     """Every event with each of its participants; an event without any is kept once.
 
-    This is the left join event → participant, written as its two halves: the matching
-    rows come from a join that splits events with very many participants, the lonely
-    events from an anti join against the per-event counts.
+    A left join cannot be split on its right side.  Where events may be hot it is
+    therefore written as its two halves: the matching rows come from a join that splits
+    hot events, the lonely events from an anti join against the per-event counts.
     """
-    counts = key_counts(participants, [EVENT])
+    if hot.events is None:
+        rows = events.join(participants, EVENT, "left")
+        return live(rows) if only_live else rows
     rows = numbered(live(participants) if only_live else participants)
-    matched = spread_join(rows, events, [EVENT], hot_keys(counts, [EVENT], hot_rows))
+    matched = spread_join(rows, events, [EVENT], hot.events)
+    counts = key_counts(participants, [EVENT])
     lonely = events.join(counts, EVENT, "left_anti").withColumn(ROW, F.xxhash64(EVENT))
     return matched.unionByName(lonely, allowMissingColumns=True)
 
 
-def hot_participants(participants: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    counts = key_counts(participants, ["participant_id"])
-    return hot_keys(counts, ["participant_id"], hot_rows)
+def by_participant(rows: DataFrame, hot: Hot) -> DataFrame:
+    """Marks rows with their part of a hot participant, for the joins below."""
+    return split_rows(rows, hot.people, {"participant_id": "participant_id"})
 
 
 def staff_profile(
@@ -97,18 +120,21 @@ def staff_profile(
     """Per employee, company and stretch of days: titles, and whether employed at ``as_of``.
 
     The look-ups and the activity flag are attached here, to the small side, so that a
-    participation needs a single join to get all of them.  Employees who have a running
-    spell but no assignment get one stretch without codes.
+    participation needs a single join to get all of them.
     """
+    timeline = assignment_timeline(assignments, running_spells(spells, as_of))
+    titled = lookup(timeline, positions, ["company_id", "pos_code"], "position_title")
+    return lookup(titled, orgs, ["company_id", "org_code"], "org_name")
+
+
+def staff_flags(assignments: DataFrame, spells: DataFrame, as_of: dt.date) -> DataFrame:
+    """Per employee and company: any assignment, and a spell running at ``as_of``."""
     who = ["emp_no", "company_id"]
-    stretches = assignment_timeline(assignments).withColumn("assigned", F.lit(True))
-    running = running_spells(spells, as_of).select(*who).distinct()
-    known = running.withColumn("is_active", F.lit(True))
-    everyone = stretches.join(known, who, "full").withColumn(
-        "is_active", F.coalesce("is_active", F.lit(False))
+    assigned = assignments.select(*who, F.lit(True).alias("assigned"), F.lit(False).alias("active"))
+    running = running_spells(spells, as_of).select(*who, F.lit(False), F.lit(True))
+    return assigned.union(running).groupBy(*who).agg(
+        F.max("assigned").alias("assigned"), F.max("active").alias("active")
     )
-    titled = lookup(everyone, positions, ["company_id", "pos_code"], "position_title")
-    return lookup(titled, orgs, ["company_id", "org_code"], "org_name")
 
 
 def site_groups(assignments: DataFrame, spells: DataFrame, groups: DataFrame) -> DataFrame:
@@ -123,34 +149,29 @@ def site_groups(assignments: DataFrame, spells: DataFrame, groups: DataFrame) ->
     )
 
 
-def with_profile(rows: DataFrame, profile: DataFrame, hot: DataFrame, *columns: str) -> DataFrame:
-    """Adds profile columns by participant, company and the day the event starts."""
-    side = repeat_rows(profile, hot, {"emp_no": "participant_id"}).alias("s")
-    match = [
+def _same_person(hot: Hot) -> list[Column]:
+    return [
         F.col("r.participant_id") == F.col("s.emp_no"),
         F.col("r.company_id") == F.col("s.company_id"),
-        F.col(f"r.{PART}") == F.col(f"s.{PART}"),
-        in_stretch(F.col("r.start_date"), F.col("s.from_day"), F.col("s.until_day")),
+        *same_part("r", "s", hot.people),
     ]
-    added = [F.col(f"s.{c}") for c in columns]
-    return rows.alias("r").join(side, match, "left").select("r.*", *added)
 
 
-def with_site_groups(rows: DataFrame, sites: DataFrame, hot: DataFrame) -> DataFrame:
-    """Adds the group of each work spell that contains the day the event starts."""
-    side = repeat_rows(sites, hot, {"emp_no": "participant_id"}).alias("s")
-    match = [
-        F.col("r.participant_id") == F.col("s.emp_no"),
-        F.col("r.company_id") == F.col("s.company_id"),
-        F.col(f"r.{PART}") == F.col(f"s.{PART}"),
-        F.col("r.start_date").between(F.col("s.spell_from"), F.col("s.spell_to")),
-    ]
-    return rows.alias("r").join(side, match, "left").select("r.*", "s.group_name")
+def with_profile(rows: DataFrame, profile: DataFrame, hot: Hot, *columns: str) -> DataFrame:
+    """Adds profile columns by participant, company and the day the event starts."""
+    side = repeat_rows(profile, hot.people, {"emp_no": "participant_id"}).alias("s")
+    stretch = in_stretch(F.col("r.start_date"), F.col("s.from_day"), F.col("s.until_day"))
+    added = [F.col(f"s.{c}") for c in columns]
+    return rows.alias("r").join(side, [*_same_person(hot), stretch], "left").select("r.*", *added)
 
 
-def by_participant(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Marks rows with their part of a hot participant, for the two joins above."""
-    return split_rows(rows, hot, {"participant_id": "participant_id"})
+def with_site_groups(rows: DataFrame, sites: DataFrame, hot: Hot) -> DataFrame:
+    """Adds the group of each work spell that contains the day the event starts."""
+    side = repeat_rows(sites, hot.people, {"emp_no": "participant_id"}).alias("s")
+    spell = F.col("r.start_date").between(F.col("s.spell_from"), F.col("s.spell_to"))
+    return rows.alias("r").join(side, [*_same_person(hot), spell], "left").select(
+        "r.*", "s.group_name"
+    )
 
 
 def course_names(links: DataFrame, courses: DataFrame, categories: DataFrame) -> DataFrame:

@@ -4,6 +4,9 @@ A hot key is split into parts.  Every row of the large side goes to one part of
 key; the matching rows of the other side are repeated once per part.  Keys that are not
 hot have a single part, so nothing is repeated for them.  The result is that of the
 plain join, whichever keys are called hot.
+
+Throughout, ``hot`` is the table of hot keys, or None where the large side is too short
+to hold one; then the plain join is used and nothing is counted.
 """
 
 from __future__ import annotations
@@ -50,41 +53,45 @@ def _with_parts(df: DataFrame, hot: DataFrame, on: Mapping[str, str]) -> DataFra
     return joined.drop(*[f"_hot_{k}" for k in on.values()])
 
 
-def split_rows(df: DataFrame, hot: DataFrame, on: Mapping[str, str]) -> DataFrame:
+def split_rows(df: DataFrame, hot: DataFrame | None, on: Mapping[str, str]) -> DataFrame:
     """Sends each row of a hot key to one of its parts, chosen by the row number.
 
     A row without a key has no partner; its row number stands in as the part, so that
     such rows spread out as well instead of meeting in the partition of NULL.
     """
+    if hot is None:
+        return df
     part = F.pmod(F.col(ROW), F.coalesce(F.col("_parts"), F.lit(1)).cast("long"))
     for name in on:
         part = F.when(F.col(name).isNull(), F.col(ROW)).otherwise(part)
     return _with_parts(df, hot, on).withColumn(PART, part).drop("_parts")
 
 
-def repeat_rows(df: DataFrame, hot: DataFrame, on: Mapping[str, str]) -> DataFrame:
+def repeat_rows(df: DataFrame, hot: DataFrame | None, on: Mapping[str, str]) -> DataFrame:
     """Repeats each row of a hot key once per part."""
+    if hot is None:
+        return df
     last = F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1
     parts = F.sequence(F.lit(0).cast("long"), last)
     return _with_parts(df, hot, on).withColumn(PART, F.explode(parts)).drop("_parts")
 
 
+def same_part(left: str, right: str, hot: DataFrame | None) -> list[Column]:
+    """The extra join condition between a split and a repeated side."""
+    return [] if hot is None else [F.col(f"{left}.{PART}") == F.col(f"{right}.{PART}")]
+
+
 def spread_join(
     big: DataFrame,
     other: DataFrame,
     on: Sequence[str],
-    hot: DataFrame,
+    hot: DataFrame | None,
     how: str = "inner",
-    residual: Column | None = None,
 ) -> DataFrame:
     """Inner or left join of a numbered large table on same-named columns."""
+    if hot is None:
+        return big.join(other, list(on), how)
     same = {name: name for name in on}
-    left = split_rows(big, hot, same).alias("big")
-    right = repeat_rows(other, hot, same).alias("other")
-    keys = [*on, PART]
-    condition = [F.col(f"big.{k}") == F.col(f"other.{k}") for k in keys]
-    if residual is not None:
-        condition.append(residual)
-    rest = [F.col(f"other.{c}") for c in other.columns if c not in on]
-    kept = [F.col(f"big.{c}") for c in big.columns]
-    return left.join(right, condition, how).select(*kept, *rest)
+    left = split_rows(big, hot, same)
+    right = repeat_rows(other, hot, same)
+    return left.join(right, [*on, PART], how).drop(PART)

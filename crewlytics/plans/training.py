@@ -10,19 +10,19 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crewlytics.functions import fixed_values as fv
-from crewlytics.functions.dates import day_of, month_key
+from crewlytics.functions.dates import day_of, month_key, open_ended
 from crewlytics.functions.numbers import ratio
 from crewlytics.functions.text import labelled
 from crewlytics.operators import participation as part
 from crewlytics.operators.filters import after, staff
 from crewlytics.operators.kpis import kpi_row, sum_when
-from crewlytics.operators.matching import exists_flag, running_spells, without_match
+from crewlytics.operators.matching import without_match
 from crewlytics.operators.ordering import ranked
 from crewlytics.operators.participation import EVENT
-from crewlytics.operators.skew import HOT_ROWS, hot_keys, key_counts, spread_join
+from crewlytics.operators.skew import HOT_ROWS, PART, key_counts, spread_join
 from crewlytics.sources.workforce import Workforce
 
 AS_OF = dt.date(2000, 1, 1)
@@ -43,6 +43,10 @@ def _event_name() -> Column:
     return labelled(F.col("training_event_name"), fv.TRAINING_UNKNOWN)
 
 
+def _hot(w: Workforce, hot_rows: int) -> part.Hot:
+    return part.hot_sides(w.training_participant, w.row_count("training_participant"), hot_rows)
+
+
 def training_main(
     w: Workforce,
     as_of: dt.date = AS_OF,
@@ -53,38 +57,37 @@ def training_main(
     """One row per event, course, participant and matching work spell: 18 columns.
 
     The number of live rows of an event, which its hours are divided by, is counted
-    after all of these repetitions: live participant rows with their spells, times the
-    event's courses.
+    after all of these repetitions.
     """
+    hot = _hot(w, hot_rows)
     events = w.training_event if events is None else events
     participants = w.training_participant if participants is None else participants
 
     narrow = events.select(EVENT, "company_id", "start_date")
-    hot_people = part.hot_participants(participants, hot_rows)
-    rows = part.by_participant(
-        part.participations(narrow, participants, hot_rows=hot_rows), hot_people
-    )
+    rows = part.by_participant(part.participations(narrow, participants, hot), hot)
     profile = part.staff_profile(
         w.company_pers_assign, w.work_spell, w.position_dim, w.org_dim, as_of
     )
     sites = part.site_groups(w.company_pers_assign, w.work_spell, w.staff_group_dim)
-    titled = part.with_profile(rows, profile, hot_people, "position_title", "org_name", "is_active")
-    placed = part.with_site_groups(titled, sites, hot_people).drop("_part", "company_id", "start_date")
+    titled = part.with_profile(rows, profile, hot, "position_title", "org_name", "is_active")
+    placed = part.with_site_groups(titled, sites, hot).drop(PART, "company_id", "start_date")
 
-    live_rows = part.with_site_groups(rows, sites, hot_people).groupBy(EVENT).agg(
-        F.count_if(F.expr(part.IS_LIVE)).alias("_live")
-    )
     links = part.course_names(w.training_event_course, w.course, w.course_category)
-    courses = key_counts(w.training_event_course, [EVENT])
-    event_side = (
-        events.join(live_rows, EVENT, "left")
-        .join(courses, EVENT, "left")
-        .join(links, EVENT, "left")
-        .withColumn("_live", F.col("_live") * F.coalesce("_rows", F.lit(1)))
-        .drop("_rows")
-    )
-    hot_events = hot_keys(key_counts(participants, [EVENT]), [EVENT], hot_rows)
-    main = spread_join(placed, event_side, [EVENT], hot_events)
+    offered = events.join(links, EVENT, "left")
+    is_live = F.when(F.col("cancel_date").isNull(), 1).otherwise(0)
+    if hot.events is None:
+        main = placed.join(offered, EVENT)
+        live_rows = F.sum(is_live).over(Window.partitionBy(EVENT))
+    else:
+        # One event may hold much of the table: count it in pieces, then join the count.
+        counted = part.with_site_groups(rows, sites, hot).groupBy(EVENT).agg(
+            F.sum(is_live).alias("_live")
+        )
+        courses = key_counts(w.training_event_course, [EVENT])
+        total = F.col("_live") * F.coalesce("_rows", F.lit(1))
+        shares = counted.join(courses, EVENT, "left").select(EVENT, total.alias("_live"))
+        main = spread_join(placed, offered.join(shares, EVENT), [EVENT], hot.events)
+        live_rows = F.col("_live")
 
     internal = part.is_internal()
     hours = part.event_hours()
@@ -97,7 +100,7 @@ def training_main(
         "end_date",
         "cancel_date",
         hours.alias("hours"),
-        part.hours_per_person(hours, F.col("_live")).alias("hours_per_person"),
+        part.hours_per_person(hours, live_rows).alias("hours_per_person"),
         F.col("company_id").alias("company"),
         "participant_id",
         part.participant_key(internal).alias("participant_key"),
@@ -125,23 +128,26 @@ def training_kpi_summary(
         .withColumn("_courses", F.coalesce("_courses", F.lit(1)))
         .select(EVENT, "company_id", "start_date", "_hours", "_courses")
     )
-    taken = part.participations(events, w.training_participant, True, hot_rows)
+    taken = part.participations(events, w.training_participant, _hot(w, hot_rows), only_live=True)
     daily = taken.groupBy(*WHO, part.is_internal().alias("internal")).agg(
         F.sum("_courses").alias("rows"), F.sum(F.col("_hours") * F.col("_courses")).alias("hours")
     )
-    active = running_spells(w.work_spell, as_of)
-    flagged = exists_flag(
-        daily, active, {"participant_id": "emp_no", "company_id": "company_id"}, "active"
+    flags = part.staff_flags(w.company_pers_assign, w.work_spell, as_of)
+    flagged = daily.join(
+        flags.withColumnRenamed("emp_no", "participant_id"), ["participant_id", "company_id"], "left"
     )
-    sites = part.site_groups(w.company_pers_assign, w.work_spell, w.staff_group_dim).alias("s")
-    match = [
-        F.col("d.participant_id") == F.col("s.emp_no"),
-        F.col("d.company_id") == F.col("s.company_id"),
-        F.col("d.start_date").between(F.col("s.spell_from"), F.col("s.spell_to")),
-    ]
-    spelled = flagged.alias("d").join(sites, match, "left").select("d.*")
-
-    inside = F.col("internal") & F.col("active")
+    spelled = flagged.alias("d").join(
+        w.work_spell.alias("s"),
+        [
+            F.col("d.participant_id") == F.col("s.emp_no"),
+            F.col("d.company_id") == F.col("s.company_id"),
+            F.col("d.assigned"),
+            F.col("d.start_date").between(F.col("s.start_date"), open_ended(F.col("s.end_date"))),
+        ],
+        "left",
+    ).select("d.*")
+
+    inside = F.col("internal") & F.coalesce("active", F.lit(False))
     per_person = spelled.groupBy("participant_id", "internal").agg(
         F.sum("rows").alias("rows"),
         sum_when(inside, F.col("rows")).alias("inside_rows"),
@@ -209,50 +215,47 @@ def training_calendar(w: Workforce, as_of: dt.date = AS_OF) -> DataFrame:
     return ranked(rows.distinct(), ["start_date"], 50)
 
 
-def _live_rows(w: Workforce, hot_rows: int) -> DataFrame:
+def _live_rows(w: Workforce, hot: part.Hot) -> DataFrame:
     narrow = w.training_event.select(EVENT, "company_id", "start_date")
-    return part.participations(narrow, w.training_participant, True, hot_rows)
-
+    return part.participations(narrow, w.training_participant, hot, only_live=True)
 
-def _by_position(w: Workforce, hot_rows: int) -> DataFrame:
-    return _titled(w, hot_rows).withColumn("name", part.position_label(part.is_internal()))
 
-
-def _by_department(w: Workforce, hot_rows: int) -> DataFrame:
-    return _titled(w, hot_rows).withColumn("name", part.department_label())
-
-
-def _titled(w: Workforce, hot_rows: int) -> DataFrame:
-    hot = part.hot_participants(w.training_participant, hot_rows)
-    rows = part.by_participant(_live_rows(w, hot_rows), hot)
+def _titled(w: Workforce, hot: part.Hot) -> DataFrame:
     profile = part.staff_profile(
         w.company_pers_assign, w.work_spell, w.position_dim, w.org_dim, AS_OF
     )
+    rows = part.by_participant(_live_rows(w, hot), hot)
     return part.with_profile(rows, profile, hot, "position_title", "org_name")
 
 
-def _by_group(w: Workforce, hot_rows: int) -> DataFrame:
-    hot = part.hot_participants(w.training_participant, hot_rows)
-    rows = part.by_participant(_live_rows(w, hot_rows), hot)
+def _by_position(w: Workforce, hot: part.Hot) -> DataFrame:
+    return _titled(w, hot).withColumn("name", part.position_label(part.is_internal()))
+
+
+def _by_department(w: Workforce, hot: part.Hot) -> DataFrame:
+    return _titled(w, hot).withColumn("name", part.department_label())
+
+
+def _by_group(w: Workforce, hot: part.Hot) -> DataFrame:
     sites = part.site_groups(w.company_pers_assign, w.work_spell, w.staff_group_dim)
+    rows = part.by_participant(_live_rows(w, hot), hot)
     placed = part.with_site_groups(rows, sites, hot)
     return placed.withColumn("name", part.group_label(part.is_internal()))
 
 
-def _by_course(w: Workforce, hot_rows: int, column: str) -> DataFrame:
+def _by_course(w: Workforce, hot: part.Hot, column: str) -> DataFrame:
     links = part.course_names(w.training_event_course, w.course, w.course_category)
     name = labelled(F.col(column), fv.TRAINING_UNKNOWN).alias("name")
-    narrow = w.training_event.select(EVENT)
-    named = narrow.join(links, EVENT, "left").select(EVENT, name).distinct()
-    return part.participations(named, w.training_participant, True, hot_rows)
+    named = w.training_event.select(EVENT).join(links, EVENT, "left").select(EVENT, name).distinct()
+    return part.participations(named, w.training_participant, hot, only_live=True)
 
 
-def _by_category(w: Workforce, hot_rows: int) -> DataFrame:
-    return _by_course(w, hot_rows, "course_title")
+def _by_category(w: Workforce, hot: part.Hot) -> DataFrame:
+    return _by_course(w, hot, "course_title")
 
 
-def _by_area(w: Workforce, hot_rows: int) -> DataFrame:
-    return _by_course(w, hot_rows, "category_name")
+def _by_area(w: Workforce, hot: part.Hot) -> DataFrame:
+    return _by_course(w, hot, "category_name")
 
 
 BREAKDOWNS = {
@@ -268,7 +271,7 @@ def training_breakdown(w: Workforce, category: str, hot_rows: int = HOT_ROWS) ->
     """Distinct participants and events per value of one of five columns."""
     if category not in BREAKDOWNS:
         raise ValueError(f"unknown category {category!r}; choose from {', '.join(BREAKDOWNS)}")
-    named = BREAKDOWNS[category](w, hot_rows)
+    named = BREAKDOWNS[category](w, _hot(w, hot_rows))
     counted = named.groupBy("name").agg(
         F.count_distinct("participant_id").alias("participant_count"),
         F.count_distinct(EVENT).alias("training_count"),

@@ -23,6 +23,7 @@ class Workforce:
         self.spark = spark
         self._load = load
         self._frames: dict[str, DataFrame] = {}
+        self._row_counts: dict[str, int] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEW_SCHEMAS:
@@ -31,6 +32,12 @@ class Workforce:
             self._frames[name] = self._load(name)
         return self._frames[name]
 
+    def row_count(self, name: str) -> int:
+        """Length of a table, counted once; over parquet only the footers are read."""
+        if name not in self._row_counts:
+            self._row_counts[name] = getattr(self, name).count()
+        return self._row_counts[name]
+
     @classmethod
     def derived(cls, spark: SparkSession, directory: str) -> Workforce:
         """Views computed from the star-schema parquet tables in ``directory``."""
