@@ -27,16 +27,6 @@ from crewlytics.sources.workforce import Workforce
 
 AS_OF = dt.date(2000, 1, 1)
 WHO = ["participant_id", "company_id", "start_date"]
-KPI_COLUMNS = [
-    "total_participants",
-    "unique_participants",
-    "active_internal_total",
-    "active_internal_unique",
-    "external_unique",
-    "total_training_hours",
-    "avg_hours_per_active_internal",
-    "avg_hours_per_external",
-]
 
 
 def _event_name() -> Column:
@@ -154,22 +144,26 @@ def training_kpi_summary(
         F.sum(F.when(inside, F.col("hours"))).alias("inside_hours"),
         F.sum("hours").alias("hours"),
     )
+    total = allocated_hours(w.training_event, w.training_participant)
+    parts = per_person.unionByName(total, allowMissingColumns=True)
+
     external = ~F.col("internal")
     external_rows = F.sum(F.when(external, F.col("rows")))
     external_hours = sum_when(external, F.col("hours"))
     inside_hours = sum_when(F.col("inside_rows") > 0, F.col("inside_hours"))
-    people = {
-        "total_participants": F.coalesce(F.sum("rows"), F.lit(0)),
-        "unique_participants": F.count(F.lit(1)),
-        "active_internal_total": F.coalesce(F.sum("inside_rows"), F.lit(0)),
-        "active_internal_unique": F.count_if(F.col("inside_rows") > 0),
-        "external_unique": F.count_if(external),
-        "avg_hours_per_active_internal": F.round(ratio(inside_hours, F.sum("inside_rows")), 2),
-        "avg_hours_per_external": F.round(ratio(external_hours, external_rows), 2),
-    }
-    allocated = allocated_hours(w.training_event, w.training_participant)
-    figures = kpi_row(per_person, people).withColumn("total_training_hours", allocated.scalar())
-    return figures.select(*KPI_COLUMNS)
+    return kpi_row(
+        parts,
+        {
+            "total_participants": F.coalesce(F.sum("rows"), F.lit(0)),
+            "unique_participants": F.count("rows"),
+            "active_internal_total": F.coalesce(F.sum("inside_rows"), F.lit(0)),
+            "active_internal_unique": F.count_if(F.col("inside_rows") > 0),
+            "external_unique": F.count_if(external),
+            "total_training_hours": F.round(F.sum("allocated"), 2),
+            "avg_hours_per_active_internal": F.round(ratio(inside_hours, F.sum("inside_rows")), 2),
+            "avg_hours_per_external": F.round(ratio(external_hours, external_rows), 2),
+        },
+    )
 
 
 def allocated_hours(events: DataFrame, participants: DataFrame) -> DataFrame:
@@ -181,7 +175,7 @@ def allocated_hours(events: DataFrame, participants: DataFrame) -> DataFrame:
     counted = events.join(part.participant_counts(participants), EVENT, "left")
     handed_out = F.expr("_rows IS NULL OR _live_rows > 0")
     value = F.when(handed_out, part.event_hours()).otherwise(F.lit(0.0))
-    return counted.agg(F.round(F.sum(value), 2).alias("total_training_hours"))
+    return counted.agg(F.sum(value).alias("allocated"))
 
 
 def training_counts(w: Workforce) -> DataFrame:
