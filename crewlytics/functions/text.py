@@ -15,9 +15,9 @@ def joined(*parts: Column) -> Column:
     return F.concat_ws("", *[part.cast("string") for part in parts])
 
 
-def upper_text(value: Column, collation: str | None = None) -> Column:
-    """Upper case; pass a collation such as ``'tr'`` for language-specific letters."""
-    return F.upper(F.collate(value, collation)) if collation else F.upper(value)
+def upper_text(value: Column, turkish: bool = False) -> Column:
+    """Upper case; on request with the Turkish pair i/İ instead of i/I."""
+    return F.upper(F.translate(value, "i", "İ")) if turkish else F.upper(value)
 
 
 def known(value: Column, placeholder: str, trim: bool = False) -> Column:

@@ -322,7 +322,7 @@ def training_full_details(w: Workforce, limit: int = 2000, hot_rows: int = HOT_R
     built for those events only; their ids (at most ``limit``) are broadcast to the scan
     of the participants.
     """
-    first = ranked(w.training_event.select("start_date", EVENT), ["-start_date", EVENT], limit)
+    first = ranked(w.training_event.select("start_date", EVENT), ["-start_date"], limit)
     ids = F.broadcast(first.select(EVENT))
     latest = w.training_event.join(ids, EVENT, "left_semi")
     theirs = w.training_participant.join(ids, EVENT, "left_semi")

@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from crewlytics.sources.derived import DERIVATIONS
 from crewlytics.sources.schemas import VIEW_SCHEMAS, blank_to_null, checked, view_schema
 
+# Options that keep blanks and fractions of a second in text files.
+TEXT_OPTIONS = {
+    "csv": {
+        "header": True,
+        "ignoreLeadingWhiteSpace": False,
+        "ignoreTrailingWhiteSpace": False,
+        "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+    },
+    "json": {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+}
+
 # Views written with a partition column, so that a period or a day reads only its folders.
 PARTITION_COLUMNS = {"personnel_month": "year_month", "interactions": "day"}
 
@@ -45,25 +56,33 @@ class Workforce:
 
     @classmethod
     def stored(cls, spark: SparkSession, root: str, fmt: str = "parquet") -> Workforce:
-        """Views written by :func:`write_views`, one folder per view."""
+        """Views written by :func:`write_views`, one folder per view.
+
+        Columns are read as they are, so every filter of a report reaches the files.
+        """
 
         def load(name: str) -> DataFrame:
             schema = view_schema(name)
             if name in PARTITION_COLUMNS and PARTITION_COLUMNS[name] not in schema.names:
                 schema = schema.add(PARTITION_COLUMNS[name], "date")
-            reader = spark.read.schema(schema)
-            if fmt == "csv":
-                reader = reader.option("header", True)
-            return checked(blank_to_null(reader.format(fmt).load(f"{root}/{name}")), name)
+            reader = spark.read.schema(schema).options(**TEXT_OPTIONS.get(fmt, {}))
+            return checked(reader.format(fmt).load(f"{root}/{name}"), name)
 
         return cls(spark, load)
 
     @classmethod
-    def catalog(cls, spark: SparkSession, database: str) -> Workforce:
-        """Views kept as tables of a catalog database."""
-        return cls(
-            spark, lambda name: checked(blank_to_null(spark.table(f"{database}.{name}")), name)
-        )
+    def catalog(cls, spark: SparkSession, database: str, raw: bool = False) -> Workforce:
+        """Views kept as tables of a catalog database.
+
+        ``raw`` tables may hold empty text for missing values; it is read as NULL.  That
+        hides text columns from file filters, so it is better done once on writing.
+        """
+
+        def load(name: str) -> DataFrame:
+            table = spark.table(f"{database}.{name}")
+            return checked(blank_to_null(table) if raw else table, name)
+
+        return cls(spark, load)
 
     @classmethod
     def jdbc(
@@ -73,11 +92,13 @@ class Workforce:
         tables: dict[str, str],
         splits: dict[str, tuple[str, int, int, int]] | None = None,
         properties: dict[str, str] | None = None,
+        raw: bool = False,
     ) -> Workforce:
         """Views read from a database.
 
         ``tables`` maps a view to its table or subquery; ``splits`` gives a view's
         (column, lower, upper, partitions) so that the read itself is spread out.
+        ``raw`` is that of :meth:`catalog`.
         """
 
         def load(name: str) -> DataFrame:
@@ -85,12 +106,8 @@ class Workforce:
             loaded = spark.read.format("jdbc").options(**options).load()
             named = loaded.select(*[F.col(c).alias(c.lower()) for c in loaded.columns])
             types = view_schema(name)
-            return checked(
-                blank_to_null(
-                    named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types])
-                ),
-                name,
-            )
+            typed = named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types])
+            return checked(blank_to_null(typed) if raw else typed, name)
 
         return cls(spark, load)
 
@@ -121,18 +138,17 @@ def write_views(
 ) -> None:
     """Materialise views, one folder each, for :meth:`Workforce.stored`.
 
+    Empty text becomes NULL here, once.
     The rebalance hint evens out the written files: small partitions are merged and a
     month or day that holds much of the data is split over many writers.
     """
     for name in names:
-        df = getattr(workforce, name)
+        df = blank_to_null(getattr(workforce, name))
         column = PARTITION_COLUMNS.get(name)
         if column == "day":
             df = df.withColumn("day", F.to_date("ts"))
         df = df.hint("rebalance", column) if column else df.hint("rebalance")
-        writer = df.write.mode("overwrite").format(fmt)
-        if fmt == "csv":
-            writer = writer.option("header", True)
+        writer = df.write.mode("overwrite").format(fmt).options(**TEXT_OPTIONS.get(fmt, {}))
         if column:
             writer = writer.partitionBy(column)
         writer.save(f"{root}/{name}")

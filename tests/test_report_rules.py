@@ -206,6 +206,15 @@ def test_dump_size(workforce):
     assert datasets.dataset_full(workforce).count() == min(2000, everyone)
 
 
+def test_text_order_is_binary_unless_a_collation_is_given(spark):
+    letters = ["ı", "i", "İ", "d", "ç", "c"]
+    rows = spark.createDataFrame([(x,) for x in letters], "x string")
+    assert [r.x for r in ranked(rows, ["x"]).collect()] == ["c", "d", "i", "ç", "İ", "ı"]
+    assert [r.x for r in ranked(rows, ["x"], collation="tr").collect()] == [
+        "c", "ç", "d", "ı", "i", "İ",
+    ]
+
+
 def test_first_by_and_ranked(spark):
     rows = spark.createDataFrame([("a", 1), ("a", None), ("b", 3), ("b", 2)], "k string, v int")
     best = first_by(rows, ["k"], [F.col("v").asc_nulls_last()])
