@@ -94,9 +94,10 @@ def participations(
     A left join cannot be split on its right side.  Where events may be hot it is
     therefore written as its two halves: the matching rows come from a join that splits
     hot events, the lonely events from an anti join against the per-event counts.
+    Participants outgrow any broadcast, hence the merge hint for the short table too.
     """
     if hot.events is None:
-        rows = events.join(participants, EVENT, "left")
+        rows = events.join(participants.hint("merge"), EVENT, "left")
         return live(rows) if only_live else rows
     rows = numbered(live(participants) if only_live else participants)
     matched = spread_join(rows, events, [EVENT], hot.events)

@@ -13,12 +13,14 @@ from crewlytics.operators.filters import live, staff
 from crewlytics.operators.kpis import count_distinct_when
 from crewlytics.operators.matching import (
     assignment_match,
+    assignment_timeline,
     exists_flag,
     running_spells,
     spell_join,
 )
 from crewlytics.operators.participation import EVENT
-from crewlytics.plans.training import AS_OF
+from crewlytics.operators.skew import HOT_ROWS
+from crewlytics.plans.training import AS_OF, hot_of
 from crewlytics.sources.workforce import Workforce, run_select
 
 SCANNED = [
@@ -59,31 +61,49 @@ def adhoc_select(w: Workforce) -> DataFrame:
     )
 
 
-def _attendance(w: Workforce) -> DataFrame:
-    """Participant, company and day of every participation, repeated days included."""
+def _attendance(w: Workforce, hot: part.Hot) -> DataFrame:
+    """Every participation with the company and day of its event."""
     events = w.training_event.select(EVENT, "company_id", "start_date")
-    return w.training_participant.join(events, EVENT).select(
-        EVENT, F.col("participant_id").alias("emp_no"), "company_id", "start_date"
+    rows = part.participations(events, w.training_participant, hot)
+    return rows.where(F.col("participant_id").isNotNull())
+
+
+def _attended_days(w: Workforce) -> DataFrame:
+    """Participations counted per participant, company and day."""
+    rows = _attendance(w, hot_of(w, HOT_ROWS))
+    return rows.groupBy(F.col("participant_id").alias("emp_no"), "company_id", "start_date").agg(
+        F.count(F.lit(1)).alias("times")
     )
 
 
-def training_assignments(w: Workforce) -> DataFrame:
+def training_assignments(w: Workforce, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The assignment that counts for each participation."""
-    matched = assignment_match(_attendance(w), w.company_pers_assign, "start_date")
+    hot = hot_of(w, hot_rows)
+    rows = part.by_participant(_attendance(w, hot), hot)
+    codes = ["org_code", "pos_code", "assigned"]
+    matched = part.with_profile(rows, assignment_timeline(w.company_pers_assign), hot, *codes)
     return matched.where("assigned").select(
-        EVENT, "emp_no", "company_id", "org_code", "pos_code"
+        EVENT, F.col("participant_id").alias("emp_no"), "company_id", "org_code", "pos_code"
+    )
+
+
+def training_day_assignments(w: Workforce) -> DataFrame:
+    """The assignment that counts for each day an employee took part in something."""
+    days = _attended_days(w).drop("times")
+    return assignment_match(days, w.company_pers_assign, "start_date").where("assigned").drop(
+        "assigned"
     )
 
 
 def training_sites(w: Workforce) -> DataFrame:
     """Participations per site the participant worked at on the day."""
-    placed = spell_join(_attendance(w), w.work_spell, "start_date")
-    return placed.groupBy("company_id", "site_code").agg(F.count(F.lit(1)).alias("count"))
+    placed = spell_join(_attended_days(w), w.work_spell, "start_date")
+    return placed.groupBy("company_id", "site_code").agg(F.sum("times").alias("count"))
 
 
 def training_activity(w: Workforce) -> DataFrame:
     """Participants of each company, and whether they still work there."""
-    people = _attendance(w).select("emp_no", "company_id").distinct()
+    people = _attended_days(w).select("emp_no", "company_id").distinct()
     running = running_spells(w.work_spell, AS_OF)
     return exists_flag(
         people, running, {"emp_no": "emp_no", "company_id": "company_id"}, "active"
@@ -96,8 +116,7 @@ def training_course_names(w: Workforce) -> DataFrame:
 
 def training_uniques(w: Workforce) -> DataFrame:
     """Distinct live participants per company, and the internal ones among them."""
-    events = w.training_event.select(EVENT, "company_id")
-    rows = live(w.training_participant).join(events, EVENT)
+    rows = live(_attendance(w, hot_of(w, HOT_ROWS)))
     internal = part.is_internal()
     return rows.groupBy("company_id").agg(
         F.count_distinct("participant_id").alias("participants"),
@@ -110,6 +129,7 @@ REPORTS = [
     headcount_search,
     adhoc_select,
     training_assignments,
+    training_day_assignments,
     training_sites,
     training_activity,
     training_course_names,

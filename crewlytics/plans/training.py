@@ -33,28 +33,23 @@ def _event_name() -> Column:
     return labelled(F.col("training_event_name"), fv.TRAINING_UNKNOWN)
 
 
-def _hot(w: Workforce, hot_rows: int) -> part.Hot:
+def hot_of(w: Workforce, hot_rows: int) -> part.Hot:
+    """Hot events and participants of the participation table."""
     return part.hot_sides(w.training_participant, w.row_count("training_participant"), hot_rows)
 
 
 def training_main(
-    w: Workforce,
-    as_of: dt.date = AS_OF,
-    events: DataFrame | None = None,
-    participants: DataFrame | None = None,
-    hot_rows: int = HOT_ROWS,
+    w: Workforce, as_of: dt.date = AS_OF, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """One row per event, course, participant and matching work spell: 18 columns.
 
     The number of live rows of an event, which its hours are divided by, is counted
     after all of these repetitions.
     """
-    hot = _hot(w, hot_rows)
-    events = w.training_event if events is None else events
-    participants = w.training_participant if participants is None else participants
-
+    hot = hot_of(w, hot_rows)
+    events = w.training_event
     narrow = events.select(EVENT, "company_id", "start_date")
-    rows = part.by_participant(part.participations(narrow, participants, hot), hot)
+    rows = part.by_participant(part.participations(narrow, w.training_participant, hot), hot)
     profile = part.staff_profile(
         w.company_pers_assign, w.work_spell, w.position_dim, w.org_dim, as_of
     )
@@ -118,7 +113,7 @@ def training_kpi_summary(
         .withColumn("_courses", F.coalesce("_courses", F.lit(1)))
         .select(EVENT, "company_id", "start_date", "_hours", "_courses")
     )
-    taken = part.participations(events, w.training_participant, _hot(w, hot_rows), only_live=True)
+    taken = part.participations(events, w.training_participant, hot_of(w, hot_rows), only_live=True)
     daily = taken.groupBy(*WHO, part.is_internal().alias("internal")).agg(
         F.sum("_courses").alias("rows"), F.sum(F.col("_hours") * F.col("_courses")).alias("hours")
     )
@@ -265,7 +260,7 @@ def training_breakdown(w: Workforce, category: str, hot_rows: int = HOT_ROWS) ->
     """Distinct participants and events per value of one of five columns."""
     if category not in BREAKDOWNS:
         raise ValueError(f"unknown category {category!r}; choose from {', '.join(BREAKDOWNS)}")
-    named = BREAKDOWNS[category](w, _hot(w, hot_rows))
+    named = BREAKDOWNS[category](w, hot_of(w, hot_rows))
     counted = named.groupBy("name").agg(
         F.count_distinct("participant_id").alias("participant_count"),
         F.count_distinct(EVENT).alias("training_count"),
@@ -319,14 +314,13 @@ def training_full_details(w: Workforce, limit: int = 2000, hot_rows: int = HOT_R
 
     Every event yields at least one row and the sort starts with start day and event id,
     so the wanted rows belong to the first ``limit`` events in that order.  The model is
-    built for those events only; their ids (at most ``limit``) are broadcast to the scan
-    of the participants.
+    built for those events only; their ids (at most ``limit``) are broadcast to the scans
+    of the tables keyed by event.
     """
     first = ranked(w.training_event.select("start_date", EVENT), ["-start_date"], limit)
     ids = F.broadcast(first.select(EVENT))
-    latest = w.training_event.join(ids, EVENT, "left_semi")
-    theirs = w.training_participant.join(ids, EVENT, "left_semi")
-    rows = training_main(w, events=latest, participants=theirs, hot_rows=hot_rows)
+    keyed = ["training_event", "training_participant", "training_event_course"]
+    rows = training_main(w.narrowed(ids, EVENT, keyed), hot_rows=hot_rows)
     return ranked(rows, ["-start_date", "event_id"], limit)
 
 

@@ -12,7 +12,7 @@ from crewlytics.sources.scratch import shared_folder
 
 
 def event_stream(
-    spark: SparkSession, directory: str, files_per_batch: int | None = None
+    spark: SparkSession, directory: str, files_per_batch: int = 1000
 ) -> DataFrame:
     """The event table as a stream of its files, known or still arriving.
 
@@ -20,8 +20,7 @@ def event_stream(
     folder of files just as well.
     """
     reader = spark.readStream.schema(BASE_SCHEMAS["events"])
-    if files_per_batch is not None:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.parquet(base_path(directory, "{events}"))
 
 

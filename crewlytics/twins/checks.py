@@ -61,6 +61,9 @@ TWINS = {f"scan_{name}": over([name]) + f"SELECT * FROM {name}" for name in SCAN
     "training_assignments": over([*TRAINING, "company_pers_assign"], BEST)
     + "SELECT b.* FROM training_participant p JOIN best b "
     "ON b.training_event_id = p.training_event_id AND b.emp_no = p.participant_id",
+    "training_day_assignments": over([*TRAINING, "company_pers_assign"], BEST)
+    + "SELECT DISTINCT b.emp_no, b.company_id, x.start_date, b.org_code, b.pos_code "
+    "FROM best b JOIN training_event x USING (training_event_id)",
     "training_sites": over([*TRAINING, "work_spell"], ATTENDED)
     + "SELECT a.company_id, s.site_code, count(*) AS count FROM attended a LEFT JOIN work_spell s "
     "ON s.emp_no = a.participant_id AND s.company_id = a.company_id AND a.start_date "
