@@ -111,7 +111,8 @@ def assignment_timeline(assignments: DataFrame, running: DataFrame | None = None
     it is worked out once per stretch of days (``from_day`` inclusive, ``until_day``
     exclusive, NULL meaning without bound) instead of once per training participation.
     An employee has at most one stretch per calendar day and company, which also bounds
-    the sets of days gathered here.
+    the sets of days gathered here; of assignments with equal bounds only the preferred
+    one is looked at.
 
     ``running`` may add employees known from elsewhere; they are marked ``is_active``.
     """
@@ -141,7 +142,8 @@ def assignment_timeline(assignments: DataFrame, running: DataFrame | None = None
         *who, "assigned", "is_active", "_any", F.explode(bounds).alias("_bounds")
     ).select(*who, "assigned", "is_active", "_any", "_bounds.*")
 
-    candidates = assignments.where(counted).alias("c")
+    spans = [*who, "valid_from", "valid_to"]
+    candidates = first_by(assignments.where(counted), spans, _preference()).alias("c")
     inside = covers(F.col("c.valid_from"), F.col("c.valid_to"), F.col("s.from_day"))
     same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in who]
     valid = stretches.alias("s").join(candidates, [*same, inside], "left").select(

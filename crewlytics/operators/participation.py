@@ -11,18 +11,15 @@ from crewlytics.functions import fixed_values as fv
 from crewlytics.functions.dates import open_ended
 from crewlytics.functions.numbers import ratio, training_hours
 from crewlytics.functions.text import joined, labelled, upper_text
-from crewlytics.operators.filters import live
 from crewlytics.operators.matching import assignment_timeline, in_stretch, lookup, running_spells
 from crewlytics.operators.skew import (
-    HOT_ROWS,
-    ROW,
     hot_keys,
     key_counts,
     numbered,
     repeat_rows,
     same_part,
     split_rows,
-    spread_join,
+    spread_outer,
 )
 
 EVENT = "training_event_id"
@@ -66,44 +63,30 @@ def live_events(events: DataFrame, participants: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Hot:
-    """Events and participants with very many rows; None where there cannot be any."""
+    """Keys with very many rows; None where there cannot be any.
+
+    Events and participants of the participation table, events of the course links.
+    """
 
     events: DataFrame | None = None
     people: DataFrame | None = None
+    courses: DataFrame | None = None
 
 
-def hot_sides(participants: DataFrame, rows: int, hot_rows: int = HOT_ROWS) -> Hot:
-    """Finds the hot events and participants of a table of known length.
+def hot_in(table: DataFrame, rows: int, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """Hot keys of a table of known length.
 
     A table of at most ``hot_rows`` rows has no key with more, so nothing is counted.
     """
-    if rows <= hot_rows:
-        return Hot()
-    people = ["participant_id"]
-    return Hot(
-        hot_keys(key_counts(participants, [EVENT]), [EVENT], hot_rows),
-        hot_keys(key_counts(participants, people), people, hot_rows),
-    )
+    return hot_keys(key_counts(table, keys), keys, hot_rows) if rows > hot_rows else None
 
 
 def participations(
     events: DataFrame, participants: DataFrame, hot: Hot, only_live: bool = False
 ) -> DataFrame:
-    """Every event with each of its participants; an event without any is kept once.
-
-    A left join cannot be split on its right side.  Where events may be hot it is
-    therefore written as its two halves: the matching rows come from a join that splits
-    hot events, the lonely events from an anti join against the per-event counts.
-    Participants outgrow any broadcast, hence the merge hint for the short table too.
-    """
-    if hot.events is None:
-        rows = events.join(participants.hint("merge"), EVENT, "left")
-        return live(rows) if only_live else rows
-    rows = numbered(live(participants) if only_live else participants)
-    matched = spread_join(rows, events, [EVENT], hot.events)
-    counts = key_counts(participants, [EVENT])
-    lonely = events.join(counts, EVENT, "left_anti").withColumn(ROW, F.xxhash64(EVENT))
-    return matched.unionByName(lonely, allowMissingColumns=True)
+    """Every event with each of its participants; an event without any is kept once."""
+    rows = participants if hot.events is None else numbered(participants)
+    return spread_outer(events, rows, [EVENT], hot.events, IS_LIVE if only_live else "true")
 
 
 def by_participant(rows: DataFrame, hot: Hot) -> DataFrame:
@@ -113,19 +96,22 @@ def by_participant(rows: DataFrame, hot: Hot) -> DataFrame:
 
 def staff_profile(
     assignments: DataFrame,
-    spells: DataFrame,
-    positions: DataFrame,
-    orgs: DataFrame,
-    as_of: dt.date,
+    running: DataFrame | None = None,
+    positions: DataFrame | None = None,
+    orgs: DataFrame | None = None,
 ) -> DataFrame:
-    """Per employee, company and stretch of days: titles, and whether employed at ``as_of``.
+    """Per employee, company and stretch of days: the assignment and what is known with it.
 
-    The look-ups and the activity flag are attached here, to the small side, so that a
-    participation needs a single join to get all of them.
+    Look-ups and the activity flag are attached here, to the small side, so that a
+    participation needs a single join to get all of them.  A report passes only the
+    tables it shows something of.
     """
-    timeline = assignment_timeline(assignments, running_spells(spells, as_of))
-    titled = lookup(timeline, positions, ["company_id", "pos_code"], "position_title")
-    return lookup(titled, orgs, ["company_id", "org_code"], "org_name")
+    profile = assignment_timeline(assignments, running)
+    if positions is not None:
+        profile = lookup(profile, positions, ["company_id", "pos_code"], "position_title")
+    if orgs is not None:
+        profile = lookup(profile, orgs, ["company_id", "org_code"], "org_name")
+    return profile
 
 
 def staff_flags(assignments: DataFrame, spells: DataFrame, as_of: dt.date) -> DataFrame:
@@ -150,6 +136,12 @@ def site_groups(assignments: DataFrame, spells: DataFrame, groups: DataFrame) ->
     )
 
 
+def spell_counts(spells: DataFrame) -> DataFrame:
+    """Work spells with equal bounds as one row and their number."""
+    bounds = [F.col("start_date").alias("spell_from"), open_ended(F.col("end_date")).alias("spell_to")]
+    return spells.groupBy("emp_no", "company_id", *bounds).agg(F.count(F.lit(1)).alias("_spells"))
+
+
 def _same_person(hot: Hot) -> list[Column]:
     return [
         F.col("r.participant_id") == F.col("s.emp_no"),
@@ -179,7 +171,7 @@ def course_names(links: DataFrame, courses: DataFrame, categories: DataFrame) ->
     """Course title and category name per event and course link."""
     catalogue = lookup(courses, categories, ["course_category_id"], "category_name")
     named = catalogue.select("course_id", "course_title", "category_name")
-    return links.join(named, "course_id", "left").select(EVENT, "course_title", "category_name")
+    return links.join(named, "course_id", "left").drop("course_id")
 
 
 def position_label(internal: Column) -> Column:

@@ -81,6 +81,26 @@ def same_part(left: str, right: str, hot: DataFrame | None) -> list[Column]:
     return [] if hot is None else [F.col(f"{left}.{PART}") == F.col(f"{right}.{PART}")]
 
 
+def spread_outer(
+    one: DataFrame, many: DataFrame, on: Sequence[str], hot: DataFrame | None, kept: str = "true"
+) -> DataFrame:
+    """Left join of ``one`` with a long table that may hold hot keys; needs it numbered.
+
+    A left join cannot be split on its right side.  Where keys may be hot it is therefore
+    written as its two halves: the matching rows come from a join that splits hot keys,
+    the rest from an anti join against the counts per key.  ``kept`` filters the long
+    table's rows; it must be true for the row of NULLs that stands for no partner.  The
+    long side outgrows any broadcast, hence the merge hint while it is short.
+    """
+    if hot is None:
+        return one.join(many.hint("merge"), list(on), "left").where(kept)
+    matched = spread_join(many.where(kept), one, on, hot)
+    # Reading the count keeps this the same aggregate as the one that finds hot keys.
+    counts = key_counts(many, on).where("_rows > 0")
+    lonely = one.join(counts, list(on), "left_anti").withColumn(ROW, F.xxhash64(*on))
+    return matched.unionByName(lonely, allowMissingColumns=True)
+
+
 def spread_join(
     big: DataFrame,
     other: DataFrame,

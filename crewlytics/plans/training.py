@@ -13,16 +13,24 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crewlytics.functions import fixed_values as fv
-from crewlytics.functions.dates import day_of, month_key, open_ended
+from crewlytics.functions.dates import day_of, month_key
 from crewlytics.functions.numbers import ratio
 from crewlytics.functions.text import labelled
 from crewlytics.operators import participation as part
 from crewlytics.operators.filters import after, staff
 from crewlytics.operators.kpis import kpi_row, sum_when
-from crewlytics.operators.matching import without_match
+from crewlytics.operators.matching import running_spells, without_match
 from crewlytics.operators.ordering import ranked
 from crewlytics.operators.participation import EVENT
-from crewlytics.operators.skew import HOT_ROWS, PART, key_counts, spread_join
+from crewlytics.operators.skew import (
+    HOT_ROWS,
+    PART,
+    ROW,
+    key_counts,
+    numbered,
+    spread_join,
+    spread_outer,
+)
 from crewlytics.sources.workforce import Workforce
 
 AS_OF = dt.date(2000, 1, 1)
@@ -34,8 +42,14 @@ def _event_name() -> Column:
 
 
 def hot_of(w: Workforce, hot_rows: int) -> part.Hot:
-    """Hot events and participants of the participation table."""
-    return part.hot_sides(w.training_participant, w.row_count("training_participant"), hot_rows)
+    """The keys that hold more than ``hot_rows`` rows of the two long tables."""
+    people, links = w.training_participant, w.training_event_course
+    participations = w.row_count("training_participant")
+    return part.Hot(
+        events=part.hot_in(people, participations, [EVENT], hot_rows),
+        people=part.hot_in(people, participations, ["participant_id"], hot_rows),
+        courses=part.hot_in(links, w.row_count("training_event_course"), [EVENT], hot_rows),
+    )
 
 
 def training_main(
@@ -50,15 +64,15 @@ def training_main(
     events = w.training_event
     narrow = events.select(EVENT, "company_id", "start_date")
     rows = part.by_participant(part.participations(narrow, w.training_participant, hot), hot)
-    profile = part.staff_profile(
-        w.company_pers_assign, w.work_spell, w.position_dim, w.org_dim, as_of
-    )
+    running = running_spells(w.work_spell, as_of)
+    profile = part.staff_profile(w.company_pers_assign, running, w.position_dim, w.org_dim)
     sites = part.site_groups(w.company_pers_assign, w.work_spell, w.staff_group_dim)
     titled = part.with_profile(rows, profile, hot, "position_title", "org_name", "is_active")
     placed = part.with_site_groups(titled, sites, hot).drop(PART, "company_id", "start_date")
 
-    links = part.course_names(w.training_event_course, w.course, w.course_category)
-    offered = events.join(links, EVENT, "left")
+    links = w.training_event_course if hot.courses is None else numbered(w.training_event_course)
+    named = part.course_names(links, w.course, w.course_category)
+    offered = spread_outer(events, named, [EVENT], hot.courses).drop(ROW)
     is_live = F.when(F.col("cancel_date").isNull(), 1).otherwise(0)
     if hot.events is None:
         main = placed.join(offered, EVENT)
@@ -122,15 +136,19 @@ def training_kpi_summary(
         flags.withColumnRenamed("emp_no", "participant_id"), ["participant_id", "company_id"], "left"
     )
     spelled = flagged.alias("d").join(
-        w.work_spell.alias("s"),
+        part.spell_counts(w.work_spell).alias("s"),
         [
             F.col("d.participant_id") == F.col("s.emp_no"),
             F.col("d.company_id") == F.col("s.company_id"),
             F.col("d.assigned"),
-            F.col("d.start_date").between(F.col("s.start_date"), open_ended(F.col("s.end_date"))),
+            F.col("d.start_date").between(F.col("s.spell_from"), F.col("s.spell_to")),
         ],
         "left",
-    ).select("d.*")
+    )
+    repeats = F.coalesce("_spells", F.lit(1))
+    spelled = spelled.withColumns(
+        {"rows": F.col("rows") * repeats, "hours": F.col("hours") * repeats}
+    )
 
     inside = F.col("internal") & F.coalesce("active", F.lit(False))
     per_person = spelled.groupBy("participant_id", "internal").agg(
@@ -209,24 +227,22 @@ def _live_rows(w: Workforce, hot: part.Hot) -> DataFrame:
     return part.participations(narrow, w.training_participant, hot, only_live=True)
 
 
-def _titled(w: Workforce, hot: part.Hot) -> DataFrame:
-    profile = part.staff_profile(
-        w.company_pers_assign, w.work_spell, w.position_dim, w.org_dim, AS_OF
-    )
-    rows = part.by_participant(_live_rows(w, hot), hot)
-    return part.with_profile(rows, profile, hot, "position_title", "org_name")
-
-
 def _by_position(w: Workforce, hot: part.Hot) -> DataFrame:
-    return _titled(w, hot).withColumn("name", part.position_label(part.is_internal()))
+    profile = part.staff_profile(w.company_pers_assign, positions=w.position_dim)
+    rows = part.by_participant(_live_rows(w, hot), hot)
+    titled = part.with_profile(rows, profile, hot, "position_title")
+    return titled.withColumn("name", part.position_label(part.is_internal()))
 
 
 def _by_department(w: Workforce, hot: part.Hot) -> DataFrame:
-    return _titled(w, hot).withColumn("name", part.department_label())
+    profile = part.staff_profile(w.company_pers_assign, orgs=w.org_dim)
+    rows = part.by_participant(_live_rows(w, hot), hot)
+    titled = part.with_profile(rows, profile, hot, "org_name")
+    return titled.withColumn("name", part.department_label())
 
 
 def _by_group(w: Workforce, hot: part.Hot) -> DataFrame:
-    sites = part.site_groups(w.company_pers_assign, w.work_spell, w.staff_group_dim)
+    sites = part.site_groups(w.company_pers_assign, w.work_spell, w.staff_group_dim).distinct()
     rows = part.by_participant(_live_rows(w, hot), hot)
     placed = part.with_site_groups(rows, sites, hot)
     return placed.withColumn("name", part.group_label(part.is_internal()))
@@ -234,8 +250,9 @@ def _by_group(w: Workforce, hot: part.Hot) -> DataFrame:
 
 def _by_course(w: Workforce, hot: part.Hot, column: str) -> DataFrame:
     links = part.course_names(w.training_event_course, w.course, w.course_category)
+    offered = links.select(EVENT, column).distinct()
     name = labelled(F.col(column), fv.TRAINING_UNKNOWN).alias("name")
-    named = w.training_event.select(EVENT).join(links, EVENT, "left").select(EVENT, name).distinct()
+    named = w.training_event.select(EVENT).join(offered, EVENT, "left").select(EVENT, name)
     return part.participations(named, w.training_participant, hot, only_live=True)
 
 

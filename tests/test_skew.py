@@ -7,7 +7,14 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from crewlytics.operators import participation as part
-from crewlytics.operators.skew import hot_keys, key_counts, numbered, split_rows, spread_join
+from crewlytics.operators.skew import (
+    hot_keys,
+    key_counts,
+    numbered,
+    split_rows,
+    spread_join,
+    spread_outer,
+)
 from crewlytics.plans import training
 
 REPORTS = {
@@ -43,13 +50,37 @@ def lopsided(given):
         {
             "training_event_id": e,
             "company_id": "C",
+            "start_date": "2000-06-01",
             "training_duration": 10,
             "training_duration_unit": "Hour",
         }
         for e in (1, 2, 3, 4, 5)
     ]
-    courses = [{"training_event_id": 1, "course_id": c} for c in (1, 2, 3)]
-    return given(training_event=events, training_participant=people, training_event_course=courses)
+    courses = [{"training_event_id": 1, "course_id": c % 3} for c in range(9)]
+    spells = [
+        {"emp_no": 3, "company_id": "C", "site_code": str(i % 2), "start_date": "2000-01-01"}
+        for i in range(6)
+    ]
+    assigned = [
+        {
+            "emp_no": 3,
+            "company_id": "C",
+            "org_code": "O",
+            "pos_code": f"p{i}",
+            "valid_from": "2000-01-01",
+            "valid_to": "2000-12-31",
+        }
+        for i in range(12)
+    ]
+    return given(
+        training_event=events,
+        training_participant=people,
+        training_event_course=courses,
+        work_spell=spells,
+        company_pers_assign=assigned,
+        position_dim=[{"company_id": "C", "pos_code": "p0", "position_title": "first"}],
+        staff_group_dim=[{"company_id": "C", "site_code": "1", "group_name": "one"}],
+    )
 
 
 @pytest.mark.parametrize("name", sorted(REPORTS))
@@ -82,5 +113,15 @@ def test_spread_join_is_the_plain_join(spark, how):
 
 
 def test_short_tables_are_not_counted(workforce):
-    rows = workforce.row_count("training_participant")
-    assert part.hot_sides(workforce.training_participant, rows) == part.Hot()
+    assert training.hot_of(workforce, 10**9) == part.Hot()
+    assert None not in vars(training.hot_of(workforce, 3)).values()
+
+
+@pytest.mark.parametrize("hot_rows", [2, 10**9])
+def test_spread_outer_is_the_plain_left_join(spark, hot_rows):
+    one = spark.createDataFrame([(k, f"n{k}") for k in range(6)], "k long, n string")
+    many = spark.createDataFrame([(1, None)] * 9 + [(2, 5), (2, None), (None, 7)], "k long, c int")
+    hot = part.hot_in(many, many.count(), ["k"], hot_rows)
+    rows = many if hot is None else numbered(many)
+    found = spread_outer(one, rows, ["k"], hot, "c IS NULL").select("k", "n", "c")
+    assert rows_of(found) == rows_of(one.join(many, "k", "left").where("c IS NULL"))
