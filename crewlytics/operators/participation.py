@@ -11,6 +11,7 @@ from crewlytics.functions import fixed_values as fv
 from crewlytics.functions.dates import open_ended
 from crewlytics.functions.numbers import ratio, training_hours
 from crewlytics.functions.text import joined, labelled, upper_text
+from crewlytics.operators.kpis import count_when
 from crewlytics.operators.matching import assignment_timeline, in_stretch, lookup, running_spells
 from crewlytics.operators.skew import (
     hot_keys,
@@ -47,7 +48,7 @@ def event_hours() -> Column:
 def participant_counts(participants: DataFrame) -> DataFrame:
     """Rows and live rows per event."""
     return participants.groupBy(EVENT).agg(
-        F.count(F.lit(1)).alias("_rows"), F.count_if(F.expr(IS_LIVE)).alias("_live_rows")
+        F.count(F.lit(1)).alias("_rows"), count_when(F.expr(IS_LIVE)).alias("_live_rows")
     )
 
 

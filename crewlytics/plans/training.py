@@ -18,7 +18,7 @@ from crewlytics.functions.numbers import ratio
 from crewlytics.functions.text import labelled
 from crewlytics.operators import participation as part
 from crewlytics.operators.filters import after, staff
-from crewlytics.operators.kpis import kpi_row, sum_when
+from crewlytics.operators.kpis import count_when, kpi_row, sum_when
 from crewlytics.operators.matching import running_spells, without_match
 from crewlytics.operators.ordering import ranked
 from crewlytics.operators.participation import EVENT
@@ -170,8 +170,8 @@ def training_kpi_summary(
             "total_participants": F.coalesce(F.sum("rows"), F.lit(0)),
             "unique_participants": F.count("rows"),
             "active_internal_total": F.coalesce(F.sum("inside_rows"), F.lit(0)),
-            "active_internal_unique": F.count_if(F.col("inside_rows") > 0),
-            "external_unique": F.count_if(external),
+            "active_internal_unique": count_when(F.col("inside_rows") > 0),
+            "external_unique": count_when(external),
             "total_training_hours": F.round(F.sum("allocated"), 2),
             "avg_hours_per_active_internal": F.round(ratio(inside_hours, F.sum("inside_rows")), 2),
             "avg_hours_per_external": F.round(ratio(external_hours, external_rows), 2),

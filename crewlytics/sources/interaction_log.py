@@ -14,6 +14,32 @@ def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.to_date("ts"))
 
 
+def interaction(
+    question: str,
+    generated_sql: str | None,
+    success: bool,
+    at: dt.datetime,
+    row_count: int = 0,
+    error: object = None,
+) -> dict:
+    """One record of the log."""
+    return {
+        "ts": at,
+        "question": question,
+        "generated_sql": generated_sql,
+        "success": success,
+        "row_count": row_count,
+        "error_details": str(error) if error else None,
+        "app_version": fv.APP_VERSION,
+    }
+
+
+def records(spark: SparkSession, interactions: list[dict]) -> DataFrame:
+    """Records a service has gathered, ready to be appended together."""
+    schema = view_schema("interactions")
+    return spark.createDataFrame([[r[n] for n in schema.names] for r in interactions], schema)
+
+
 def append_interactions(df: DataFrame, path: str) -> None:
     """Adds records to the log.
 

@@ -5,8 +5,10 @@ import os
 import sys
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DateType, DecimalType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -72,8 +74,9 @@ def make(spark):
         for row in rows:
             unknown = set(row) - set(schema.names)
             assert not unknown, unknown
-        values = [[typed(row.get(f.name), f.dataType) for f in schema] for row in rows]
-        return spark.createDataFrame(values, schema)
+        values = [{f.name: typed(row.get(f.name), f.dataType) for f in schema} for row in rows]
+        table = pa.Table.from_pylist(values, schema=to_arrow_schema(schema))
+        return spark.createDataFrame(table, schema)
 
     return build
 

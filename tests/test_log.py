@@ -14,7 +14,9 @@ from crewlytics.operators.quality import fk_orphans, key_violations
 from crewlytics.operators.query_log import normalise_queries
 from crewlytics.sources.interaction_log import (
     append_interactions,
+    interaction,
     read_interactions,
+    records,
     retain,
 )
 from crewlytics.streaming.interactions import event_stream, interactions_stream
@@ -53,6 +55,23 @@ def test_append_keeps_what_is_there(spark, workforce, tmp_path):
     assert any(name.startswith("day=2024-01-") for name in os.listdir(path))
 
 
+def test_records_of_a_service(spark, tmp_path):
+    at = dt.datetime(2024, 2, 5, 10, 30)
+    made = [
+        interaction("q1", "SELECT 1", True, at, row_count=1),
+        interaction("q2", None, False, at, error=ValueError("bad")),
+    ]
+    append_interactions(records(spark, made), str(tmp_path / "log"))
+    stored = read_interactions(spark, str(tmp_path / "log")).drop("day")
+    assert rows_of(stored) == sorted(
+        [
+            (at, "q1", "SELECT 1", True, 1, None, "1.0.0"),
+            (at, "q2", None, False, 0, "bad", "1.0.0"),
+        ],
+        key=repr,
+    )
+
+
 def test_expired_days_are_not_read(spark, workforce, tmp_path):
     path = str(tmp_path / "log")
     append_interactions(workforce.interactions, path)

@@ -49,7 +49,9 @@ def test_catalog_tables(spark, workforce):
 def test_wrong_schema_is_an_error(spark):
     with pytest.raises(ValueError, match="course_title is missing"):
         checked(spark.range(1).withColumnRenamed("id", "course_id"), "course")
-    wrong = spark.createDataFrame([(1, "t", "c")], "course_id int, course_title string, course_category_id string")
+    wrong = spark.createDataFrame(
+        [(1, "t", "c")], "course_id int, course_title string, course_category_id string"
+    )
     with pytest.raises(ValueError, match="course_id is int, expected bigint"):
         checked(wrong, "course")
 

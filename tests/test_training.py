@@ -333,10 +333,11 @@ def test_unknown_breakdown_is_an_error(workforce):
 
 
 def test_spell_join_and_exists_flag(given):
+    person = {"emp_no": 1, "company_id": "A"}
     w = given(
         work_spell=[
-            {"emp_no": 1, "company_id": "A", "site_code": "x", "start_date": "2000-01-01", "end_date": "2000-01-31"},
-            {"emp_no": 1, "company_id": "A", "site_code": "y", "start_date": "2000-01-31"},
+            person | {"site_code": "x", "start_date": "2000-01-01", "end_date": "2000-01-31"},
+            person | {"site_code": "y", "start_date": "2000-01-31"},
         ]
     )
     days = [(1, "A", _date(d)) for d in ("1999-12-31", "2000-01-31", "2500-01-01")] + [(2, "A", None)]
