@@ -73,3 +73,16 @@ def test_dates(value):
     assert value(dates.covers(F.lit(day), F.lit(None).cast("date"), F.lit(day))) is None
     assert value(dates.running_at(F.lit(day), F.lit(day), day)) is False
     assert value(dates.running_at(F.lit(day), F.lit(None).cast("date"), day)) is True
+
+
+def test_tune_leaves_a_chosen_setting_alone(spark):
+    from crewlytics.sources.session import JVM_LIMIT, METHOD_LIMIT, SPARK_DEFAULT, tune
+
+    before = spark.conf.get(METHOD_LIMIT)
+    try:
+        spark.conf.set(METHOD_LIMIT, SPARK_DEFAULT)
+        assert tune(spark).conf.get(METHOD_LIMIT) == JVM_LIMIT
+        spark.conf.set(METHOD_LIMIT, "9000")
+        assert tune(spark).conf.get(METHOD_LIMIT) == "9000"
+    finally:
+        spark.conf.set(METHOD_LIMIT, before)
