@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewlytics.llm import simhash_gray
+from crewlytics.llm import pattern_packing, simhash_gray, token_files
+from crewlytics.sources.scratch import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    return pattern_packing.pack(table(spark, sf_dir, "documents"), path, 2048, 0)
+
+
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents: four-word shingles, four bits."""
     groups = simhash_gray.simhash_groups(table(spark, sf_dir, "documents"), 4, 4)
@@ -24,8 +37,17 @@ def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to token files and read back."""
+    folder = shared_folder(spark, "tokens")
+    path = tokenizer_path("word_bpe_49k.json")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, path, "dropped", 2)
+    sums = token_files.checksums(token_files.read_tokens(spark, folder))
+    return token_files.read_metadata(spark, folder).join(sums, "seq").drop("seq")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_simhash_gray,)}
+    return {f.__name__: f for f in (op3_pattern_packing, op4_simhash_gray, op7_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
