@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewlytics.llm import pattern_packing, simhash_gray, token_files
+from crewlytics.llm import pattern_packing, quality_trees, simhash_gray, token_files, warc
 from crewlytics.sources.scratch import shared_folder
 
 
@@ -37,6 +37,21 @@ def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    folder = shared_folder(spark, "archives")
+    warc.write_pages(table(spark, sf_dir, "pages"), folder)
+    found = warc.read_archives(spark, folder, payloads=False).where("gap is null")
+
+    return found.select(
+        F.expr(r"nullif(regexp_extract(record_id, r'^urn:page:(-?\d+)$', 1), '')").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.expr(r"nullif(regexp_extract(refers_to, r'^urn:page:(-?\d+)$', 1), '')").cast("long").alias("refers_to"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids written to token files and read back."""
     folder = shared_folder(spark, "tokens")
@@ -46,8 +61,21 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_metadata(spark, folder).join(sums, "seq").drop("seq")
 
 
+def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents judged by the base rules and trees fitted to the labels."""
+    docs = table(spark, sf_dir, "documents")
+    trees = quality_trees.train(docs, table(spark, sf_dir, "labels"))
+    return quality_trees.judge(docs, trees).drop("score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pattern_packing, op4_simhash_gray, op7_token_files)}
+    return {f.__name__: f for f in (
+        op3_pattern_packing,
+        op4_simhash_gray,
+        op6_warc,
+        op7_token_files,
+        op10_quality_trees,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:

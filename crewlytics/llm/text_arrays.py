@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+LONG = 1024
 
 
 @dataclass
@@ -80,12 +81,16 @@ _KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [2**64 - 1], U64)
 
 
 def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, eight bytes of all ranges at a time."""
+    """A 64-bit hash of each byte range, eight bytes of all ranges at a time; long ones singly."""
+    import xxhash
+
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eights = np.ndarray((len(data) + 1,), "<u8", padded.data, 0, (1,))
     left = (ends - starts).astype(np.int64)
     out = mix(left.astype(U64) + U64(0x9E3779B97F4A7C15))
-    live, at = np.flatnonzero(left > 0), starts
+    for i in np.flatnonzero(left > LONG):
+        out[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].data)
+    live, at = np.flatnonzero((left > 0) & (left <= LONG)), starts
     at = at[live]
     rest = left[live]
     while len(live):
