@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crewlytics.llm import pattern_packing, quality_trees, simhash_gray, token_files, warc
+from crewlytics.llm import (
+    pattern_packing,
+    preference_chat,
+    quality_trees,
+    simhash_gray,
+    token_files,
+    twins,
+    url_reputation,
+    warc,
+)
 from crewlytics.sources.scratch import shared_folder
 
 
@@ -61,6 +70,42 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_metadata(spark, folder).join(sums, "seq").drop("seq")
 
 
+RULES = [
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+]
+
+
+def op8_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page urls judged by rules and by the reputation of their host.
+
+    A page counts as bad where the label of its id says low quality or toxic.
+    """
+    labels = table(spark, sf_dir, "labels")
+    bad = F.expr("cast(quality = 0 or toxic = 1 as int)")
+    outcomes = labels.select(F.col("doc_id").alias("id"), bad.alias("bad"))
+    return url_reputation.judge_urls(table(spark, sf_dir, "pages"), outcomes, RULES)
+
+
+def op9_preference_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations against the same with their partner's last reply."""
+    chosen, rejected = preference_chat.swapped_replies(table(spark, sf_dir, "conversations"))
+    pairs = preference_chat.preference_pairs(chosen, rejected)
+    spans = "array_join(transform({}, s -> concat(s.start, ':', s.length)), ' ')"
+    return pairs.select(
+        F.col("pair_id").alias("conv_id"),
+        "n_prompt_turns",
+        "prompt",
+        "chosen",
+        "rejected",
+        F.expr(spans.format("chosen_spans")).alias("chosen_trained"),
+        F.expr(spans.format("rejected_spans")).alias("rejected_trained"),
+    )
+
+
 def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents judged by the base rules and trees fitted to the labels."""
     docs = table(spark, sf_dir, "documents")
@@ -74,9 +119,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_simhash_gray,
         op6_warc,
         op7_token_files,
+        op8_url_reputation,
+        op9_preference_chat,
         op10_quality_trees,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return twins.TWINS
