@@ -12,6 +12,7 @@ from crewlytics.llm import (
     preference_chat,
     quality_trees,
     simhash_gray,
+    substring_rlz,
     token_files,
     twins,
     url_reputation,
@@ -30,6 +31,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the words of 13-word windows that smaller documents have."""
+    kept = substring_rlz.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return kept.select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256")
+    )
+
+
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     path = tokenizer_path("byte_bpe_50k.json")
@@ -115,6 +125,7 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op2_substring_rlz,
         op3_pattern_packing,
         op4_simhash_gray,
         op6_warc,
