@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewlytics.llm import (
+    decontamination,
     pattern_packing,
     preference_chat,
     quality_trees,
@@ -56,6 +57,12 @@ def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a passage like a benchmark item: five-word shingles, similarity 0.8."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.contaminated(docs, items).drop("key")
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives and read back."""
     folder = shared_folder(spark, "archives")
@@ -128,6 +135,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_substring_rlz,
         op3_pattern_packing,
         op4_simhash_gray,
+        op5_decontamination,
         op6_warc,
         op7_token_files,
         op8_url_reputation,
