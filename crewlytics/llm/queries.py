@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crewlytics.llm import (
     decontamination,
+    html_templates,
     pattern_packing,
     preference_chat,
     quality_trees,
@@ -32,6 +33,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages."""
+    return html_templates.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the words of 13-word windows that smaller documents have."""
     kept = substring_rlz.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -132,6 +138,7 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
+        op1_html_templates,
         op2_substring_rlz,
         op3_pattern_packing,
         op4_simhash_gray,
