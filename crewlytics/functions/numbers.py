@@ -35,9 +35,9 @@ def age_band(stored: Column, age: Column) -> Column:
 
 
 def training_hours(duration: Column, unit: Column) -> Column:
-    """Length of an event in hours; NULL for a unit that has no hour value."""
+    """Length of an event in hours, as a decimal; NULL for a unit that has no hour value."""
     factors = [F.lit(x) for pair in fv.HOURS_PER_UNIT.items() for x in pair]
-    return (duration * F.try_element_at(F.create_map(*factors), unit)).cast("double")
+    return duration * F.try_element_at(F.create_map(*factors), unit)
 
 
 def row_uniform(key: Column, seed: int, part: int) -> Column:

@@ -14,8 +14,6 @@ from crewlytics.functions.text import joined, labelled, upper_text
 from crewlytics.operators.kpis import count_when
 from crewlytics.operators.matching import assignment_timeline, in_stretch, lookup, running_spells
 from crewlytics.operators.skew import (
-    hot_keys,
-    key_counts,
     numbered,
     repeat_rows,
     same_part,
@@ -42,6 +40,7 @@ def participant_key(internal: Column) -> Column:
 
 
 def event_hours() -> Column:
+    """Hours of an event, exact; sums of them do not depend on the order of rows."""
     return training_hours(F.col("training_duration"), F.col("training_duration_unit"))
 
 
@@ -64,30 +63,23 @@ def live_events(events: DataFrame, participants: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Hot:
-    """Keys with very many rows; None where there cannot be any.
+    """Keys with very many rows.
 
     Events and participants of the participation table, events of the course links.
     """
 
-    events: DataFrame | None = None
-    people: DataFrame | None = None
-    courses: DataFrame | None = None
-
-
-def hot_in(table: DataFrame, rows: int, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Hot keys of a table of known length.
-
-    A table of at most ``hot_rows`` rows has no key with more, so nothing is counted.
-    """
-    return hot_keys(key_counts(table, keys), keys, hot_rows) if rows > hot_rows else None
+    events: DataFrame
+    people: DataFrame
+    courses: DataFrame
 
 
 def participations(
     events: DataFrame, participants: DataFrame, hot: Hot, only_live: bool = False
 ) -> DataFrame:
     """Every event with each of its participants; an event without any is kept once."""
-    rows = participants if hot.events is None else numbered(participants)
-    return spread_outer(events, rows, [EVENT], hot.events, IS_LIVE if only_live else "true")
+    return spread_outer(
+        events, numbered(participants), [EVENT], hot.events, IS_LIVE if only_live else "true"
+    )
 
 
 def by_participant(rows: DataFrame, hot: Hot) -> DataFrame:
@@ -143,11 +135,11 @@ def spell_counts(spells: DataFrame) -> DataFrame:
     return spells.groupBy("emp_no", "company_id", *bounds).agg(F.count(F.lit(1)).alias("_spells"))
 
 
-def _same_person(hot: Hot) -> list[Column]:
+def _same_person() -> list[Column]:
     return [
         F.col("r.participant_id") == F.col("s.emp_no"),
         F.col("r.company_id") == F.col("s.company_id"),
-        *same_part("r", "s", hot.people),
+        *same_part("r", "s"),
     ]
 
 
@@ -156,14 +148,14 @@ def with_profile(rows: DataFrame, profile: DataFrame, hot: Hot, *columns: str) -
     side = repeat_rows(profile, hot.people, {"emp_no": "participant_id"}).alias("s")
     stretch = in_stretch(F.col("r.start_date"), F.col("s.from_day"), F.col("s.until_day"))
     added = [F.col(f"s.{c}") for c in columns]
-    return rows.alias("r").join(side, [*_same_person(hot), stretch], "left").select("r.*", *added)
+    return rows.alias("r").join(side, [*_same_person(), stretch], "left").select("r.*", *added)
 
 
 def with_site_groups(rows: DataFrame, sites: DataFrame, hot: Hot) -> DataFrame:
     """Adds the group of each work spell that contains the day the event starts."""
     side = repeat_rows(sites, hot.people, {"emp_no": "participant_id"}).alias("s")
     spell = F.col("r.start_date").between(F.col("s.spell_from"), F.col("s.spell_to"))
-    return rows.alias("r").join(side, [*_same_person(hot), spell], "left").select(
+    return rows.alias("r").join(side, [*_same_person(), spell], "left").select(
         "r.*", "s.group_name"
     )
 

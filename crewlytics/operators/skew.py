@@ -5,8 +5,9 @@ key; the matching rows of the other side are repeated once per part.  Keys that
 hot have a single part, so nothing is repeated for them.  The result is that of the
 plain join, whichever keys are called hot.
 
-Throughout, ``hot`` is the table of hot keys, or None where the large side is too short
-to hold one; then the plain join is used and nothing is counted.
+Throughout, ``hot`` is the table of hot keys.  It is found by exact counts when the query
+runs, whatever the size of the table; there is one plan for short and long tables, and
+nothing is counted while a query is built.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 HOT_ROWS = 5_000_000
 ROW = "_row"
 PART = "_part"
+OTHER_PART = "_other_part"
 
 
 def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -53,47 +55,40 @@ def _with_parts(df: DataFrame, hot: DataFrame, on: Mapping[str, str]) -> DataFra
     return joined.drop(*[f"_hot_{k}" for k in on.values()])
 
 
-def split_rows(df: DataFrame, hot: DataFrame | None, on: Mapping[str, str]) -> DataFrame:
+def split_rows(df: DataFrame, hot: DataFrame, on: Mapping[str, str], into: str = PART) -> DataFrame:
     """Sends each row of a hot key to one of its parts, chosen by the row number.
 
     A row without a key has no partner; its row number stands in as the part, so that
     such rows spread out as well instead of meeting in the partition of NULL.
     """
-    if hot is None:
-        return df
     part = F.pmod(F.col(ROW), F.coalesce(F.col("_parts"), F.lit(1)).cast("long"))
     for name in on:
         part = F.when(F.col(name).isNull(), F.col(ROW)).otherwise(part)
-    return _with_parts(df, hot, on).withColumn(PART, part).drop("_parts")
+    return _with_parts(df, hot, on).withColumn(into, part).drop("_parts")
 
 
-def repeat_rows(df: DataFrame, hot: DataFrame | None, on: Mapping[str, str]) -> DataFrame:
+def repeat_rows(df: DataFrame, hot: DataFrame, on: Mapping[str, str], into: str = PART) -> DataFrame:
     """Repeats each row of a hot key once per part."""
-    if hot is None:
-        return df
     last = F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1
     parts = F.sequence(F.lit(0).cast("long"), last)
-    return _with_parts(df, hot, on).withColumn(PART, F.explode(parts)).drop("_parts")
+    return _with_parts(df, hot, on).withColumn(into, F.explode(parts)).drop("_parts")
 
 
-def same_part(left: str, right: str, hot: DataFrame | None) -> list[Column]:
+def same_part(left: str, right: str) -> list[Column]:
     """The extra join condition between a split and a repeated side."""
-    return [] if hot is None else [F.col(f"{left}.{PART}") == F.col(f"{right}.{PART}")]
+    return [F.col(f"{left}.{PART}") == F.col(f"{right}.{PART}")]
 
 
 def spread_outer(
-    one: DataFrame, many: DataFrame, on: Sequence[str], hot: DataFrame | None, kept: str = "true"
+    one: DataFrame, many: DataFrame, on: Sequence[str], hot: DataFrame, kept: str = "true"
 ) -> DataFrame:
     """Left join of ``one`` with a long table that may hold hot keys; needs it numbered.
 
-    A left join cannot be split on its right side.  Where keys may be hot it is therefore
-    written as its two halves: the matching rows come from a join that splits hot keys,
-    the rest from an anti join against the counts per key.  ``kept`` filters the long
-    table's rows; it must be true for the row of NULLs that stands for no partner.  The
-    long side outgrows any broadcast, hence the merge hint while it is short.
+    A left join cannot be split on its right side.  It is therefore written as its two
+    halves: the matching rows come from a join that splits hot keys, the rest from an anti
+    join against the counts per key.  ``kept`` filters the long table's rows; it must be
+    true for the row of NULLs that stands for no partner.
     """
-    if hot is None:
-        return one.join(many.hint("merge"), list(on), "left").where(kept)
     matched = spread_join(many.where(kept), one, on, hot)
     # Reading the count keeps this the same aggregate as the one that finds hot keys.
     counts = key_counts(many, on).where("_rows > 0")
@@ -105,13 +100,25 @@ def spread_join(
     big: DataFrame,
     other: DataFrame,
     on: Sequence[str],
-    hot: DataFrame | None,
+    hot: DataFrame,
     how: str = "inner",
 ) -> DataFrame:
     """Inner or left join of a numbered large table on same-named columns."""
-    if hot is None:
-        return big.join(other, list(on), how)
     same = {name: name for name in on}
     left = split_rows(big, hot, same)
     right = repeat_rows(other, hot, same)
     return left.join(right, [*on, PART], how).drop(PART)
+
+
+def spread_both(
+    left: DataFrame, right: DataFrame, on: Sequence[str], hot_left: DataFrame, hot_right: DataFrame
+) -> DataFrame:
+    """Inner join of two numbered long tables, either of which may hold hot keys.
+
+    The rows of a key form a grid: each side is dealt to its own parts and repeated for
+    those of the other, so a task gets one part of each.
+    """
+    same = {name: name for name in on}
+    one = repeat_rows(split_rows(left, hot_left, same), hot_right, same, OTHER_PART)
+    two = repeat_rows(split_rows(right, hot_right, same, OTHER_PART), hot_left, same)
+    return one.drop(ROW).join(two.drop(ROW), [*on, PART, OTHER_PART]).drop(PART, OTHER_PART)

@@ -47,8 +47,11 @@ def _scan(name: str) -> Callable[[Workforce], DataFrame]:
     return scan
 
 
-def headcount_search(w: Workforce, text: str = "ma", limit: int = 10) -> DataFrame:
-    """Regular employees per department, for departments whose name contains a text."""
+def headcount_search(w: Workforce, text: str = "ma", limit: int | None = None) -> DataFrame:
+    """Regular employees per department, for departments whose name contains a text.
+
+    All of them, or the ``limit`` largest.
+    """
     found = staff(w.personnel, active=None).where(contains_ci(F.col("department"), text))
     return distribution(found, [Dim("department")], PEOPLE, ["-count"], limit)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from crewlytics.functions import fixed_values as fv
 from crewlytics.functions.dates import day_of, month_key
@@ -18,17 +18,17 @@ from crewlytics.functions.numbers import ratio
 from crewlytics.functions.text import labelled
 from crewlytics.operators import participation as part
 from crewlytics.operators.filters import after, staff
-from crewlytics.operators.kpis import count_when, kpi_row, sum_when
+from crewlytics.operators.kpis import count_when, kpi_row
 from crewlytics.operators.matching import running_spells, without_match
 from crewlytics.operators.ordering import ranked
 from crewlytics.operators.participation import EVENT
 from crewlytics.operators.skew import (
     HOT_ROWS,
     PART,
-    ROW,
+    hot_keys,
     key_counts,
     numbered,
-    spread_join,
+    spread_both,
     spread_outer,
 )
 from crewlytics.sources.workforce import Workforce
@@ -43,13 +43,14 @@ def _event_name() -> Column:
 
 def hot_of(w: Workforce, hot_rows: int) -> part.Hot:
     """The keys that hold more than ``hot_rows`` rows of the two long tables."""
+    if hot_rows < 1:
+        raise ValueError("hot_rows must be positive")
+
+    def hot(table: DataFrame, key: str) -> DataFrame:
+        return hot_keys(key_counts(table, [key]), [key], hot_rows)
+
     people, links = w.training_participant, w.training_event_course
-    participations = w.row_count("training_participant")
-    return part.Hot(
-        events=part.hot_in(people, participations, [EVENT], hot_rows),
-        people=part.hot_in(people, participations, ["participant_id"], hot_rows),
-        courses=part.hot_in(links, w.row_count("training_event_course"), [EVENT], hot_rows),
-    )
+    return part.Hot(hot(people, EVENT), hot(people, "participant_id"), hot(links, EVENT))
 
 
 def training_main(
@@ -58,35 +59,34 @@ def training_main(
     """One row per event, course, participant and matching work spell: 18 columns.
 
     The number of live rows of an event, which its hours are divided by, is counted
-    after all of these repetitions.
+    after all of these repetitions.  Event rows with one id all count, and share what
+    belongs to it; an event without an id has no participants and no courses.
     """
     hot = hot_of(w, hot_rows)
-    events = w.training_event
-    narrow = events.select(EVENT, "company_id", "start_date")
-    rows = part.by_participant(part.participations(narrow, w.training_participant, hot), hot)
+    events = w.training_event.where(F.col(EVENT).isNotNull())
+    rows = part.by_participant(part.participations(events, w.training_participant, hot), hot)
     running = running_spells(w.work_spell, as_of)
     profile = part.staff_profile(w.company_pers_assign, running, w.position_dim, w.org_dim)
     sites = part.site_groups(w.company_pers_assign, w.work_spell, w.staff_group_dim)
     titled = part.with_profile(rows, profile, hot, "position_title", "org_name", "is_active")
-    placed = part.with_site_groups(titled, sites, hot).drop(PART, "company_id", "start_date")
+    placed = part.with_site_groups(titled, sites, hot).drop(PART)
 
-    links = w.training_event_course if hot.courses is None else numbered(w.training_event_course)
-    named = part.course_names(links, w.course, w.course_category)
-    offered = spread_outer(events, named, [EVENT], hot.courses).drop(ROW)
+    # Live rows of an event: its live rows so far, once for each of its course links.
     is_live = F.when(F.col("cancel_date").isNull(), 1).otherwise(0)
-    if hot.events is None:
-        main = placed.join(offered, EVENT)
-        live_rows = F.sum(is_live).over(Window.partitionBy(EVENT))
-    else:
-        # One event may hold much of the table: count it in pieces, then join the count.
-        counted = part.with_site_groups(rows, sites, hot).groupBy(EVENT).agg(
-            F.sum(is_live).alias("_live")
-        )
-        courses = key_counts(w.training_event_course, [EVENT])
-        total = F.col("_live") * F.coalesce("_rows", F.lit(1))
-        shares = counted.join(courses, EVENT, "left").select(EVENT, total.alias("_live"))
-        main = spread_join(placed, offered.join(shares, EVENT), [EVENT], hot.events)
-        live_rows = F.col("_live")
+    narrow = rows.select(
+        EVENT, "participant_id", "company_id", "start_date", "cancel_date", PART
+    )
+    counted = part.with_site_groups(narrow, sites, hot).groupBy(EVENT).agg(
+        F.sum(is_live).alias("_live")
+    )
+    courses = key_counts(w.training_event_course, [EVENT])
+    total = F.col("_live") * F.coalesce("_rows", F.lit(1))
+    shares = counted.join(courses, EVENT, "left").select(EVENT, total.alias("_live"))
+    named = part.course_names(numbered(w.training_event_course), w.course, w.course_category)
+    offered = spread_outer(shares, named, [EVENT], hot.courses)
+    main = spread_both(placed, offered, [EVENT], hot.events, hot.courses)
+    main = main.unionByName(_without_id(w.training_event), allowMissingColumns=True)
+    live_rows = F.col("_live")
 
     internal = part.is_internal()
     hours = part.event_hours()
@@ -98,7 +98,7 @@ def training_main(
         "start_date",
         "end_date",
         "cancel_date",
-        hours.alias("hours"),
+        hours.cast("double").alias("hours"),
         part.hours_per_person(hours, live_rows).alias("hours_per_person"),
         F.col("company_id").alias("company"),
         "participant_id",
@@ -112,6 +112,13 @@ def training_main(
     )
 
 
+def _without_id(events: DataFrame) -> DataFrame:
+    """Events without an id: nothing belongs to them, and they count as one event's rows."""
+    rows = events.where(F.col(EVENT).isNull()).withColumn("_one", F.lit(1))
+    total = rows.groupBy("_one").agg(F.count(F.lit(1)).alias("_live"))
+    return rows.join(F.broadcast(total), "_one").drop("_one")
+
+
 def training_kpi_summary(
     w: Workforce, as_of: dt.date = AS_OF, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -153,7 +160,7 @@ def training_kpi_summary(
     inside = F.col("internal") & F.coalesce("active", F.lit(False))
     per_person = spelled.groupBy("participant_id", "internal").agg(
         F.sum("rows").alias("rows"),
-        sum_when(inside, F.col("rows")).alias("inside_rows"),
+        F.sum(F.when(inside, F.col("rows")).otherwise(0)).alias("inside_rows"),
         F.sum(F.when(inside, F.col("hours"))).alias("inside_hours"),
         F.sum("hours").alias("hours"),
     )
@@ -161,34 +168,44 @@ def training_kpi_summary(
     parts = per_person.unionByName(total, allowMissingColumns=True)
 
     external = ~F.col("internal")
-    external_rows = F.sum(F.when(external, F.col("rows")))
-    external_hours = sum_when(external, F.col("hours"))
-    inside_hours = sum_when(F.col("inside_rows") > 0, F.col("inside_hours"))
+    rows, inside_rows = F.sum("rows"), F.sum("inside_rows")
+    external_rows = F.sum(F.when(external, F.col("rows")).otherwise(0))
+    cancelled = F.coalesce(F.sum("cancelled"), F.lit(0)) > 0
+
+    def average(hours: Column, own_rows: Column) -> Column:
+        """Rows that the condition leaves out add 0, so the sum is NULL only without them."""
+        some = F.coalesce(hours, F.when((rows > own_rows) | cancelled, 0))
+        return F.round(ratio(some, own_rows), 2)
+
     return kpi_row(
         parts,
         {
-            "total_participants": F.coalesce(F.sum("rows"), F.lit(0)),
+            "total_participants": F.coalesce(rows, F.lit(0)),
             "unique_participants": F.count("rows"),
-            "active_internal_total": F.coalesce(F.sum("inside_rows"), F.lit(0)),
+            "active_internal_total": F.coalesce(inside_rows, F.lit(0)),
             "active_internal_unique": count_when(F.col("inside_rows") > 0),
             "external_unique": count_when(external),
-            "total_training_hours": F.round(F.sum("allocated"), 2),
-            "avg_hours_per_active_internal": F.round(ratio(inside_hours, F.sum("inside_rows")), 2),
-            "avg_hours_per_external": F.round(ratio(external_hours, external_rows), 2),
+            "total_training_hours": F.round(F.sum("allocated"), 2).cast("double"),
+            "avg_hours_per_active_internal": average(F.sum("inside_hours"), inside_rows),
+            "avg_hours_per_external": average(
+                F.sum(F.when(external, F.col("hours"))), external_rows
+            ),
         },
     )
 
 
 def allocated_hours(events: DataFrame, participants: DataFrame) -> DataFrame:
-    """Hours handed out to live rows, one value.
+    """Hours handed out to live rows, one value, and the number of cancelled rows.
 
-    The shares of one event add up to its hours, so the events with a live row are
-    summed; an event whose participations were all cancelled hands out 0.
+    The shares of one event add up to its hours, so the events with a live row are summed.
+    A cancelled row hands out 0, also where the event's hours are unknown.
     """
     counted = events.join(part.participant_counts(participants), EVENT, "left")
     handed_out = F.expr("_rows IS NULL OR _live_rows > 0")
-    value = F.when(handed_out, part.event_hours()).otherwise(F.lit(0.0))
-    return counted.agg(F.sum(value).alias("allocated"))
+    hours = F.when(handed_out, part.event_hours())
+    value = F.coalesce(hours, F.when(F.expr("_rows > _live_rows"), 0))
+    lost = F.sum(F.expr("_rows - _live_rows"))
+    return counted.agg(F.sum(value).alias("allocated"), lost.alias("cancelled"))
 
 
 def training_counts(w: Workforce) -> DataFrame:

@@ -34,13 +34,10 @@ class Workforce:
         self,
         spark: SparkSession,
         load: Callable[[str], DataFrame],
-        whole: Workforce | None = None,
     ):
         self.spark = spark
         self._load = load
-        self._whole = whole
         self._frames: dict[str, DataFrame] = {}
-        self._row_counts: dict[str, int] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in VIEW_SCHEMAS:
@@ -49,25 +46,16 @@ class Workforce:
             self._frames[name] = self._load(name)
         return self._frames[name]
 
-    def row_count(self, name: str) -> int:
-        """Length of a table, counted once; over parquet only the footers are read.
-
-        For a narrowed table it is the length of the whole one, an upper bound.
-        """
-        if self._whole is not None:
-            return self._whole.row_count(name)
-        if name not in self._row_counts:
-            self._row_counts[name] = getattr(self, name).count()
-        return self._row_counts[name]
-
     def narrowed(self, ids: DataFrame, key: str, names: Iterable[str]) -> Workforce:
-        """The same tables, some of them reduced to the rows with a listed key."""
+        """The same tables, some of them reduced to the rows with a listed key, NULL included."""
+        wanted = ids.select(F.col(key).alias("_wanted"))
 
         def load(name: str) -> DataFrame:
             table = getattr(self, name)
-            return table.join(ids, key, "left_semi") if name in names else table
+            same = F.col(key).eqNullSafe(F.col("_wanted"))
+            return table.join(wanted, same, "left_semi") if name in names else table
 
-        return Workforce(self.spark, load, whole=self)
+        return Workforce(self.spark, load)
 
     @classmethod
     def derived(cls, spark: SparkSession, directory: str) -> Workforce:

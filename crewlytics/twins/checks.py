@@ -54,7 +54,7 @@ CLEAN = r"""
 TWINS = {f"scan_{name}": over([name]) + f"SELECT * FROM {name}" for name in SCANS} | {
     "headcount_search": over(["personnel"])
     + "SELECT department, count(emp_id) AS count FROM personnel WHERE org_ref = '1' "
-    "AND is_regular = 1 AND department ILIKE '%ma%' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+    "AND is_regular = 1 AND department ILIKE '%ma%' GROUP BY 1 ORDER BY 2 DESC, 1",
     "adhoc_select": over(["personnel"])
     + "SELECT company, gender, count(emp_id) AS count, CAST(sum(is_active) AS BIGINT) AS active "
     "FROM personnel WHERE org_ref = '1' AND is_regular = 1 GROUP BY ALL",

@@ -78,8 +78,9 @@ MAIN = """main AS (
 
 WITH_MAIN = over(VIEWS, BEST, RUNNING, MAIN)
 LIVE = "FROM main WHERE cancel_date IS NULL"
-INSIDE = "participant_type = 'DAHİLİ' AND is_active = 1"
-OUTSIDE = "participant_type = 'HARİCİ'"
+IS_LIVE = "cancel_date IS NULL"
+INSIDE = f"{IS_LIVE} AND participant_type = 'DAHİLİ' AND is_active = 1"
+OUTSIDE = f"{IS_LIVE} AND participant_type = 'HARİCİ'"
 
 
 def breakdown(column: str) -> str:
@@ -104,17 +105,19 @@ ORDERED = """SELECT * FROM main ORDER BY start_date DESC NULLS FIRST, event_id,
 TWINS = {
     "training_kpi_summary": WITH_MAIN
     + f"""SELECT
-    count(participant_key) AS total_participants,
-    count(DISTINCT participant_key) AS unique_participants,
-    count(*) FILTER ({INSIDE}) AS active_internal_total,
-    count(DISTINCT participant_key) FILTER ({INSIDE}) AS active_internal_unique,
-    count(DISTINCT participant_key) FILTER ({OUTSIDE}) AS external_unique,
-    round(sum(hours_per_person), 2) AS total_training_hours,
-    round(sum(hours) FILTER ({INSIDE}) / nullif(count(*) FILTER ({INSIDE}), 0), 2)
+    count(CASE WHEN {IS_LIVE} THEN participant_key END) AS total_participants,
+    count(DISTINCT CASE WHEN {IS_LIVE} THEN participant_key END) AS unique_participants,
+    count(CASE WHEN {INSIDE} THEN participant_key END) AS active_internal_total,
+    count(DISTINCT CASE WHEN {INSIDE} THEN participant_key END) AS active_internal_unique,
+    count(DISTINCT CASE WHEN {OUTSIDE} THEN participant_key END) AS external_unique,
+    round(sum(CASE WHEN {IS_LIVE} THEN hours_per_person ELSE 0 END), 2) AS total_training_hours,
+    round(sum(CASE WHEN {INSIDE} THEN hours ELSE 0 END)
+      / nullif(count(CASE WHEN {INSIDE} THEN participant_key END), 0), 2)
       AS avg_hours_per_active_internal,
-    round(sum(hours) FILTER ({OUTSIDE}) / nullif(count(*) FILTER ({OUTSIDE}), 0), 2)
+    round(sum(CASE WHEN {OUTSIDE} THEN hours ELSE 0 END)
+      / nullif(count(CASE WHEN {OUTSIDE} THEN participant_key END), 0), 2)
       AS avg_hours_per_external
-  {LIVE}""",
+  FROM main""",
     "training_counts": WITH_MAIN + f"SELECT count(DISTINCT event_id) AS total_trainings_count {LIVE}",
     "training_top": WITH_MAIN + "SELECT training_name, count(DISTINCT event_id) AS count "
     f"{LIVE} GROUP BY 1 ORDER BY count DESC, training_name LIMIT 10",

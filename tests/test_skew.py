@@ -6,12 +6,12 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from crewlytics.operators import participation as part
 from crewlytics.operators.skew import (
     hot_keys,
     key_counts,
     numbered,
     split_rows,
+    spread_both,
     spread_join,
     spread_outer,
 )
@@ -112,16 +112,57 @@ def test_spread_join_is_the_plain_join(spark, how):
     assert rows_of(found) == rows_of(big.join(other, "k", how))
 
 
-def test_short_tables_are_not_counted(workforce):
-    assert training.hot_of(workforce, 10**9) == part.Hot()
-    assert None not in vars(training.hot_of(workforce, 3)).values()
+def test_no_job_runs_while_a_report_is_built(workforce, spark):
+    """One plan for every size: nothing is counted before the result is asked for."""
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    for report in REPORTS.values():
+        report(workforce, 5_000_000)
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+@pytest.mark.parametrize("hot", [(5, 10**9), (10**9, 5), (5, 5), (10**9, 10**9)])
+def test_grid_join_is_the_plain_join(spark, hot):
+    """Many rows on the left, on the right, on both sides of one key."""
+    left = spark.range(60).select((F.col("id") % 7 % 3).alias("k"), F.col("id").alias("a"))
+    right = spark.range(50).select((F.col("id") % 9 % 4).alias("k"), F.col("id").alias("b"))
+    hot_left = hot_keys(key_counts(left, ["k"]), ["k"], hot[0])
+    hot_right = hot_keys(key_counts(right, ["k"]), ["k"], hot[1])
+    found = spread_both(numbered(left), numbered(right), ["k"], hot_left, hot_right)
+    assert rows_of(found.select("k", "a", "b")) == rows_of(left.join(right, "k"))
+
+
+def test_events_with_one_id_and_without(given):
+    """Two event rows with one id share its participations; an event without an id stays."""
+    event = {"company_id": "C", "start_date": "2000-06-01", "training_duration": 10, "training_duration_unit": "Hour"}
+    w = given(
+        training_event=[{**event, "training_event_id": 1}, {**event, "training_event_id": 1, "company_id": "D"},
+                        {**event, "company_id": "E"}, {**event, "company_id": "F"}],
+        training_participant=[{"training_event_id": 1, "participant_id": 5}, {"training_event_id": None, "participant_id": 6}],
+        training_event_course=[{"training_event_id": None, "course_id": 1}],
+    )
+    for hot_rows in (1, 10**9):
+        for rows in (training.training_main(w, hot_rows=hot_rows), training.training_full_details(w, hot_rows=hot_rows)):
+            found = {(r["event_id"], r["company"], r["participant_id"], r["hours_per_person"]) for r in rows.collect()}
+            assert found == {(1, "C", 5, 5.0), (1, "D", 5, 5.0), (None, "E", None, 5.0), (None, "F", None, 5.0)}
+
+
+def test_unknown_hours_and_zero(given):
+    """A row that a sum leaves out adds 0: one cancelled row makes the totals 0, not NULL."""
+    event = {"training_event_id": 1, "company_id": "C", "start_date": "2000-06-01", "training_duration": 10, "training_duration_unit": "Week"}
+    row = {"training_event_id": 1, "participant_type": "External"}
+    live = [{**row, "participant_id": 1}, {**row, "participant_id": 2}]
+    gone = {**row, "participant_id": 3, "cancel_date": "2000-05-01"}
+    for people, expected in ((live, None), ([*live, gone], 0.0)):
+        kpi = training.training_kpi_summary(given(training_event=[event], training_participant=people)).first()
+        assert (kpi["total_training_hours"], kpi["avg_hours_per_external"]) == (expected, expected)
+        assert kpi["avg_hours_per_active_internal"] is None
 
 
 @pytest.mark.parametrize("hot_rows", [2, 10**9])
 def test_spread_outer_is_the_plain_left_join(spark, hot_rows):
     one = spark.createDataFrame([(k, f"n{k}") for k in range(6)], "k long, n string")
     many = spark.createDataFrame([(1, None)] * 9 + [(2, 5), (2, None), (None, 7)], "k long, c int")
-    hot = part.hot_in(many, many.count(), ["k"], hot_rows)
-    rows = many if hot is None else numbered(many)
-    found = spread_outer(one, rows, ["k"], hot, "c IS NULL").select("k", "n", "c")
+    hot = hot_keys(key_counts(many, ["k"]), ["k"], hot_rows)
+    found = spread_outer(one, numbered(many), ["k"], hot, "c IS NULL").select("k", "n", "c")
     assert rows_of(found) == rows_of(one.join(many, "k", "left").where("c IS NULL"))

@@ -98,10 +98,3 @@ def test_shared_folder_follows_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_folder(spark, "a"), shared_folder(spark, "a")
     assert first.startswith(root) and first != second
-
-
-def test_row_count_is_taken_once(workforce):
-    assert workforce.row_count("work_spell") == workforce.work_spell.count()
-    workforce._row_counts["work_spell"] = -1
-    assert workforce.row_count("work_spell") == -1
-    del workforce._row_counts["work_spell"]
