@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlytics.llm.scratch import stored
+from crewlytics.llm.text_arrays import tidy
 
 MIN_PAGES, MIN_SHARE = 10, 0.01
 
@@ -236,6 +237,7 @@ def _signed(x: int) -> int:
 def subtree_hashes(pages: DataFrame) -> DataFrame:
     """(key, host, content, subtree) of ``pages`` (key, host, html); subtree is null once per page."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -291,6 +293,7 @@ def extract_text(
     on_page = found.where("subtree is not null").join(templates, ["host", "subtree"])
     on_page = stored(on_page.groupBy("key").agg(F.collect_set("subtree").alias("subtrees")), "page-templates")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [

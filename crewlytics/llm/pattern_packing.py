@@ -3,9 +3,9 @@
 The lengths of all pieces form a histogram of at most ``max_len`` counts, the only thing that
 reaches the driver. Patterns of up to three lengths that fill a sequence are enumerated over
 length classes, their repeat counts fitted to the histogram by non-negative least squares and
-rounded. Each pattern is then filled with real lengths, the last one by best fit; what is left
-over is packed best-fit decreasing, into the gaps of the patterns first. All of this works on
-counts of equal lengths, so the plan's size depends on ``max_len`` and not on the corpus.
+rounded. Each pattern is then filled with real lengths of its classes that leave no gap; what is
+left over is packed best-fit decreasing. All of this works on counts of equal lengths, so the
+plan's size depends on ``max_len`` and not on the corpus.
 """
 
 from __future__ import annotations
@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crewlytics.llm.scratch import stored
+from crewlytics.llm.text_arrays import tidy
 from crewlytics.llm.tokens import encoder, slices
 
 CLASSES = 128  # length classes that patterns are enumerated over
+SHARES = (1.0, 0.75, 0.5, 0.25)  # of the fitted repeats; fewer leave more to best fit
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 600) -> np.ndarray:
@@ -66,7 +68,8 @@ def patterns(classes: int) -> np.ndarray:
 class Plan:
     """Groups of equal sequences: how many, and the (length, copies) each one holds."""
 
-    def __init__(self, counts: np.ndarray, max_len: int):
+    def __init__(self, counts: np.ndarray, max_len: int, share: float = 1.0):
+        self.share = share  # of the fitted repeats that are used; the rest is left over
         self.max_len = max_len
         self.left = counts.astype(np.int64).copy()  # left[length]: pieces without a place
         self.groups: list[list] = []  # [sequences, room, [(length, copies), ...]]
@@ -80,11 +83,6 @@ class Plan:
         if not self.left[length]:
             self.lengths.remove(length)
 
-    def _longest(self, most: int, least: int = 1) -> int:
-        """The longest length still there within the bounds, or 0."""
-        at = bisect_right(self.lengths, most)
-        return self.lengths[at - 1] if at and self.lengths[at - 1] >= least else 0
-
     def _add(self, n: int, parts: list[int]) -> None:
         for p in set(parts):
             self._take(p, n * parts.count(p))
@@ -108,30 +106,32 @@ class Plan:
             np.add.at(a, (rows[held, k] - 1, np.flatnonzero(held)), 1)
         # short pieces also fill gaps later, so missing their count costs less
         weight = np.where(np.arange(1, top + 1) * 8 < top, 0.1, 1.0)[:, None]
-        repeats = np.rint(nnls(a * weight, target * weight[:, 0])).astype(np.int64)
+        repeats = np.rint(self.share * nnls(a * weight, target * weight[:, 0])).astype(np.int64)
         for p in np.argsort(-rows[:, 0], kind="stable"):
-            todo = int(repeats[p])
-            while todo > 0:
-                parts, room = [], self.max_len
-                for k, c in enumerate(rows[p]):
-                    if not c:
-                        break
-                    last = k == 2 or not rows[p][k + 1]
-                    most = room if last and k else min(room, int(c) * width)
-                    self_left = [x for x in parts if self.left[x] <= parts.count(x)]
-                    got = self._longest(most, (int(c) - 1) * width + 1)
-                    if not got or got in self_left:
-                        parts = []
-                        break
-                    parts.append(got)
-                    room -= got
-                if not parts:
-                    break
+            if repeats[p]:
+                self._fill([int(c) for c in rows[p] if c], width, int(repeats[p]))
+
+    def _fill(self, classes: list[int], width: int, todo: int) -> None:
+        """Up to ``todo`` sequences of a pattern, of lengths that leave no gap."""
+
+        def within(c: int) -> list[int]:
+            low, high = (bisect_right(self.lengths, x) for x in ((c - 1) * width, c * width))
+            return self.lengths[low:high][::-1]
+
+        for first in within(classes[0]):
+            for second in within(classes[1]) if len(classes) == 3 else [0]:
+                parts = [first, second] if second else [first]
+                last = self.max_len - sum(parts)
+                if last and len(classes) > 1:
+                    parts.append(last)
+                if min(parts) < 1 or sum(parts) != self.max_len:
+                    continue
                 n = min([todo] + [int(self.left[x]) // parts.count(x) for x in parts])
-                if n < 1:
-                    break
-                self._add(n, parts)
-                todo -= n
+                if n > 0:
+                    self._add(n, parts)
+                    todo -= n
+                if not todo:
+                    return
 
     def _best_fit(self) -> None:
         rooms: dict[int, list[int]] = {}
@@ -194,11 +194,17 @@ class Plan:
         return sum(g[0] for g in self.groups)
 
 
+def best_plan(counts: np.ndarray, max_len: int) -> Plan:
+    """The plan with the fewest sequences among several roundings of the fitted repeats."""
+    return min((Plan(counts, max_len, s) for s in SHARES), key=lambda p: p.sequences)
+
+
 def pieces(
     docs: DataFrame, path: str, max_len: int, end_id: int, keep_ids: bool, id: str, text: str
 ) -> DataFrame:
     """The pieces of every document, with their rank among equal lengths of their task."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -259,9 +265,10 @@ def pack(
     counts = np.zeros(max_len + 1, np.int64)
     for length, n in held.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most max_len rows
         counts[length] = n
-    first, sequence, copies, offset, lengths = Plan(counts, max_len).slots()
+    first, sequence, copies, offset, lengths = best_plan(counts, max_len).slots()
     length_base = np.cumsum(counts) - counts
 
+    @tidy
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             length, rank = (batch.column(k).to_numpy() for k in (3, 5))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from crewlytics.llm.text_arrays import (
-    bytes_of, covered, cut_words, hash_ranges, hash_runs, hash_words, is_space, mix, run_fits,
+    bytes_of, covered, cut_words, hash_ranges, hash_runs, hash_words, is_space, mix, run_fits, tidy,
 )
 from crewlytics.llm.tokens import slices
 
@@ -222,6 +222,7 @@ def labelled(
     rows = docs.join(F.broadcast(chosen), docs[id] == chosen["_id"])
     rows = rows.select("_id", "_label", F.col(text).alias("text"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2):
@@ -261,6 +262,7 @@ def judge(
     decide alone. Repeated rows and null ids are judged like any others.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 1):
@@ -281,6 +283,7 @@ def keep_good(
     """The rows of ``docs`` that ``judge`` keeps, all their columns unchanged."""
     at = docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, at):

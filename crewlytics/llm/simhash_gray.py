@@ -27,6 +27,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from crewlytics.llm.components import components
 from crewlytics.llm.scratch import stored
+from crewlytics.llm.text_arrays import tidy
 
 BITS = 64
 FAN_OUT = 8
@@ -59,6 +60,7 @@ def with_fingerprint(docs: DataFrame, shingle_words: int, text: str = "text") ->
     name = "simhash"
     schema = StructType([*docs.schema.fields, StructField(name, LongType())])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text))
@@ -213,6 +215,7 @@ def _search_sorted(radius: int):
                     [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"]
                 )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = np.zeros((4, 0), np.int64)
         codes, side = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -300,6 +303,7 @@ def _chunk_pairs(hot: DataFrame, radius: int, bucket_rows: int) -> DataFrame:
     ranked = hot.withColumn("rank", rank.bitwiseXOR(F.lit(-(1 << 63))))
     ranked = ranked.repartitionByRange(*order).sortWithinPartitions(*order)
 
+    @tidy
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 

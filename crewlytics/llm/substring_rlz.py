@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from crewlytics.llm.scratch import stored
-from crewlytics.llm.text_arrays import bytes_of, covered, cut_words, hash_runs, hash_words, run_fits
+from crewlytics.llm.text_arrays import bytes_of, covered, cut_words, hash_runs, hash_words, run_fits, tidy
 from crewlytics.llm.tokens import slices
 
 WINDOW, SEED = 13, 6
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 BLOCK_ENTRIES = 1 << 20  # entries that a reference block holds on average
 FEWEST_BLOCKS = 64
 NO_ID = np.iinfo(np.int64).max
@@ -57,6 +57,7 @@ def chunked(docs: DataFrame, text: str) -> DataFrame:
     """(chunk, rows): whole rows of ``docs`` in compressed packets, none of them cut."""
     at = docs.columns.index(text)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -218,6 +219,7 @@ def remove_repeats(
     while blocks * BLOCK_ENTRIES < entries:
         blocks *= 2
 
+    @tidy
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -234,6 +236,7 @@ def remove_repeats(
                         ["block", "chunk", "data"],
                     )
 
+    @tidy
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, blob, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -241,6 +244,7 @@ def remove_repeats(
                 chunk.candidates(_answers(chunk.anchors, blocks, bits))
                 yield _messages(number, [chunk.keys, chunk.low, chunk.checks], blocks)
 
+    @tidy
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for blob, bits, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):

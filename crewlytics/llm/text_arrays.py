@@ -7,7 +7,10 @@ Nulls and empty texts have no words. All functions work on one batch of bounded
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,26 @@ U64 = np.uint64
 LONG = 1024
 
 
+def tidy(run: Callable) -> Callable:
+    """A task over Arrow batches that leaves no freed memory with its worker.
+
+    Workers wait for their next task with what the allocators have kept, while the JVM beside
+    them may need it.
+    """
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 @dataclass
 class Words:
     """Cut texts: word ``i`` is ``data[starts[i]:ends[i]]`` and belongs to text ``text[i]``."""

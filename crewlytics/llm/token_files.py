@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from crewlytics.llm.text_arrays import tidy
 from crewlytics.llm.tokens import encoder, slices
 
 ROW_GROUP_BYTES = 32 << 20
@@ -26,6 +27,7 @@ PART_BITS = 33  # of ``seq``: Spark's ids hold the row in the lower 33 bits, the
 def encoded(docs: DataFrame, path: str, spaces: str, end_id: int) -> DataFrame:
     """(id, tokens) of ``docs`` (id, text) in the order given; each ends with ``end_id``."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(path, spaces)
         for whole in batches:
@@ -100,6 +102,7 @@ def read_tokens(spark: SparkSession, folder: str, ids: list | None = None, id: s
 def checksums(tokens: DataFrame) -> DataFrame:
     """(seq, ids_crc32): the crc32 of each row's ids as little-endian unsigned 32-bit numbers."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)

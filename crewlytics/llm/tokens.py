@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from crewlytics.llm.text_arrays import bytes_of, cut_words, hash_ranges
 
-KEEP_PIECES = 600_000  # pieces a worker remembers before it starts anew; no effect on results
+KEEP_PIECES = 400_000  # pieces a worker remembers before it starts anew; no effect on results
 KEEP_BYTES = 48  # longer pieces are encoded each time
 
 
@@ -153,7 +153,7 @@ def encoder(path: str, spaces: str) -> Encoder:
     return kept[path, spaces]
 
 
-def slices(batch: pa.RecordBatch, text: int, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, text: int, limit: int = 2 << 20):
     """The batch in row slices of about ``limit`` bytes of text; one row is never cut."""
     data, offsets = bytes_of(batch.column(text))
     del data

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewlytics.llm.scratch import stored
+from crewlytics.llm.text_arrays import tidy
 
 # fixed values: names that the format defines
 VERSION = b"WARC/1.1"
@@ -75,6 +76,7 @@ def write_pages(
     shared = stored(shared.where("n > 1 and first is not null").drop("n"), "payloads")
     rows = rows.join(shared, "digest", "left").select("id", "url", "payload", "digest", "first")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
@@ -205,6 +207,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
     have the usual size of about 1 GB or less. ``payloads=False`` leaves the bytes out.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", *re.findall(r"(\w+) (?:string|long|binary)", SCHEMA)[1:]]
         kinds = {"begin": pa.int64(), "end": pa.int64(), "payload_bytes": pa.int64(), "payload": pa.binary()}
