@@ -141,6 +141,18 @@ def _parse(data: bytes, at: int) -> tuple[dict | None, int]:
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]")
 
 
+def _member(content: bytes, at: int) -> tuple[bytes, int]:
+    """The member at ``at`` unpacked and where it ends; takes small bites, so no rest is copied."""
+    unpacker, view, out, bite = zlib.decompressobj(31), memoryview(content), [], 4096
+    while not unpacker.eof:
+        part = view[at : at + bite]
+        if not len(part):
+            raise ValueError("member without an end")
+        out.append(unpacker.decompress(part))
+        at, bite = at + len(part), min(2 * bite, 1 << 20)
+    return b"".join(out), at - len(unpacker.unused_data)
+
+
 def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
     """(begin, end, record, reason) for every record and every gap of an archive, in order.
 
@@ -155,12 +167,8 @@ def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
             if content.startswith(b"\x1f\x8b\x08", at):
                 held, end = b"", at
                 while True:
-                    unpacker = zlib.decompressobj(31)
-                    held += unpacker.decompress(content[end:])
-                    if not unpacker.eof:
-                        raise ValueError("member without an end")
-                    end = len(content) - len(unpacker.unused_data)
-                    place = 0
+                    part, end = _member(content, end)
+                    held, place = held + part, 0
                     found = []
                     while place < len(held):
                         one, place_after = _parse(held, place)
