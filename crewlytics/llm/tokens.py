@@ -9,13 +9,14 @@ from __future__ import annotations
 import os
 import sys
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 from crewlytics.llm.text_arrays import bytes_of, cut_words, hash_ranges
 
-KEEP_PIECES = 400_000  # pieces a worker remembers before it starts anew; no effect on results
+KEEP_PIECES = 2_000_000  # pieces a worker remembers before it starts anew; no effect on results
 KEEP_BYTES = 48  # longer pieces are encoded each time
 
 
@@ -46,9 +47,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # hashes of the pieces, sorted
+        self.start = np.zeros(0, np.int64)  # where each one's ids are in flat
+        self.size = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
-        self.bounds = np.zeros(1, np.int64)
 
     def _pieces(self, data: np.ndarray, offsets: np.ndarray):
         """Begins, ends and texts of the pieces, in order."""
@@ -97,53 +99,71 @@ class Encoder:
         odd[np.searchsorted(offsets, np.r_[at[found], controls], "right") - 1] = True
         return odd
 
+    @staticmethod
+    def _cut_at_marks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, of: np.ndarray):
+        """Pieces cut where an ASCII letter meets an ASCII mark, as every pattern here cuts.
+
+        Not behind an apostrophe, which may take the letters after it along.
+        """
+        letter = ((data | 32) >= 97) & ((data | 32) <= 122)
+        mark = (data > 32) & (data < 127) & ~letter & ~((data >= 48) & (data <= 57))
+        cuts = np.flatnonzero(letter[:-1] & mark[1:] | mark[:-1] & (data[:-1] != 39) & letter[1:]) + 1
+        piece = np.searchsorted(begins, cuts, "right") - 1
+        inside = (piece >= 0) & (cuts > begins[piece]) & (cuts < ends[piece])
+        cuts, piece = cuts[inside], piece[inside]
+        return np.insert(begins, piece + 1, cuts), np.insert(ends, piece, cuts), np.insert(of, piece + 1, of[piece])
+
     def encode(self, texts: pa.Array) -> Ids:
-        """The ids of each text; nulls and empty texts have none."""
+        """The ids of each text; nulls and empty texts have none.
+
+        Pieces are told apart by 64-bit hashes of their bytes.
+        """
         data, offsets = bytes_of(texts)
         begins, ends, of = self._pieces(data, offsets)
         if not len(begins):
             return Ids(np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64))
-        _, sample, which = np.unique(
+        begins, ends, of = self._cut_at_marks(data, begins, ends, of)
+        keys, sample, which = np.unique(
             hash_ranges(data, begins, ends), return_index=True, return_inverse=True
         )
-        if len(self.known) > KEEP_PIECES:
-            self.forget()
-        raw = data.tobytes()
-        keys = [raw[b:e] for b, e in zip(begins[sample].tolist(), ends[sample].tolist(), strict=True)]
-        place = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
-        new = np.flatnonzero(place < 0)
-        flat, bounds = [self.flat], [self.bounds]
-        for at in range(0, len(new), 20_000):
-            some = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch_fast(
-                [keys[i].decode("utf-8") for i in some], add_special_tokens=False
-            )
-            ids = [x.ids for x in found]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(sizes.sum())))
-            bounds.append(bounds[-1][-1] + np.cumsum(sizes))
-        flat, bounds = np.concatenate(flat), np.concatenate(bounds)
-        place[new] = len(self.bounds) - 1 + np.arange(len(new))
-        counts = np.diff(bounds)[place][which]
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        if len(self.keys):
+            known = self.keys[np.minimum(place, len(self.keys) - 1)] == keys
+        start, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        start[known], size[known] = self.start[place[known]], self.size[place[known]]
+        short = (ends - begins)[sample] <= KEEP_BYTES
+        raw, pools, held = data.tobytes(), [self.flat], len(self.flat)
+        for remembered in (True, False):
+            new = np.flatnonzero(~known & (short == remembered))
+            for at in range(0, len(new), 20_000):
+                some = new[at : at + 20_000]
+                bounds = zip(begins[sample[some]].tolist(), ends[sample[some]].tolist(), strict=True)
+                pieces = [raw[b:e].decode("utf-8") for b, e in bounds]
+                ids = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+                size[some] = np.fromiter(map(len, ids), np.int64, len(ids))
+                start[some] = held + np.cumsum(size[some]) - size[some]
+                held += int(size[some].sum())
+                pools.append(np.fromiter(chain.from_iterable(ids), np.uint32))
+            if remembered:
+                flat = np.concatenate(pools)
+                pools = [flat]
+                fresh = new
+        every = np.concatenate(pools)
+        counts = size[which]
         stop = np.cumsum(counts)
         step = np.arange(stop[-1]) - np.repeat(stop - counts, counts)
-        out = flat[np.repeat(bounds[place][which], counts) + step]
+        out = every[np.repeat(start[which], counts) + step]
         text_stop = np.r_[0, stop][np.searchsorted(of, np.arange(len(offsets)))]
-        short = [int(i) for i in new if len(keys[i]) <= KEEP_BYTES]
-        self._remember([keys[i] for i in short], place[short], flat, bounds)
+        if len(self.keys) + len(fresh) > KEEP_PIECES:
+            self.forget()
+        else:
+            self.flat = flat
+            self.keys = np.insert(self.keys, place[fresh], keys[fresh])
+            self.start = np.insert(self.start, place[fresh], start[fresh])
+            self.size = np.insert(self.size, place[fresh], size[fresh])
         return Ids(out, text_stop)
 
-    def _remember(self, keys: list[bytes], place: np.ndarray, flat: np.ndarray, bounds: np.ndarray):
-        if not keys:
-            return
-        base = len(self.bounds) - 1
-        counts = np.diff(bounds)[place]
-        stop = np.cumsum(counts)
-        step = np.arange(stop[-1]) - np.repeat(stop - counts, counts)
-        self.flat = np.r_[self.flat, flat[np.repeat(bounds[place], counts) + step]]
-        self.bounds = np.r_[self.bounds, self.bounds[-1] + stop]
-        self.known.update(zip(keys, range(base, base + len(keys)), strict=True))
-
 
 def encoder(path: str, spaces: str) -> Encoder:
     """This worker's encoder for a file; kept between tasks that the worker runs."""
