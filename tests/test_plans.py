@@ -79,7 +79,10 @@ def test_stored_months_are_pruned(spark, workforce, tmp_path):
     assert one.count() == workforce.personnel_month.where("year_month = '199805'").count()
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+REPORTS = entry_points.catalogue.reports() | entry_points.catalogue.directory_reports()
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
 def test_no_python_in_any_plan(name, spark):
     if name in ("interactions_streamed", "interactions_appended"):
         pytest.skip("writes a table first; its own plan is a scan")

@@ -32,7 +32,10 @@ def _table(columns, rows):
     return sorted(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+REPORTS = entry_points.catalogue.reports() | entry_points.catalogue.directory_reports()
+
+
+@pytest.mark.parametrize("name", sorted(REPORTS))
 def test_query_agrees_with_its_twin(name, spark, duck):
     df = entry_points.queries()[name](spark, DATA)
     found = df.collect()
@@ -47,7 +50,8 @@ def test_query_agrees_with_its_twin(name, spark, duck):
 
 
 def test_every_query_has_a_twin():
-    assert set(entry_points.queries()) == set(entry_points.oracle_sql())
+    assert set(REPORTS) == set(entry_points.catalogue.twins())
+    assert set(REPORTS) <= set(entry_points.queries())
 
 
 def test_entry_runs(spark):
