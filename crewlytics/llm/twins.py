@@ -103,4 +103,50 @@ PREFERENCES = """
     from rendered
 """
 
-TWINS = {"op8_url_reputation": URLS, "op9_preference_chat": PREFERENCES}
+REPEATS = r"""
+    with cut as (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+    ), places as (
+        select doc_id, words, unnest(range(1, len(words) + 1)) as place from cut
+    ), begun as (
+        select doc_id, place, words[place] as word,
+            case when place + 12 <= len(words) then array_to_string(words[place : place + 12], ' ') end as thirteen
+        from places
+    ), judged as (
+        select doc_id, place, word,
+            thirteen is not null and min(doc_id) over (partition by thirteen) < doc_id as found
+        from begun
+    ), marked as (
+        select doc_id, place, word,
+            bool_or(found) over (partition by doc_id order by place rows between 12 preceding and current row) as gone
+        from judged
+    ), kept as (
+        select doc_id, count(*) filter (gone) as n_removed,
+            string_agg(word, ' ' order by place) filter (not gone) as text
+        from marked group by doc_id
+    )
+    select c.doc_id, cast(len(c.words) as bigint) as n_words, coalesce(k.n_removed, 0) as n_removed,
+        sha256(coalesce(k.text, '')) as kept_sha256
+    from cut c left join kept k using (doc_id)
+"""
+
+RECORDS = """
+    with paid as (
+        select page_id, coalesce(html, '') as payload from pages
+    ), sized as (
+        select page_id, octet_length(encode(payload)) as payload_bytes, sha256(payload) as payload_digest,
+            min(page_id) over (partition by payload) as earliest
+        from paid
+    )
+    select page_id, payload_bytes, payload_digest,
+        case when payload_bytes >= 100 and earliest < page_id then 'revisit' else 'response' end as record_type,
+        case when payload_bytes >= 100 and earliest < page_id then earliest end as refers_to
+    from sized
+"""
+
+TWINS = {
+    "op2_substring_rlz": REPEATS,
+    "op6_warc": RECORDS,
+    "op8_url_reputation": URLS,
+    "op9_preference_chat": PREFERENCES,
+}
