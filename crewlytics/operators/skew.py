@@ -42,8 +42,9 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -
 def numbered(df: DataFrame) -> DataFrame:
     """Adds a row number to a scanned table.
 
-    Put directly above the scan it depends only on the file split and the position in
-    it, so a repeated task numbers its rows the same way.
+    Put directly above a scan of files it depends only on the file split and the position
+    in it, so a repeated task numbers its rows the same way; tables from elsewhere are
+    sorted inside their partitions first (``settled`` in ``sources/workforce.py``).
     """
     return df.withColumn(ROW, F.monotonically_increasing_id())
 

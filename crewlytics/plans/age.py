@@ -32,18 +32,18 @@ def age_company_heatmap(w: Workforce) -> DataFrame:
     return _by(w, [Dim("company"), band], ["company", "age_group"])
 
 
-def age_department_location(w: Workforce) -> DataFrame:
+def age_department_location(w: Workforce, limit: int | None = 1000) -> DataFrame:
     dims = [Dim("location"), Dim("department"), BAND]
-    return _by(w, dims, ["location", "department", "-age_group"], 1000)
+    return _by(w, dims, ["location", "department", "-age_group"], limit)
 
 
-def age_location_gender(w: Workforce) -> DataFrame:
-    return _by(w, [Dim("location"), Dim("gender"), BAND], ["location", "age_group"], 1000)
+def age_location_gender(w: Workforce, limit: int | None = 1000) -> DataFrame:
+    return _by(w, [Dim("location"), Dim("gender"), BAND], ["location", "age_group"], limit)
 
 
-def age_position_gender(w: Workforce) -> DataFrame:
+def age_position_gender(w: Workforce, limit: int | None = 100000) -> DataFrame:
     position = Dim("position", key_label=fv.EMPTY_POSITION_DOTTED)
-    return _by(w, [position, BAND, Dim("gender")], ["position", "-age_group"], 100000)
+    return _by(w, [position, BAND, Dim("gender")], ["position", "-age_group"], limit)
 
 
 REPORTS = [

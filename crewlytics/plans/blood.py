@@ -41,9 +41,9 @@ def blood_company_heatmap(w: Workforce) -> DataFrame:
     return distribution(staff(w.personnel), dims, PEOPLE, ["company", "-count"])
 
 
-def blood_table_details(w: Workforce) -> DataFrame:
+def blood_table_details(w: Workforce, limit: int | None = 1000) -> DataFrame:
     dims = [Dim("company"), Dim("location"), GROUP, Dim("gender")]
-    return distribution(staff(w.personnel), dims, PEOPLE, ["-count"], 1000)
+    return distribution(staff(w.personnel), dims, PEOPLE, ["-count"], limit)
 
 
 REPORTS = [

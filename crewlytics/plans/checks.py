@@ -20,6 +20,14 @@ def key_violations_product(w: Workforce) -> DataFrame:
     return key_violations(w.product, ["id"])
 
 
+def key_violations_sale(w: Workforce) -> DataFrame:
+    return key_violations(w.sale, ["id"])
+
+
+def key_violations_event(w: Workforce) -> DataFrame:
+    return key_violations(w.training_event, ["training_event_id"])
+
+
 def key_violations_participant(w: Workforce) -> DataFrame:
     return key_violations(w.training_participant, ["training_event_id", "participant_id"])
 
@@ -49,6 +57,8 @@ def interactions_appended(w: Workforce, as_of: dt.datetime = LOG_AS_OF) -> DataF
 
 REPORTS = [
     key_violations_product,
+    key_violations_sale,
+    key_violations_event,
     key_violations_participant,
     fk_orphans_sale_product,
     fk_orphans_event_course,

@@ -11,8 +11,8 @@ from crewlytics.sources.workforce import Workforce
 SEED = 42
 
 
-def dataset_full(w: Workforce, seed: int = SEED) -> DataFrame:
-    return full_dataset(staff(w.personnel), seed, limit=2000)
+def dataset_full(w: Workforce, seed: int = SEED, limit: int | None = 2000) -> DataFrame:
+    return full_dataset(staff(w.personnel), seed, limit=limit)
 
 
 def dataset_heavy(w: Workforce, seed: int = SEED) -> DataFrame:

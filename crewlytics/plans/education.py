@@ -41,24 +41,24 @@ def education_gender_dist(w: Workforce) -> DataFrame:
     return _by(w, [EDUCATION, Dim("gender")], ["-count"])
 
 
-def education_location_gender(w: Workforce) -> DataFrame:
+def education_location_gender(w: Workforce, limit: int | None = 1000) -> DataFrame:
     dims = [Dim("company"), Dim("location"), EDUCATION, Dim("gender")]
-    return _by(w, dims, ["location"], 1000)
+    return _by(w, dims, ["location"], limit)
 
 
-def education_department(w: Workforce) -> DataFrame:
+def education_department(w: Workforce, limit: int | None = 1000) -> DataFrame:
     dims = [Dim("company"), Dim("location"), Dim("department"), EDUCATION, Dim("gender")]
-    return _by(w, dims, ["company", "-location"], 1000)
+    return _by(w, dims, ["company", "-location"], limit)
 
 
-def education_position_location(w: Workforce) -> DataFrame:
+def education_position_location(w: Workforce, limit: int | None = 1000) -> DataFrame:
     dims = [Dim("company"), Dim("location"), Dim("position"), EDUCATION, Dim("gender")]
-    return _by(w, dims, ["position", "-gender"], 1000)
+    return _by(w, dims, ["position", "-gender"], limit)
 
 
-def education_position(w: Workforce) -> DataFrame:
+def education_position(w: Workforce, limit: int | None = 1000) -> DataFrame:
     position = Dim("position", key_label=fv.EMPTY_POSITION_DOTTED)
-    return _by(w, [position, EDUCATION, Dim("gender")], ["position", "-gender"], 1000)
+    return _by(w, [position, EDUCATION, Dim("gender")], ["position", "-gender"], limit)
 
 
 REPORTS = [

@@ -38,8 +38,8 @@ def _by(w: Workforce, dims: list[Dim], limit: int | None = None, order=BIGGEST_F
     return distribution(staff(w.personnel), dims, PEOPLE, order, limit)
 
 
-def employees_dist_position(w: Workforce) -> DataFrame:
-    return _by(w, [Dim("position")], limit=100)
+def employees_dist_position(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return _by(w, [Dim("position")], limit=limit)
 
 
 def employees_dist_location(w: Workforce) -> DataFrame:
@@ -62,35 +62,35 @@ def employees_dist_employment_status(w: Workforce) -> DataFrame:
     return _by(w, [Dim("status", "employment_status", shown_label=fv.OTHER)])
 
 
-def employees_disabled(w: Workforce) -> DataFrame:
+def employees_disabled(w: Workforce, limit: int | None = 1000) -> DataFrame:
     names = ["location", "department", "position", "disability_degree", "gender"]
     disabled = staff(w.personnel).where(F.col("is_disabled") == 1)
-    return distribution(disabled, [Dim(n) for n in names], PEOPLE, BIGGEST_FIRST, 1000)
+    return distribution(disabled, [Dim(n) for n in names], PEOPLE, BIGGEST_FIRST, limit)
 
 
-def employees_duty_place(w: Workforce) -> DataFrame:
-    return _by(w, [Dim("duty_place", key_label=fv.NO_DUTY_PLACE)], limit=1000)
+def employees_duty_place(w: Workforce, limit: int | None = 1000) -> DataFrame:
+    return _by(w, [Dim("duty_place", key_label=fv.NO_DUTY_PLACE)], limit=limit)
 
 
-def employees_company_position(w: Workforce) -> DataFrame:
+def employees_company_position(w: Workforce, limit: int | None = 1000) -> DataFrame:
     position = Dim("position", key_label=fv.NO_POSITION)
-    return _by(w, [Dim("company"), Dim("location"), position], limit=1000)
+    return _by(w, [Dim("company"), Dim("location"), position], limit=limit)
 
 
-def employees_demographics_basic(w: Workforce) -> DataFrame:
+def employees_demographics_basic(w: Workforce, limit: int | None = 1000) -> DataFrame:
     dims = [Dim("company"), Dim("location"), EDUCATION, Dim("gender")]
-    return _by(w, dims, limit=1000, order=["company", "-education"])
+    return _by(w, dims, limit=limit, order=["company", "-education"])
 
 
-def employees_demographics_full(w: Workforce) -> DataFrame:
+def employees_demographics_full(w: Workforce, limit: int | None = 1000) -> DataFrame:
     position = Dim("position", key_label=fv.EMPTY_POSITION)
     dims = [Dim("company"), Dim("location"), position, Dim("gender"), EDUCATION]
-    return _by(w, dims, limit=1000)
+    return _by(w, dims, limit=limit)
 
 
-def employees_department_stats(w: Workforce) -> DataFrame:
+def employees_department_stats(w: Workforce, limit: int | None = 15) -> DataFrame:
     everyone = staff(w.personnel, org=None, regular=None)
-    return distribution(everyone, [Dim("category", "department")], HEADS, ["-value"], 15)
+    return distribution(everyone, [Dim("category", "department")], HEADS, ["-value"], limit)
 
 
 def employees_age_stats(w: Workforce) -> DataFrame:
@@ -99,11 +99,11 @@ def employees_age_stats(w: Workforce) -> DataFrame:
     return distribution(everyone, [band], HEADS, ["category"])
 
 
-def employees_city_stats(w: Workforce) -> DataFrame:
+def employees_city_stats(w: Workforce, limit: int | None = 10) -> DataFrame:
     everyone = staff(w.personnel, org=None, regular=None)
     answered = everyone.where(known(F.col("residence_city"), fv.PLACEHOLDER))
     city = Dim("category", "residence_city", shown_label=fv.UNKNOWN)
-    return distribution(answered, [city], HEADS, ["-value"], 10)
+    return distribution(answered, [city], HEADS, ["-value"], limit)
 
 
 REPORTS = [

@@ -30,12 +30,12 @@ def _by(w: Workforce, dim: Dim, limit: int | None = None) -> DataFrame:
     return distribution(_rows(w), [dim], _averages(), ["-avg_work_duration"], limit)
 
 
-def engagement_by_location(w: Workforce) -> DataFrame:
-    return _by(w, Dim("location"), 100)
+def engagement_by_location(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return _by(w, Dim("location"), limit)
 
 
-def engagement_by_department(w: Workforce) -> DataFrame:
-    return _by(w, Dim("department"), 100)
+def engagement_by_department(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return _by(w, Dim("department"), limit)
 
 
 def engagement_by_marital(w: Workforce) -> DataFrame:
@@ -50,7 +50,7 @@ def engagement_by_education(w: Workforce) -> DataFrame:
     return _by(w, Dim("education"))
 
 
-def engagement_details(w: Workforce) -> DataFrame:
+def engagement_details(w: Workforce, limit: int | None = 5000) -> DataFrame:
     people = _rows(w).select(
         "company",
         "location",
@@ -64,7 +64,7 @@ def engagement_details(w: Workforce) -> DataFrame:
         "work_duration",
         "leave_duration",
     )
-    return ranked(people, ["-work_duration"], 5000)
+    return ranked(people, ["-work_duration"], limit)
 
 
 REPORTS = [

@@ -25,7 +25,7 @@ def intern_kpi_summary(w: Workforce) -> DataFrame:
     return kpi_row(_students(w), figures)
 
 
-def intern_details(w: Workforce) -> DataFrame:
+def intern_details(w: Workforce, limit: int | None = 1000) -> DataFrame:
     dims = [
         Dim("location"),
         Dim("department"),
@@ -35,7 +35,7 @@ def intern_details(w: Workforce) -> DataFrame:
         Dim("age_group", "age_band"),
         Dim("education", shown_label=fv.DASH),
     ]
-    return distribution(_students(w), dims, PEOPLE, ["-count"], 1000)
+    return distribution(_students(w), dims, PEOPLE, ["-count"], limit)
 
 
 REPORTS = [intern_kpi_summary, intern_details]

@@ -35,25 +35,25 @@ def _by(w: Workforce, dims: list[Dim], limit: int | None = None) -> DataFrame:
     return distribution(staff(w.personnel), dims, PEOPLE, ["-count"], limit)
 
 
-def location_residence_dist(w: Workforce) -> DataFrame:
-    return _by(w, [Dim("province", "residence_city", shown_label=fv.UNKNOWN)], 100)
+def location_residence_dist(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return _by(w, [Dim("province", "residence_city", shown_label=fv.UNKNOWN)], limit)
 
 
-def location_residence_company(w: Workforce) -> DataFrame:
+def location_residence_company(w: Workforce, limit: int | None = 1000) -> DataFrame:
     places = [Dim("company"), Dim("location"), Dim("department")]
-    return _by(w, [*places, Dim("province", "residence_city")], 1000)
+    return _by(w, [*places, Dim("province", "residence_city")], limit)
 
 
 def location_duty_dist(w: Workforce) -> DataFrame:
     return _by(w, [Dim("city", "duty_city", shown_label=fv.UNKNOWN)])
 
 
-def location_duty_company(w: Workforce) -> DataFrame:
+def location_duty_company(w: Workforce, limit: int | None = 1000) -> DataFrame:
     places = [Dim("company"), Dim("location"), Dim("department")]
-    return _by(w, [*places, Dim("city", "duty_city")], 1000)
+    return _by(w, [*places, Dim("city", "duty_city")], limit)
 
 
-def location_employee_list(w: Workforce) -> DataFrame:
+def location_employee_list(w: Workforce, limit: int | None = 5000) -> DataFrame:
     people = staff(w.personnel).select(
         "company",
         F.col("full_name").alias("name"),
@@ -64,7 +64,7 @@ def location_employee_list(w: Workforce) -> DataFrame:
         "residence_city",
         "district",
     )
-    return ranked(people, ["company", "name"], 5000)
+    return ranked(people, ["company", "name"], limit)
 
 
 REPORTS = [

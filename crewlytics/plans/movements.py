@@ -24,7 +24,7 @@ def turnover_timeline(w: Workforce) -> DataFrame:
     return timeline(_months(w), "year_month", flags, ["year_month"])
 
 
-def turnover_details(w: Workforce) -> DataFrame:
+def turnover_details(w: Workforce, limit: int | None = 1000) -> DataFrame:
     joined = F.col("is_hire") == 1
     left = F.col("is_leaver") == 1
     moves = _months(w).where(joined | left)
@@ -38,7 +38,7 @@ def turnover_details(w: Workforce) -> DataFrame:
         "position",
         "education",
     )
-    return ranked(rows, ["-period", "company"], 1000)
+    return ranked(rows, ["-period", "company"], limit)
 
 
 REPORTS = [turnover_timeline, turnover_details]

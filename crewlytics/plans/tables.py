@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
+from crewlytics.functions.dates import days_before
 from crewlytics.functions.text import contains_ci
 from crewlytics.operators import participation as part
 from crewlytics.operators.distribution import PEOPLE, Dim, distribution
@@ -23,6 +25,8 @@ from crewlytics.operators.skew import HOT_ROWS
 from crewlytics.plans.training import AS_OF, hot_of
 from crewlytics.sources.workforce import Workforce, run_select
 
+SALES_AS_OF = dt.date(2024, 2, 5)
+
 SCANNED = [
     "personnel",
     "personnel_month",
@@ -56,6 +60,12 @@ def headcount_search(w: Workforce, text: str = "ma", limit: int | None = None) -
     return distribution(found, [Dim("department")], PEOPLE, ["-count"], limit)
 
 
+def sale_before(w: Workforce, as_of: dt.date = SALES_AS_OF, days: int = 30) -> DataFrame:
+    """The sales as if made in the ``days`` days up to ``as_of``, dealt to them by their id."""
+    back = F.pmod(F.col("id"), F.lit(days)).cast("int")
+    return w.sale.drop("sold_at").withColumn("sold_on", days_before(as_of, back))
+
+
 def adhoc_select(w: Workforce) -> DataFrame:
     return run_select(
         w,
@@ -130,6 +140,7 @@ def training_uniques(w: Workforce) -> DataFrame:
 REPORTS = [
     *[_scan(name) for name in SCANNED],
     headcount_search,
+    sale_before,
     adhoc_select,
     training_assignments,
     training_day_assignments,

@@ -213,21 +213,21 @@ def training_counts(w: Workforce) -> DataFrame:
     return events.agg(F.count_distinct(EVENT).alias("total_trainings_count"))
 
 
-def _events_by(w: Workforce, name: str, key: Column, order: list[str], limit: int) -> DataFrame:
+def _events_by(w: Workforce, name: str, key: Column, order: list[str], limit: int | None) -> DataFrame:
     events = part.live_events(w.training_event, w.training_participant)
     counted = events.groupBy(key.alias(name)).agg(F.count_distinct(EVENT).alias("count"))
     return ranked(counted, order, limit)
 
 
-def training_top(w: Workforce) -> DataFrame:
-    return _events_by(w, "training_name", _event_name(), ["-count"], 10)
+def training_top(w: Workforce, limit: int | None = 10) -> DataFrame:
+    return _events_by(w, "training_name", _event_name(), ["-count"], limit)
 
 
-def training_monthly_trend(w: Workforce) -> DataFrame:
-    return _events_by(w, "month", month_key(F.col("start_date")), ["-month"], 24)
+def training_monthly_trend(w: Workforce, limit: int | None = 24) -> DataFrame:
+    return _events_by(w, "month", month_key(F.col("start_date")), ["-month"], limit)
 
 
-def training_calendar(w: Workforce, as_of: dt.date = AS_OF) -> DataFrame:
+def training_calendar(w: Workforce, as_of: dt.date = AS_OF, limit: int | None = 50) -> DataFrame:
     events = part.live_events(after(w.training_event, "start_date", as_of), w.training_participant)
     rows = events.select(
         day_of(F.col("start_date")).alias("start_date"),
@@ -236,7 +236,7 @@ def training_calendar(w: Workforce, as_of: dt.date = AS_OF) -> DataFrame:
         "end_date",
         F.col("company_id").alias("company"),
     )
-    return ranked(rows.distinct(), ["start_date"], 50)
+    return ranked(rows.distinct(), ["start_date"], limit)
 
 
 def _live_rows(w: Workforce, hot: part.Hot) -> DataFrame:
@@ -290,7 +290,9 @@ BREAKDOWNS = {
 }
 
 
-def training_breakdown(w: Workforce, category: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def training_breakdown(
+    w: Workforce, category: str, hot_rows: int = HOT_ROWS, limit: int | None = 100
+) -> DataFrame:
     """Distinct participants and events per value of one of five columns."""
     if category not in BREAKDOWNS:
         raise ValueError(f"unknown category {category!r}; choose from {', '.join(BREAKDOWNS)}")
@@ -299,27 +301,27 @@ def training_breakdown(w: Workforce, category: str, hot_rows: int = HOT_ROWS) ->
         F.count_distinct("participant_id").alias("participant_count"),
         F.count_distinct(EVENT).alias("training_count"),
     )
-    return ranked(counted, ["-participant_count"], 100)
+    return ranked(counted, ["-participant_count"], limit)
 
 
-def training_breakdown_position(w: Workforce) -> DataFrame:
-    return training_breakdown(w, "position")
+def training_breakdown_position(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return training_breakdown(w, "position", limit=limit)
 
 
-def training_breakdown_department(w: Workforce) -> DataFrame:
-    return training_breakdown(w, "department")
+def training_breakdown_department(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return training_breakdown(w, "department", limit=limit)
 
 
-def training_breakdown_group(w: Workforce) -> DataFrame:
-    return training_breakdown(w, "group")
+def training_breakdown_group(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return training_breakdown(w, "group", limit=limit)
 
 
-def training_breakdown_category(w: Workforce) -> DataFrame:
-    return training_breakdown(w, "category")
+def training_breakdown_category(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return training_breakdown(w, "category", limit=limit)
 
 
-def training_breakdown_area(w: Workforce) -> DataFrame:
-    return training_breakdown(w, "area")
+def training_breakdown_area(w: Workforce, limit: int | None = 100) -> DataFrame:
+    return training_breakdown(w, "area", limit=limit)
 
 
 def _untrained(w: Workforce) -> DataFrame:
@@ -327,7 +329,7 @@ def _untrained(w: Workforce) -> DataFrame:
     return without_match(employees, w.training_participant_qry, {"emp_id": "participant_id"})
 
 
-def training_none_list(w: Workforce) -> DataFrame:
+def training_none_list(w: Workforce, limit: int | None = 1000) -> DataFrame:
     rows = _untrained(w).select(
         "company",
         "location",
@@ -336,26 +338,32 @@ def training_none_list(w: Workforce) -> DataFrame:
         "emp_id",
         "full_name",
     )
-    return ranked(rows, ["company", "department"], 1000)
+    return ranked(rows, ["company", "department"], limit)
 
 
 def training_none_count(w: Workforce) -> DataFrame:
     return _untrained(w).agg(F.count_distinct("emp_id").alias("count"))
 
 
-def training_full_details(w: Workforce, limit: int = 2000, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The latest rows of the training model.
+def training_full_details(
+    w: Workforce, limit: int | None = 2000, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """The latest rows of the training model, or all of them.
 
     Every event yields at least one row and the sort starts with start day and event id,
     so the wanted rows belong to the first ``limit`` events in that order.  The model is
     built for those events only; their ids (at most ``limit``) are broadcast to the scans
-    of the tables keyed by event.
+    of the tables keyed by event.  Assignments and spells are those of their participants.
     """
+    if limit is None:
+        return ranked(training_main(w, hot_rows=hot_rows), ["-start_date", "event_id"])
     first = ranked(w.training_event.select("start_date", EVENT), ["-start_date"], limit)
     ids = F.broadcast(first.select(EVENT))
     keyed = ["training_event", "training_participant", "training_event_course"]
-    rows = training_main(w.narrowed(ids, EVENT, keyed), hot_rows=hot_rows)
-    return ranked(rows, ["-start_date", "event_id"], limit)
+    chosen = w.narrowed(ids, EVENT, keyed)
+    people = chosen.training_participant.select(F.col("participant_id").alias("emp_no"))
+    staffed = chosen.narrowed(people.distinct(), "emp_no", ["company_pers_assign", "work_spell"])
+    return ranked(training_main(staffed, hot_rows=hot_rows), ["-start_date", "event_id"], limit)
 
 
 REPORTS = [

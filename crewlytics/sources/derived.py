@@ -18,14 +18,15 @@ def _pick(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.selectExpr(*[f"{sql} AS {name}" for name, sql in columns.items()])
 
 
-def _with_each(df: DataFrame, small: DataFrame, alias: str) -> DataFrame:
-    """Every row of ``df`` once per row of ``small``.
+def _in_each_region(spark: SparkSession, directory: str, df: DataFrame) -> DataFrame:
+    """Every row of ``df`` once per region, as the struct ``r``.
 
-    ``small`` is a table of fixed length (5 regions); it travels as one array value
-    and is unfolded row by row, so no join is planned.
+    The keys of the regions, 0 to 4, are fixed by the star schema; the names come by a join.
     """
-    rows = small.agg(F.sort_array(F.collect_list(F.struct(*small.columns))).alias(alias))
-    return df.withColumn("_rows", rows.scalar()).withColumn(alias, F.explode("_rows")).drop("_rows")
+    region = base_table(spark, directory, "region")
+    named = region.select(F.col("r_regionkey").alias("_key"), F.struct(*region.columns).alias("r"))
+    keyed = df.withColumn("_key", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    return keyed.join(named, "_key").drop("_key")
 
 
 def _steps(condition=None):
@@ -95,8 +96,7 @@ def _supplier_per_region(spark: SparkSession, directory: str) -> DataFrame:
     supplier = base_table(spark, directory, "supplier").select(
         F.struct("s_suppkey").alias("s")
     )
-    per_region = _with_each(supplier, base_table(spark, directory, "region"), "r")
-    return per_region.withColumn("d", _steps())
+    return _in_each_region(spark, directory, supplier).withColumn("d", _steps())
 
 
 def company_pers_assign(spark: SparkSession, directory: str) -> DataFrame:
@@ -116,7 +116,7 @@ def _nation_per_region(spark: SparkSession, directory: str, condition: str) -> D
         .where(condition)
         .select(F.struct("n_nationkey", "n_name").alias("n"))
     )
-    return _with_each(nation, base_table(spark, directory, "region"), "r")
+    return _in_each_region(spark, directory, nation)
 
 
 def position_dim(spark: SparkSession, directory: str) -> DataFrame:

@@ -57,7 +57,8 @@ VIEW_SCHEMAS = {
         "id bigint, category string, name string, price decimal(10,2), stock bigint"
     ),
     "sale": (
-        "product_id bigint, quantity bigint, total decimal(10,2), sold_at timestamp_ntz"
+        "id bigint, product_id bigint, quantity bigint, total decimal(10,2), "
+        "sold_at timestamp_ntz, city string"
     ),
 }
 

@@ -145,7 +145,9 @@ TRAINING_PARTICIPANT_QRY = {
 
 TRAINING_EVENT_COURSE = {
     "training_event_id": "o.o_orderkey",
-    "course_id": "(o.o_custkey + d.k) % 60",
+    "course_id": (
+        "CASE WHEN o.o_custkey % 61 = 0 THEN -1 - o.o_custkey % 7 ELSE (o.o_custkey + d.k) % 60 END"
+    ),
 }
 
 COURSE = {
@@ -209,9 +211,11 @@ INTERACTIONS = {
     "ts": "e.ts",
     "question": "concat('q', CAST(e.user_id AS VARCHAR(20)))",
     "generated_sql": (
-        "CASE e.event_type WHEN 'view' THEN 'SELECT a FROM t LIMIT 10;' "
+        "CASE WHEN e.event_type = 'view' AND e.user_id % 7 = 1 THEN '```sql SELECT a FROM t LIMIT 10```' "
+        "WHEN e.event_type = 'view' AND e.user_id % 7 = 2 THEN 'SELECT \"a\" FROM \"t\" LIMIT 10;' "
+        "ELSE CASE e.event_type WHEN 'view' THEN 'SELECT a FROM t LIMIT 10;' "
         "WHEN 'click' THEN 'select top 5 a from t' WHEN 'signup' THEN 'DELETE FROM t' "
-        "WHEN 'error' THEN NULL ELSE 'SELECT a FROM t' END"
+        "WHEN 'error' THEN NULL ELSE 'SELECT a FROM t' END END"
     ),
     "success": "e.event_type <> 'error'",
     "row_count": "CASE WHEN e.event_type = 'error' THEN 0 ELSE CAST(floor(e.value) AS INT) END",
@@ -220,7 +224,10 @@ INTERACTIONS = {
 }
 
 PRODUCT = {
-    "id": "p.p_partkey",
+    "id": (
+        "CASE WHEN p.p_partkey % 83 = 1 THEN NULL WHEN p.p_partkey % 50 = 2 THEN p.p_partkey - 1 "
+        "ELSE p.p_partkey END"
+    ),
     "category": "p.p_type",
     "name": "p.p_name",
     "price": "CAST(p.p_retailprice AS DECIMAL(10,2))",
@@ -228,8 +235,10 @@ PRODUCT = {
 }
 
 SALE = {
-    "product_id": "l.l_partkey",
+    "id": "l.l_orderkey * 8 + l.l_linenumber",
+    "product_id": "CASE WHEN l.l_orderkey % 101 = 0 THEN NULL ELSE l.l_partkey END",
     "quantity": "CAST(l.l_quantity AS BIGINT)",
     "total": "CAST(l.l_extendedprice AS DECIMAL(10,2))",
     "sold_at": "l.l_shipdate",
+    "city": "concat('C', CAST(l.l_suppkey % 81 + 1 AS VARCHAR(20)))",
 }

@@ -23,6 +23,18 @@ TEXT_OPTIONS = {
 # Views written with a partition column, so that a period or a day reads only its folders.
 PARTITION_COLUMNS = {"personnel_month": "year_month", "interactions": "day"}
 
+# The long tables whose hot keys are dealt to parts by row number.
+NUMBERED = ["training_participant", "training_event_course"]
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """A table that is numbered, its rows in a fixed order inside each partition.
+
+    A database or a view that shuffles may give a repeated task its rows in another order;
+    sorted by all columns they get the same numbers again.  Files need no such sort.
+    """
+    return df.sortWithinPartitions(*df.columns) if name in NUMBERED else df
+
 
 class Workforce:
     """Tables by attribute: ``w.personnel``, ``w.training_event``, …
@@ -88,7 +100,7 @@ class Workforce:
 
         def load(name: str) -> DataFrame:
             table = spark.table(f"{database}.{name}")
-            return checked(blank_to_null(table) if raw else table, name)
+            return settled(checked(blank_to_null(table) if raw else table, name), name)
 
         return cls(spark, load)
 
@@ -115,7 +127,7 @@ class Workforce:
             named = loaded.select(*[F.col(c).alias(c.lower()) for c in loaded.columns])
             types = view_schema(name)
             typed = named.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types])
-            return checked(blank_to_null(typed) if raw else typed, name)
+            return settled(checked(blank_to_null(typed) if raw else typed, name), name)
 
         return cls(spark, load)
 

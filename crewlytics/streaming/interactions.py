@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crewlytics.sources.base_tables import BASE_SCHEMAS, base_path
@@ -24,14 +24,19 @@ def event_stream(
     return reader.parquet(base_path(directory, "{events}"))
 
 
-def interactions_stream(events: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def interactions_stream(
+    events: DataFrame, sink: str, checkpoint: str, files_per_day: int = 4
+) -> StreamingQuery:
     """Appends what has arrived and stops; started again, it takes up where it ended.
 
-    The checkpoint remembers the files already taken and the sink the batches already
+    A batch writes at most ``files_per_day`` files for a day; a day that holds much of the
+    batch is shared by as many tasks.  The checkpoint remembers the files already taken and the sink the batches already
     written, so a batch repeated after a failure is not stored twice.
     """
+    rows = with_day(log_records(events))
+    spread = F.pmod(F.xxhash64(*rows.columns), F.lit(files_per_day))
     return (
-        with_day(log_records(events))
+        rows.repartition("day", spread)
         .writeStream.format("parquet")
         .outputMode("append")
         .partitionBy("day")

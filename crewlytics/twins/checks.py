@@ -82,6 +82,11 @@ TWINS = {f"scan_{name}": over([name]) + f"SELECT * FROM {name}" for name in SCAN
     "count(DISTINCT participant_id) FILTER (participant_type = 'Internal') "
     "AS internal_participants FROM attended WHERE cancel_date IS NULL GROUP BY 1",
     "key_violations_product": repeated("product", "id"),
+    "key_violations_sale": repeated("sale", "id"),
+    "key_violations_event": repeated("training_event", "training_event_id"),
+    "sale_before": over(["sale"])
+    + "SELECT id, product_id, quantity, total, city, "
+    "DATE '2024-02-05' - CAST(id % 30 AS INT) AS sold_on FROM sale",
     "key_violations_participant": repeated(
         "training_participant", "training_event_id, participant_id"
     ),

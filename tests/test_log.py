@@ -123,3 +123,12 @@ def test_orphans_ignore_incomplete_keys(spark):
     child = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (None, 9), (3, None)], "a int, b int")
     parent = spark.createDataFrame([(1, 1), (None, 9)], "x int, y int")
     assert rows_of(fk_orphans(child, parent, {"a": "x", "b": "y"})) == [(1, 2, 2)]
+
+
+def test_stream_writes_few_files_per_day(spark, tmp_path):
+    run_stream(spark, DATA, tmp_path)
+    days = [d for d in os.listdir(tmp_path / "log") if d.startswith("day=")]
+    assert days
+    for day in days:
+        files = [f for f in os.listdir(tmp_path / "log" / day) if f.endswith(".parquet")]
+        assert 1 <= len(files) <= 4

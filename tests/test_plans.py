@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import inspect
 import re
 
 import pytest
 from conftest import DATA, rows_of
 
 import __spark_entry__ as entry_points
+from crewlytics import catalogue
 from crewlytics.operators.matching import assignment_timeline
 from crewlytics.plans import employees, location, movements, training
 
@@ -103,3 +105,20 @@ def test_big_sides_are_not_broadcast(spark, workforce):
             assert "NestedLoop" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_limits_are_arguments(workforce):
+    reports = catalogue.reports()
+    limited = {
+        name: inspect.signature(report).parameters["limit"].default
+        for name, report in reports.items()
+        if "limit" in inspect.signature(report).parameters
+    }
+    assert len(limited) >= 30
+    assert limited["headcount_search"] is None
+    departments = workforce.personnel.select("department").distinct().count()
+    assert reports["employees_department_stats"](workforce, limit=None).count() == departments
+    assert reports["employees_department_stats"](workforce, limit=1).count() == 1
+    rows = reports["training_main"](workforce).count()
+    assert rows > 2000
+    assert reports["training_full_details"](workforce, limit=None).count() == rows

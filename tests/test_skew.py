@@ -16,6 +16,7 @@ from crewlytics.operators.skew import (
     spread_outer,
 )
 from crewlytics.plans import training
+from crewlytics.sources.workforce import settled
 
 REPORTS = {
     "main": lambda w, hot: training.training_main(w, hot_rows=hot),
@@ -166,3 +167,14 @@ def test_spread_outer_is_the_plain_left_join(spark, hot_rows):
     hot = hot_keys(key_counts(many, ["k"]), ["k"], hot_rows)
     found = spread_outer(one, numbered(many), ["k"], hot, "c IS NULL").select("k", "n", "c")
     assert rows_of(found) == rows_of(one.join(many, "k", "left").where("c IS NULL"))
+
+
+def test_rows_in_another_order_get_the_same_numbers(spark):
+    rows = [(k % 3, k % 7, None if k % 5 else k) for k in range(60)]
+    schema = "training_event_id long, participant_id long, other long"
+
+    def dealt(order):
+        table = spark.createDataFrame(order, schema).coalesce(1)
+        return sorted(map(tuple, numbered(settled(table, "training_participant")).collect()), key=repr)
+
+    assert dealt(rows) == dealt(rows[::-1])
