@@ -172,9 +172,9 @@ def position_label(internal: Column) -> Column:
     return F.when(internal, title).otherwise(fv.OUTSIDE_PARTICIPANT)
 
 
-def department_label() -> Column:
+def department_label(outside: str = fv.OUTSIDE_DEPARTMENT) -> Column:
     org = labelled(upper_text(F.col("org_name")), fv.DEPARTMENT_UNKNOWN)
-    return F.when(F.col("participant_type") == fv.EXTERNAL, fv.OUTSIDE_DEPARTMENT).otherwise(org)
+    return F.when(F.col("participant_type") == fv.EXTERNAL, outside).otherwise(org)
 
 
 def group_label(internal: Column) -> Column:

@@ -34,6 +34,7 @@ from crewlytics.operators.skew import (
 from crewlytics.sources.workforce import Workforce
 
 AS_OF = dt.date(2000, 1, 1)
+BROADCAST_IDS = 100_000
 WHO = ["participant_id", "company_id", "start_date"]
 
 
@@ -54,13 +55,17 @@ def hot_of(w: Workforce, hot_rows: int) -> part.Hot:
 
 
 def training_main(
-    w: Workforce, as_of: dt.date = AS_OF, hot_rows: int = HOT_ROWS
+    w: Workforce,
+    as_of: dt.date = AS_OF,
+    hot_rows: int = HOT_ROWS,
+    outside: str = fv.OUTSIDE_DEPARTMENT,
 ) -> DataFrame:
     """One row per event, course, participant and matching work spell: 18 columns.
 
     The number of live rows of an event, which its hours are divided by, is counted
     after all of these repetitions.  Event rows with one id all count, and share what
-    belongs to it; an event without an id has no participants and no courses.
+    belongs to it; an event without an id has no participants and no courses.  ``outside`` is
+    the department shown for people from elsewhere.
     """
     hot = hot_of(w, hot_rows)
     events = w.training_event.where(F.col(EVENT).isNotNull())
@@ -107,7 +112,7 @@ def training_main(
         F.when(internal & F.col("is_active"), 1).otherwise(0).alias("is_active"),
         part.type_label(internal).alias("participant_type"),
         part.position_label(internal).alias("position"),
-        part.department_label().alias("department"),
+        part.department_label(outside).alias("department"),
         part.group_label(internal).alias("staff_group"),
     )
 
@@ -352,13 +357,15 @@ def training_full_details(
 
     Every event yields at least one row and the sort starts with start day and event id,
     so the wanted rows belong to the first ``limit`` events in that order.  The model is
-    built for those events only; their ids (at most ``limit``) are broadcast to the scans
-    of the tables keyed by event.  Assignments and spells are those of their participants.
+    built for those events only; up to ``BROADCAST_IDS`` ids are broadcast to the scans of
+    the tables keyed by event, more are left to Spark's own choice of join.  Assignments and spells are those of their participants.
     """
     if limit is None:
         return ranked(training_main(w, hot_rows=hot_rows), ["-start_date", "event_id"])
     first = ranked(w.training_event.select("start_date", EVENT), ["-start_date"], limit)
-    ids = F.broadcast(first.select(EVENT))
+    ids = first.select(EVENT)
+    if limit <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
     keyed = ["training_event", "training_participant", "training_event_course"]
     chosen = w.narrowed(ids, EVENT, keyed)
     people = chosen.training_participant.select(F.col("participant_id").alias("emp_no"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -187,7 +188,7 @@ def run_select(workforce: Workforce, text: str) -> DataFrame:
     into a derived table, where a statement that writes or defines something is a
     syntax error.
     """
-    lowered = text.lower()
-    register_views(workforce, [name for name in VIEW_SCHEMAS if name in lowered])
+    words = set(re.findall(r"\w+", re.sub(r"'[^']*'", "", text.lower())))
+    register_views(workforce, [name for name in VIEW_SCHEMAS if name in words])
     query = text.strip().rstrip(";")
     return workforce.spark.sql(f"SELECT * FROM (\n{query}\n)")
