@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from crewlytics.llm.scratch import stored
 from crewlytics.llm.text_arrays import tidy
 
-MIN_PAGES, MIN_SHARE = 10, 0.01
+MIN_PAGES = 10
 
 # fixed values: names that HTML gives and words that mark page furniture
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -235,7 +235,7 @@ def _signed(x: int) -> int:
 
 
 def subtree_hashes(pages: DataFrame) -> DataFrame:
-    """(key, host, content, subtree) of ``pages`` (key, host, html); subtree is null once per page."""
+    """(key, host, content, subtree) of ``pages`` (key, host, html), each subtree of a page once."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
             keys, hosts, contents, subtrees = [], [], [], []
             for key, host, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page = Page(source or "")
-                found = [None, *{_signed(s[2]) for s in page.candidates()}]
+                found = {_signed(s[2]) for s in page.candidates()}
                 content = xxhash.xxh64_intdigest(page.text(set()).encode("utf-8", "surrogatepass"))
                 keys += [key] * len(found)
                 hosts += [host] * len(found)
@@ -260,22 +260,21 @@ def subtree_hashes(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, "key long, host string, content long, subtree long")
 
 
-def templates_of(found: DataFrame, min_pages: int, min_share: float) -> DataFrame:
-    """(host, subtree) of the subtrees that are on many of their host's pages.
+def templates_of(found: DataFrame, min_pages: int) -> DataFrame:
+    """(host, subtree) of the subtrees that are on at least ``min_pages`` pages of their host.
 
-    Pages with equal contents count once, so copies of one page make no template. Distinct rows
-    and counts are partial aggregates; a host with a third of all pages is spread by its subtrees.
+    The number does not grow with the host, so the template of a small part of a large host counts
+    as it would on a host of its own. Pages with equal contents count once, so copies of one page
+    make no template. Distinct rows and counts are partial aggregates; a host with a third of all
+    pages is spread by its subtrees.
     """
     once = found.select("host", "subtree", "content").distinct()
     counts = once.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    totals = counts.where("subtree is null").select("host", F.col("n").alias("pages"))
-    several = counts.where(f"subtree is not null and n >= {min_pages}")
-    return several.join(totals, "host").where(f"n >= {min_share}D * pages").select("host", "subtree")
+    return counts.where(f"n >= {min_pages}").select("host", "subtree")
 
 
 def extract_text(
-    pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id: str = "page_id",
-    url: str = "url", page: str = "html",
+    pages: DataFrame, min_pages: int = MIN_PAGES, id: str = "page_id", url: str = "url", page: str = "html",
 ) -> DataFrame:
     """(id, url, text, n_chars) of every row of ``pages``.
 
@@ -289,8 +288,8 @@ def extract_text(
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[^:/?#]*://([^/?#]*)", 1))
     hashed = rows.select("key", host.alias("host"), "html")
     found = stored(subtree_hashes(hashed), "subtrees")
-    templates = stored(templates_of(found, min_pages, min_share), "templates")
-    on_page = found.where("subtree is not null").join(templates, ["host", "subtree"])
+    templates = stored(templates_of(found, min_pages), "templates")
+    on_page = found.join(templates, ["host", "subtree"])
     on_page = stored(on_page.groupBy("key").agg(F.collect_set("subtree").alias("subtrees")), "page-templates")
 
     @tidy

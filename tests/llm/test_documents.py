@@ -133,6 +133,21 @@ def test_templates_of_a_site(spark):
     assert html_templates.extract_text(df.limit(0)).count() == 0
 
 
+def test_template_of_a_small_part_of_a_host(spark):
+    """A box on 10 pages goes on a host of 1,500 pages as on one of 20; one on 9 pages stays."""
+
+    def page(i, host, text):
+        body = f"<body><p>own text number {i} " + f"of page {i} " * 9 + f"</p><div><p>{text}</p></div></body>"
+        return (i, f"https://{host}/{i}", body)
+
+    boxes = ["a section"] * 10 + ["a rare one"] * 9
+    pages = [page(i, host, (boxes + [f"only {i}"] * n)[i]) for host, n in (("big", 1481), ("small", 1)) for i in range(19 + n)]
+    rows = html_templates.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(rows) == 1520 and all("own text" in r["text"] for r in rows)
+    left = [t for r in rows for t in ("a section", "a rare one", "only") if t in r["text"]]
+    assert {t: left.count(t) for t in set(left)} == {"a rare one": 18, "only": 1482}
+
+
 def words(text):
     return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
 
