@@ -8,6 +8,7 @@ the row. A longer record is cut into several members.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -102,55 +103,182 @@ def _fields(head: bytes) -> dict[str, str]:
     return fields
 
 
-def _digest_fits(said: str | None, data: bytes) -> bool:
-    """Whether a digest field is right; methods other than hex sha256 and sha1 are not judged."""
+def _digest_fits(said: str | None, *data: bytes) -> bool | None:
+    """Whether a digest field is that of one of ``data``; None where it cannot be judged.
+
+    The value may be hex, base32 or base64. Methods other than sha256 and sha1 are not judged.
+    """
     method, _, value = (said or "").partition(":")
-    if method.lower() not in ("sha256", "sha1") or not re.fullmatch("[0-9a-fA-F]+", value):
-        return True
-    return hashlib.new(method.lower(), data).hexdigest() == value.lower()
+    method, value = method.strip().lower(), value.strip().rstrip("=")
+    if method not in ("sha256", "sha1") or not value:
+        return None
+    for one in data:
+        right = hashlib.new(method, one).digest()
+        if value.lower() == right.hex() or value.upper() == base64.b32encode(right).decode().rstrip("="):
+            return True
+        if value.replace("-", "+").replace("_", "/") == base64.b64encode(right).decode().rstrip("="):
+            return True
+    return False
+
+
+_CHUNK = re.compile(rb"([0-9a-fA-F]+)[^\r\n]*\r\n")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """The body without the chunk lines of HTTP; as far as it has any."""
+    out, at = [], 0
+    while (m := _CHUNK.match(body, at)) and int(m[1], 16):
+        at = m.end() + int(m[1], 16)
+        out.append(body[m.end() : at])
+        at += 2
+    return b"".join(out)
 
 
-def _parse(data: bytes, at: int) -> tuple[dict | None, int]:
-    """The record at ``at`` and where it ends; (None, 0) if the data stop before its end."""
+def _parse(data: bytes, at: int, proven: bool = True) -> tuple[dict | None, int]:
+    """The record at ``at`` and where it ends; (None, end) if the data stop before that end.
+
+    Where the end of the header is not there yet, the end is one byte more than there is. Data
+    that are not ``proven`` by a check sum need a digest that fits.
+    """
     if not data.startswith(b"WARC/", at):
         raise ValueError("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         if len(data) - at > 1 << 20:
             raise ValueError("header without an end")
-        return None, 0
+        return None, len(data) + 1
     fields = _fields(data[at:stop])
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
         raise ValueError("header without length or type")
     begin, end = stop + 4, stop + 4 + int(fields["content-length"])
     if len(data) < end + 4:
-        return None, 0
+        return None, end + 4
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("record without its end mark")
     block = data[begin:end]
-    if not _digest_fits(fields.get("warc-block-digest"), block):
+    block_fits = _digest_fits(fields.get("warc-block-digest"), block)
+    if block_fits is False:
         raise ValueError("block digest")
     http, _, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
-    if fields["warc-type"] != "revisit" and not _digest_fits(fields.get("warc-payload-digest"), payload):
-        raise ValueError("payload digest")
+    payload_fits = None
+    if fields["warc-type"] != "revisit":
+        payload_fits = _digest_fits(fields.get("warc-payload-digest"), payload)
+        if payload_fits is False and fields.get("content-type", "").lower().startswith("application/http"):
+            # some writers take the digest of a request's body, or of what the chunks of a body hold
+            body = block.partition(b"\r\n\r\n")[2]
+            payload_fits = _digest_fits(fields.get("warc-payload-digest"), body, _unchunked(body))
+        if payload_fits is False:
+            raise ValueError("payload digest")
+    if not (proven or block_fits or payload_fits):
+        raise ValueError("no digest in a damaged member")
     said = re.search(rb"(?im)^content-length:[ \t]*(\d+)", http)
     fields["payload-bytes"] = int(said[1]) if said and fields["warc-type"] == "revisit" else len(payload)
     return {"fields": fields, "payload": payload}, end + 4
 
 
+_GZIP = b"\x1f\x8b\x08"
 _START = re.compile(rb"\x1f\x8b\x08|WARC/[0-9]")
+_VERSION = re.compile(rb"WARC/[0-9]")
+CUT_OFF = "member without an end"
 
 
-def _member(content: bytes, at: int) -> tuple[bytes, int]:
-    """The member at ``at`` unpacked and where it ends; takes small bites, so no rest is copied."""
-    unpacker, view, out, bite = zlib.decompressobj(31), memoryview(content), [], 4096
-    while not unpacker.eof:
+def _member(content: bytes, at: int) -> tuple[bytes, int, str]:
+    """The member at ``at`` unpacked, where it ends and what is wrong with it, if anything.
+
+    Takes small bites, so no rest is copied. Of a damaged member comes what was unpacked before
+    the error: the bite that fails is taken byte by byte once more.
+    """
+    view, least = memoryview(content), None
+    while True:
+        unpacker, out, place, bite = zlib.decompressobj(31), [], at, 4096
+        while not unpacker.eof:
+            step = bite if least is None or place < least else 1
+            part = view[place : place + step]
+            if not len(part):
+                return b"".join(out), place, CUT_OFF
+            try:
+                out.append(unpacker.decompress(part))
+            except zlib.error as wrong:
+                if least is not None:
+                    return b"".join(out), place, str(wrong)
+                least = place
+                break
+            place, bite = place + len(part), min(2 * bite, 1 << 20)
+        else:
+            return b"".join(out), place - len(unpacker.unused_data), ""
+
+
+def _packed_end(content: bytes, at: int, size: int) -> int:
+    """Where the first ``size`` unpacked bytes of the member at ``at`` end in the archive.
+
+    The last of them is left in the unpacker, which would go on to a damaged check sum behind it.
+    """
+    unpacker, view, bite = zlib.decompressobj(31), memoryview(content), 4096
+    size -= 1
+    while size:
         part = view[at : at + bite]
-        if not len(part):
-            raise ValueError("member without an end")
-        out.append(unpacker.decompress(part))
-        at, bite = at + len(part), min(2 * bite, 1 << 20)
-    return b"".join(out), at - len(unpacker.unused_data)
+        size -= len(unpacker.decompress(part, size))
+        at, bite = at + len(part) - len(unpacker.unconsumed_tail), min(2 * bite, 1 << 20)
+    return at
+
+
+def _joined(content: bytes, rest: bytes, need: int, end: int) -> tuple[dict, bytes, int, int]:
+    """The record that begins ``rest`` and goes on in the members from ``end`` on.
+
+    Returns the record, the unpacked bytes, the record's end in them and the last member's end.
+    """
+    parts, size = [rest], len(rest)
+    while True:
+        while size < need:
+            if not content.startswith(_GZIP, end):
+                raise ValueError("record without its rest")
+            part, end, wrong = _member(content, end)
+            if wrong:
+                raise ValueError(f"record without its rest, {wrong}")
+            parts.append(part)
+            size += len(part)
+        parts = [b"".join(parts)]
+        one, need = _parse(parts[0], 0)
+        if one is not None:
+            return one, parts[0], need, end
+
+
+def _records(content: bytes, at: int) -> tuple[list[tuple[dict | None, str]], int, str]:
+    """What the member at ``at`` holds, where it ends, and what is wrong behind its last record.
+
+    After a failed check the unpacked bytes are searched for the next version line whose record
+    passes; the bytes between are a gap, named by their places in the unpacked bytes. Of a
+    damaged member the end is that of its last record, and ``at`` if nothing in it counts.
+    """
+    held, end, wrong = _member(content, at)
+    proven = not wrong or wrong == CUT_OFF
+    found, place, sound, bad, why, before = [], 0, 0, None, "", 0
+    while place < len(held):
+        try:
+            one, after = _parse(held, place, proven)
+            if one is None:
+                if wrong:
+                    raise ValueError(wrong)
+                one, rest, after, end = _joined(content, held[place:], after - place, end)
+                before, held, place = before + place, rest, 0
+        except ValueError as failed:
+            if bad is None:
+                bad, why = before + place, str(failed)
+            start = _VERSION.search(held, place + 1)
+            place = start.start() if start else len(held)
+            continue
+        if bad is not None:
+            found.append((None, f"{why}; bytes {bad} to {before + place} of the unpacked member at {at}"))
+            bad = None
+        found.append((one, ""))
+        place = sound = after
+    if wrong and (not found or len(found) == 1 and sound == len(held)):
+        return [], at, wrong  # the check sum of a member with one record is a check of that record
+    if wrong:
+        return found, _packed_end(content, at, sound), f"{wrong}; from byte {sound} of the unpacked member at {at}"
+    if bad is not None and found:
+        found.append((None, f"{why}; bytes {bad} to {before + len(held)} of the unpacked member at {at}"))
+    return found, end, "" if found else why
 
 
 def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
@@ -158,44 +286,35 @@ def salvage(content: bytes) -> Iterator[tuple[int, int, dict | None, str]]:
 
     A gap has no record and names what was wrong. After a failed check the search goes on at the
     next byte that may start a gzip member or a version line, and a place counts only when its
-    record passes all checks. Members that hold a part of a record are joined with the next ones.
+    record passes all checks. A member may hold many records: those before and after damage come
+    back, also from a member that unpacks only in part, and a gap between them has the bytes of
+    the member and in its reason its place in the unpacked bytes. Where the member's own check
+    sum fails, only records with a digest that fits count. Members that hold a part of a record
+    are joined with the next ones.
     """
     at, gap, why = 0, None, ""
     while at < len(content):
-        found = []
-        try:
-            if content.startswith(b"\x1f\x8b\x08", at):
-                held, end = b"", at
-                while True:
-                    part, end = _member(content, end)
-                    held, place = held + part, 0
-                    found = []
-                    while place < len(held):
-                        one, place_after = _parse(held, place)
-                        if one is None:
-                            break
-                        found.append(one)
-                        place = place_after
-                    if place == len(held):
-                        break
-                    if not content.startswith(b"\x1f\x8b\x08", end):
-                        raise ValueError("record without its rest")
-            else:
+        found, end, wrong = [], at, ""
+        if content.startswith(_GZIP, at):
+            found, end, wrong = _records(content, at)
+        else:
+            try:
                 one, end = _parse(content, at)
                 if one is None:
                     raise ValueError("record without an end")
-                found.append(one)
-        except (ValueError, zlib.error) as wrong:
-            if gap is None:
-                gap, why = at, str(wrong)
-            start = _START.search(content, at + 1)
-            at = start.start() if start else len(content)
-            continue
-        if gap is not None:
+                found.append((one, ""))
+            except ValueError as failed:
+                end, wrong = at, str(failed)
+        if gap is not None and found:
             yield gap, at, None, why
             gap = None
-        for one in found:
-            yield at, end, one, ""
+        for one, reason in found:
+            yield at, end, one, reason
+        if wrong:
+            if gap is None:
+                gap, why = end if found else at, wrong
+            start = _START.search(content, max(end, at + 1))
+            end = start.start() if start else len(content)
         at = end
     if gap is not None:
         yield gap, len(content), None, why

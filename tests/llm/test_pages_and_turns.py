@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
 import math
+import random
+import zlib
 
 import pytest
 
@@ -88,6 +91,85 @@ def test_salvage(packed):
     assert [(a, b) for a, b, r, _ in warc.salvage(noise) if r is None] == [(0, 7), (7 + starts[6], len(noise))]
 
 
+def ids_of(found):
+    return [int(r["fields"]["warc-record-id"][10:-1]) for _, _, r, _ in found if r]
+
+
+def test_salvage_inside_a_member():
+    """One bad record of a member that unpacks costs that record alone."""
+    parts = [made(i) for i in range(3)]
+    a, b = len(parts[0]), len(parts[0] + parts[1])
+    harmed = bytearray(b"".join(parts))
+    harmed[b - 20] ^= 1
+    whole = warc.member(made(7)) + warc.member(bytes(harmed)) + warc.member(made(8))
+    found = list(warc.salvage(whole))
+    assert ids_of(found) == [7, 0, 2, 8]
+    begin, end = len(warc.member(made(7))), len(whole) - len(warc.member(made(8)))
+    assert [f[:2] + f[3:] for f in found if f[2] is None] == [
+        (begin, end, f"block digest; bytes {a} to {b} of the unpacked member at {begin}")
+    ]
+    for cut, left in ((bytes(harmed[:b]), [0]), (bytes(harmed[a:]), [2]), (bytes(harmed[a:b]), [])):
+        found = list(warc.salvage(warc.member(cut) + warc.member(made(8))))
+        assert ids_of(found) == [*left, 8] and sum(r is None for _, _, r, _ in found) == 1
+    long = made(3, random.Random(1).randbytes(9 << 20))  # goes on in a second member with more records
+    joined = warc.member(long)
+    last = zlib.compressobj(6, zlib.DEFLATED, 31)
+    rest = last.compress(long[warc.MEMBER_BYTES :] + bytes(harmed)) + last.flush()
+    first = joined[: len(joined) - len(warc.member(long[warc.MEMBER_BYTES :]))]
+    assert ids_of(warc.salvage(first + rest + warc.member(made(8)))) == [3, 0, 2, 8]
+    spoilt = bytearray(first + rest)
+    spoilt[1 << 20] ^= 1
+    assert ids_of(warc.salvage(bytes(spoilt) + warc.member(made(8)))) == [0, 2, 8]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_of_one_stream(level):
+    """Of a member that does not unpack to its end, the records come back that are whole before the damage."""
+    pick = random.Random(level)
+    records = [made(i, pick.randbytes(3000) + b"words " * 500) for i in range(40)]
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    packed = packer.compress(b"".join(records)) + packer.flush()
+    half = bytearray(packed)
+    half[len(half) // 2] ^= 0x55
+    for harmed, least in ((bytes(half), 18), (packed[: len(packed) * 3 // 4], 28), (packed[:-6], 40), (packed[:-8] + b"x" * 8, 40)):
+        whole = warc.member(made(90)) + harmed + warc.member(made(91))
+        found = list(warc.salvage(whole))
+        ids = ids_of(found)
+        assert ids[0] == 90 and ids[-1] == 91 and ids[1:] == sorted(set(ids[1:])) and ids[1 : least + 1] == list(range(least))
+        by_id = {int(r["fields"]["warc-record-id"][10:-1]): r for _, _, r, _ in found if r}
+        assert all(by_id[i]["payload"] == records[i].partition(b"\r\n\r\n")[2].partition(b"\r\n\r\n")[2][:-4] for i in ids[1:-1])
+        gaps = [f for f in found if f[2] is None]
+        assert gaps and all("of the unpacked member at" in why for *_, why in gaps)
+        assert ids_of(warc.salvage(harmed)) == ids[1:-1]
+    plain = [r.replace(b"sha256:", b"none:") for r in records]  # nothing proves these once the check sum fails
+    packer = zlib.compressobj(level, zlib.DEFLATED, 31)
+    packed = packer.compress(b"".join(plain)) + packer.flush()
+    assert ids_of(warc.salvage(packed)) == list(range(40))
+    assert len(ids_of(warc.salvage(packed[: len(packed) // 2]))) in (19, 20)
+
+
+@pytest.mark.parametrize("coded", [base64.b32encode, base64.b64encode, base64.b16encode])
+def test_digests_that_are_not_hex(coded):
+    body = b"some words"
+    http = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n"
+    sha1 = lambda data: b"sha1:" + coded(hashlib.sha1(data).digest())
+
+    def one(kind, block, paid):
+        head = b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Type: application/http\r\n" % kind
+        head += b"WARC-Block-Digest: %s\r\nWARC-Payload-Digest: %s\r\n" % (sha1(block), sha1(paid))
+        return head + b"Content-Length: %d\r\n\r\n%s\r\n\r\n" % (len(block), block)
+
+    chunks = b"4\r\nsome\r\n6;x\r\n words\r\n0\r\n\r\n"
+    sound = [one(b"response", http + chunks, body), one(b"response", http + chunks, chunks),
+             one(b"request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", b""), one(b"resource", body, body)]
+    assert ids_of(warc.salvage(b"".join(sound))) == [1] * 4
+    harmed = sound[3].replace(b"some words\r", b"some wards\r")
+    found = list(warc.salvage(sound[0] + harmed + sound[1]))
+    assert ids_of(found) == [1, 1]
+    assert [f[:2] + f[3:] for f in found if f[2] is None] == [(len(sound[0]), len(sound[0] + harmed), "block digest")]
+    assert not ids_of(warc.salvage(one(b"resource", body, b"other")))
+
+
 def test_salvage_of_files(spark, tmp_path):
     good = b"".join(warc.member(made(i)) for i in range(3))
     (tmp_path / "a.warc.gz").write_bytes(good + b"\xff" * 9 + warc.member(made(9)))
