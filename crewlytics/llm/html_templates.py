@@ -32,7 +32,7 @@ BLOCK = set(
     "figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre "
     "section summary table tbody td tfoot th thead tr ul".split()
 ) - {"br"}
-CONTAINER = set("details div dl fieldset menu ol section table ul".split())
+CONTAINER = set("blockquote details div dl fieldset figure menu ol pre section table ul".split())
 DROPPED = set(
     "aside audio button canvas dialog embed footer form head header iframe menu nav noembed noframes noscript "
     "object script select style svg template textarea title video xmp".split()

@@ -148,6 +148,20 @@ def test_template_of_a_small_part_of_a_host(spark):
     assert {t: left.count(t) for t in set(left)} == {"a rare one": 18, "only": 1482}
 
 
+def test_template_in_an_article(spark):
+    """Recurring quotes, figures and preformatted text in an article go; rare ones, paragraphs and headings stay."""
+    again = "<h2>Again</h2><p>Same line</p><blockquote>Quoted</blockquote><figure><figcaption>Shown</figcaption></figure><pre>Typed</pre>"
+    rare = "<blockquote>Seldom quoted</blockquote>"
+
+    def page(i):
+        return f"<article><p>own text number {i} " + f"of page {i} " * 9 + f"</p>{again}{rare * (i < 9)}</article>"
+
+    pages = spark.createDataFrame([(i, "https://a/", page(i)) for i in range(10)], "page_id long, url string, html string")
+    for r in html_templates.extract_text(pages).collect():
+        tail = " Seldom quoted" * (r["page_id"] < 9)
+        assert r["text"].endswith(f"of page {r['page_id']} Again Same line{tail}") and r["text"].startswith("own text")
+
+
 def words(text):
     return regex.findall(r"[\p{L}\p{N}]+", (text or "").lower())
 
