@@ -1,9 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv factors.
+"""Substring deduplication by hashed windows, in place of relative Lempel-Ziv factors.
 
-Every document is factored against the words of all documents with smaller ids: a factor is a
-longest run of words of which every stretch of ``window`` words also starts in such a document.
-Runs of at least ``window`` words are duplicate spans and are removed. The reference is indexed in
-blocks and never held in one place:
+A word is removed where a stretch of ``window`` words covers it that a document with a smaller id
+has too. Greedy factors (reference document, place, length) against those documents would mark the
+same words once the windows across factor ends are asked for as well, but need the reference's words
+at hand to grow a match; hashes of windows need only the answer whether a window is there. So no
+factor, place or length is made. The reference is indexed in blocks and never held in one place:
 
 1. Documents are put into chunks of about CHUNK_BYTES of text, written once.
 2. Each window has an anchor, its ``seed``-word run with the smallest hash, which equal windows
@@ -12,10 +13,8 @@ blocks and never held in one place:
    anchor, no factor can begin, and the window is done.
 3. Of the windows left a chunk sends each distinct one once, with its smallest document, to the
    blocks that index windows; the answer is one bit: whether a smaller document elsewhere has it.
-4. Each document is parsed from left to right: a factor begins at the first window that the
-   reference has and grows as long as the next window is there too. Windows that cross the end of
-   one factor and the beginning of the next are asked for like all others, so text that continues
-   in another reference document is not lost at the boundary.
+4. The words of all windows that a smaller document has are removed. Every window of a document is
+   judged, so text that continues in another reference document is not lost at the boundary.
 
 Equal passages are folded to one entry per chunk before anything is shuffled, so a passage that a
 third of all documents share costs one entry per chunk. Blocks are sized by the number of chunks.
