@@ -9,12 +9,14 @@ item is shorter). All steps are DataFrame operations.
    the longest word of each seed; windows of the item's size around a seed are the ones to judge.
 2. Each window gets a 64-bit SimHash of its shingles. Windows and items of one size are dealt to
    ``radius + 1`` blocks of bits; two fingerprints within ``radius`` agree on one block at least,
-   so the join of the blocks misses none of them.
+   so the join of the blocks misses none of them. An item that repeats a shingle skips this step:
+   its windows are all those around one of its own seeds.
 3. Each candidate is verified by its exact weighted similarity: shared shingles over all, with
    their counts.
 
-At a similarity of 0.8 fingerprints differ in about 10 bits, with a deviation of 3, so the default
-radius of 20 is more than three deviations out.
+At a similarity of 0.8 fingerprints of distinct shingles differ in about 10 bits, with a deviation
+of 3, so the default radius of 20 is more than three deviations out. With few shingles that repeat
+they can differ in far more, which is why such items skip the fingerprints.
 """
 
 from __future__ import annotations
@@ -52,18 +54,22 @@ def prepared_items(items: DataFrame, shingle: int, id: str, text: str) -> DataFr
     return rows.withColumn("sh", F.expr(_shingles("words", "m", "w")))
 
 
-def seeds_of(items: DataFrame, similarity: float) -> DataFrame:
-    """(word, back, run, w, m): enough shingles of each item, found by their longest word.
-
-    ``run`` is the shingle's text and ``back`` the place of the word in it. The shingles with the
-    longest words are taken, as those are the rarest.
-    """
+def _chosen(items: DataFrame, similarity: float) -> DataFrame:
+    """(item, m, w, s): enough shingles ``s`` of each item; those with the longest words, as the rarest."""
     part = "slice(words, o + 1, w)"
     longest = f"array_max(transform({part}, x -> length(x)))"
     one = f"struct({longest} as size, o as o, array_join({part}, ' ') as run, {part} as part)"
     count = f"cast(floor((1 - {similarity}D) * size(sh) + 1e-9) as int) + 1"
     chosen = f"slice(sort_array(transform(sequence(0, m - w), o -> {one}), false), 1, {count})"
-    rows = items.select("m", "w", F.explode(F.expr(chosen)).alias("s"))
+    return items.select("item", "m", "w", F.explode(F.expr(chosen)).alias("s"))
+
+
+def seeds_of(items: DataFrame, similarity: float) -> DataFrame:
+    """(word, back, run, w, m): enough shingles of each item, found by their longest word.
+
+    ``run`` is the shingle's text and ``back`` the place of the word in it.
+    """
+    rows = _chosen(items, similarity)
     back = "array_position(transform(s.part, x -> length(x)), s.size) - 1"
     rows = rows.select("m", "w", F.expr(f"cast({back} as int)").alias("back"), "s.run", F.col("s.part").alias("part"))
     return rows.select(F.expr("part[back]").alias("word"), "back", "run", "w", "m").distinct()
@@ -136,11 +142,19 @@ def contaminated(
     keys = ["key", "w", "m", "size", "start"]
     hashes = windows.select(*keys, F.explode(F.expr("slice(doc_sh, start + 1, size - w + 1)")).alias("h"))
     prints = _fingerprint(hashes, keys)
-    item_prints = _fingerprint(wanted.select("item", "m", F.explode("sh").alias("h")), ["item", "m"])
+    distinct = "size(array_distinct(sh)) = size(sh)"
+    item_prints = _fingerprint(wanted.where(distinct).select("item", "m", F.explode("sh").alias("h")), ["item", "m"])
     item_blocks = _bounded(stored(_blocks(item_prints.withColumnRenamed("fp", "item_fp").withColumn("fp", F.col("item_fp")), radius).drop("fp"), "item-blocks"))
 
     pairs = _blocks(prints, radius).join(item_blocks, ["m", "block", "bits"])
     pairs = pairs.where(f"bit_count(fp ^ item_fp) <= {radius}").select(*keys, "item").distinct()
+    again = _chosen(wanted.where(f"not ({distinct})"), similarity)
+    again = stored(again.select("item", "m", "w", F.xxhash64("s.run").alias("h")).distinct(), "seeds-of-repeats")
+    if not again.isEmpty():
+        around = hits.join(near, ["key", "w"]).withColumn("h", F.expr("doc_sh[at]"))
+        around = around.join(_bounded(again), ["m", "w", "h"])
+        more = around.select("key", "w", "m", F.least("n", "m").alias("size"), F.explode(starts).alias("start"), "item")
+        pairs = pairs.union(more.select(*keys, "item").distinct())
     pairs = pairs.join(near, ["key", "w"]).withColumn("win", F.expr("slice(doc_sh, start + 1, size - w + 1)"))
     pairs = pairs.join(wanted.select("item", "sh"), "item")
     shared = F.expr(f"size(array_intersect({_numbered('win')}, {_numbered('sh')}))")

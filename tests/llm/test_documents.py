@@ -197,6 +197,21 @@ def test_decontamination_query(run, rows):
     assert found == alike(docs, items, 0.8)
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """Items of few repeated shingles: windows right at the limit are found, one below is not."""
+    items, docs = [], []
+    for i in range(60):
+        beat = f"one{i} two{i} " * 6
+        items.append((i, f"{beat}last{i}"))
+        docs += [(2 * i, f"{beat}other{i}"), (2 * i + 1, f"before it {beat}other{i} behind" if i % 2 else beat[: len(beat) // 2])]
+    found = decontamination.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    )
+    expected = alike(docs, items, 0.8)
+    assert set(expected) >= {(2 * i, i) for i in range(60)} and len(expected) == 90
+    assert {(r["doc_id"], r["item_id"]): round(r["similarity"], 9) for r in found.collect()} == expected
+
+
 def test_decontamination_of_edited_passages(spark):
     pick = np.random.default_rng(7)
 
