@@ -358,16 +358,17 @@ def simhash_groups(
     bucket_rows: int = 2048,
     levels: int = 3,
 ) -> DataFrame:
-    """(id, simhash, component): the group that each document belongs to.
+    """(id, simhash, component, root, text_hash): the group that each document belongs to.
 
-    ``component`` is the smallest id that is reached over links of at most ``radius`` differing
+    ``root`` is a fingerprint that names the group, also where groups share an id or have none;
+    ``text_hash`` tells rows with one id apart. ``component`` is the smallest id that is reached over links of at most ``radius`` differing
     bits. Every input row gives one row, repeated rows and rows with a null id included; a row
     with a null id may link others, and a group in which no row has an id has a null component.
     Null and empty texts have fingerprint 0, which is linked like any other. Texts are hashed as
     a whole whatever their length; other columns of ``docs`` are not read.
     """
     prints = with_fingerprint(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), shingle_words)
-    prints = stored(prints.select("id", "simhash"), "fingerprints")
+    prints = stored(prints.select("id", "simhash", F.xxhash64("text").alias("text_hash")), "fingerprints")
     codes = prints.groupBy(F.col("simhash").alias("code")).agg(F.min("id").alias("low"))
     codes = stored(codes, "codes")
     found = components(near_links(codes.select("code"), radius, bucket_rows, levels))
@@ -375,18 +376,21 @@ def simhash_groups(
         "code", "low", F.coalesce("root", "code").alias("root")
     )
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    classes = rooted.join(lowest, "root").select(F.col("code").alias("simhash"), "component")
-    return prints.join(classes, "simhash").select(F.col("id").alias(id), "simhash", "component")
+    classes = rooted.join(lowest, "root").select(F.col("code").alias("simhash"), "component", "root")
+    return prints.join(classes, "simhash").select(F.col("id").alias(id), "simhash", "component", "root", "text_hash")
 
 
 def keep_one(docs: DataFrame, groups: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: in each group the document with the smallest id.
 
-    Of several rows with that id, the one with the smallest text hash. Rows with a null id
-    cannot be named by a group and always stay.
+    Of several rows with that id in a group, the one with the smallest text hash; where two groups
+    have one smallest id, each keeps its own row. Rows with a null id cannot be named by a group
+    and always stay.
     """
-    heads = groups.where(F.col(id) == F.col("component")).select(F.col(id).alias("_head")).distinct()
-    kept = docs.join(heads, docs[id] == heads["_head"]).drop("_head")
-    order = Window.partitionBy(id).orderBy(F.xxhash64(text))
-    kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    heads = groups.where(F.col(id) == F.col("component")).groupBy("root", F.col(id).alias("_head"))
+    heads = heads.agg(F.min("text_hash").alias("_text")).drop("root")
+    docs_hash = F.xxhash64(docs[text])
+    kept = docs.join(heads, (docs[id] == heads["_head"]) & (docs_hash == heads["_text"])).drop("_head")
+    order = Window.partitionBy(id, "_text").orderBy(F.lit(1))
+    kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_text")
     return kept.union(docs.where(F.col(id).isNull()))

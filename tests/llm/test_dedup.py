@@ -89,6 +89,16 @@ def test_simhash_of_odd_rows(odd, none):
     assert simhash_gray.simhash_groups(none).count() == 0
 
 
+def test_groups_that_share_an_id(spark):
+    """Rows of one id in two groups are each kept for their group; copies in a group are not."""
+    one, two = (" ".join(f"{w}{i}" for i in range(60)) for w in ("a", "b"))
+    rows = [(8, one), (8, two), (8, two), (9, one), (10, two), (11, None), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash_gray.keep_one(docs, simhash_gray.simhash_groups(docs))
+    found = sorted((r["doc_id"], r["text"] or "") for r in kept.collect())
+    assert found == [(8, one), (8, two), (11, "")]
+
+
 def test_components(spark):
     pick = random.Random(3)
     links = [(pick.randrange(300), pick.randrange(300)) for _ in range(220)]
