@@ -12,9 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DateType, DecimalType
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
-DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+from frames import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -90,7 +90,3 @@ def given(spark, make):
         return Workforce(spark, lambda name: make(name, tables.get(name, [])))
 
     return build
-
-
-def rows_of(df):
-    return sorted((tuple(row) for row in df.collect()), key=repr)

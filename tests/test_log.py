@@ -8,7 +8,7 @@ import re
 import shutil
 
 import pytest
-from conftest import DATA, rows_of
+from frames import DATA, rows_of
 
 from crewlytics.operators.quality import fk_orphans, key_violations
 from crewlytics.operators.query_log import normalise_queries

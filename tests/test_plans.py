@@ -6,7 +6,7 @@ import inspect
 import re
 
 import pytest
-from conftest import DATA, rows_of
+from frames import DATA, rows_of
 
 import __spark_entry__ as entry_points
 from crewlytics import catalogue

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import rows_of
+from frames import rows_of
 from pyspark.sql import functions as F
 
 from crewlytics.operators.skew import (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
-from conftest import DATA
+from frames import DATA
 
 import __spark_entry__ as entry_points
 
