@@ -2,6 +2,8 @@
 
 A text is cut where its tokenizer is sure to cut it too, so the ids of the pieces in a row are
 the ids of the text. Words repeat, and the library then sees each distinct piece once per worker.
+Ids are those of the library's ``encode(text, add_special_tokens=False)``, so the marker of an added
+token in a text, such as ``<|endoftext|>``, gets that token's id; texts with one are encoded whole.
 """
 
 from __future__ import annotations
@@ -42,7 +44,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.marks = [token.content.encode().lower() for token in added]
         self.spaces = spaces
         self.forget()
 
@@ -99,6 +102,18 @@ class Encoder:
         odd[np.searchsorted(offsets, np.r_[at[found], controls], "right") - 1] = True
         return odd
 
+    def _marked(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that may hold an added token, in either case of letters; these are encoded whole."""
+        marked = np.zeros(len(offsets) - 1, bool)
+        raw = data.tobytes().lower()
+        for mark in self.marks:
+            at = raw.find(mark)
+            while at >= 0:
+                text = int(np.searchsorted(offsets, at, "right")) - 1
+                marked[text] = True
+                at = raw.find(mark, max(at + 1, int(offsets[text + 1]) - len(mark) + 1))
+        return marked
+
     @staticmethod
     def _cut_at_marks(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, of: np.ndarray):
         """Pieces cut where an ASCII letter meets an ASCII mark, as every pattern here cuts.
@@ -123,6 +138,13 @@ class Encoder:
         if not len(begins):
             return Ids(np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64))
         begins, ends, of = self._cut_at_marks(data, begins, ends, of)
+        marked = self._marked(data, offsets)
+        if marked.any():
+            plain, whole = ~marked[of], np.flatnonzero(marked)
+            begins, of = np.r_[begins[plain], offsets[whole]], np.r_[of[plain], whole]
+            ends = np.r_[ends[plain], offsets[whole + 1]]
+            order = np.lexsort((begins, of))
+            begins, ends, of = begins[order], ends[order], of[order]
         keys, sample, which = np.unique(
             hash_ranges(data, begins, ends), return_index=True, return_inverse=True
         )
