@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crewlytics.llm import (
+    collocations,
+    conversation_repair,
     decontamination,
     html_templates,
     pattern_packing,
     preference_chat,
     quality_trees,
+    secret_grammar,
     simhash_gray,
     substring_rlz,
     token_files,
@@ -136,6 +139,31 @@ def op10_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_trees.judge(docs, trees).drop("score")
 
 
+def op11_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents: by rules, and by the formats of the credentials that the rules label."""
+    docs = table(spark, sf_dir, "documents")
+    found = secret_grammar.scan(docs, secret_grammar.train(docs))
+    listed = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
+    base = "filter(spans, s -> s.kind in ('assign', 'access', 'hex'))"
+    return found.select(
+        "doc_id",
+        *[F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in secret_grammar.KINDS],
+        F.sha2(F.expr(listed.format(base)), 256).alias("base_sha256"),
+        F.expr(listed.format("spans")).alias("spans"),
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and then repaired by the cheapest edits."""
+    damaged = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(conversation_repair.repair(damaged, gone="gone"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of two and three words that belong together most, for each language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_html_templates,
@@ -148,6 +176,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_url_reputation,
         op9_preference_chat,
         op10_quality_trees,
+        op11_secret_grammar,
+        op12_conversation_repair,
+        op13_collocations,
     )}
 
 

@@ -7,15 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from crewlytics.sources.scratch import shared_folder
 
 
-def stored(df: DataFrame, purpose: str) -> DataFrame:
+def stored(df: DataFrame, purpose: str, *folders: str) -> DataFrame:
     """``df`` written as Parquet below ``spark.checkpoint.dir`` and read back.
 
+    The columns ``folders`` become folders, so a filter on them reads no others.
     This cuts the lineage: what follows never repeats the work before it, and a lost
     executor costs only its own tasks.
     """
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*folders).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -79,7 +79,11 @@ def is_space(data: np.ndarray) -> np.ndarray:
 
 
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    inner = ~is_space(data)
+    return cut_runs(data, offsets, ~is_space(data))
+
+
+def cut_runs(data: np.ndarray, offsets: np.ndarray, inner: np.ndarray) -> Words:
+    """The maximal runs of marked bytes, none across the end of a text."""
     begins, ends = inner.copy(), inner.copy()
     if len(data):
         begins[1:] &= ~inner[:-1]
