@@ -11,7 +11,8 @@ Tasks learn of parts that have reached the threshold from two arrays of a fixed
 names two positions, each of which holds the first scan after which some part there had reached
 it. A clash of positions activates a phrase early, which costs work but changes no count: a
 phrase's first scan is a function of the arrays alone, the same in every task, and each phrase is
-counted for one full round. Equality of words is that of 64-bit hashes; phrases are rows of them.
+counted for one full round. A word is told from others, and from the same word in another language,
+by a 64-bit hash; a phrase is a row of such hashes, and the texts of words are kept beside them.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ from crewlytics.llm.scratch import discard, stored
 from crewlytics.llm.text_arrays import bytes_of, cut_runs, hash_ranges, mix, tidy
 from crewlytics.llm.tokens import slices
 
-SHARDS = 3
+SHARDS = 2  # more make phrases active earlier, but the counts so far are dealt out once per scan
 POSITIONS = 1 << 23  # bytes of each array that a task gets; a power of two below 2**31
 NEVER = 255
-SLICE_BYTES = 8 << 20
-ROWS = "lang string, size int, word string, w1 long, w2 long, w3 long, start int, c long"
-KEY = ["lang", "size", "word", "w1", "w2", "w3", "start"]
+SLICE_BYTES = 4 << 20
+BUCKETS = 64
+TAG = 256  # a row's tag is its number of words times this, plus the scan that it is counted from
+ROWS = "tag int, word string, w1 long, w2 long, w3 long, c long"
+KEY = ["tag", "word", "w1", "w2", "w3"]
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 U64 = np.uint64
 
@@ -54,7 +57,7 @@ def _pair_hash(w1: np.ndarray, w2: np.ndarray) -> np.ndarray:
 def _positions(positions: int) -> list[Column]:
     """The same two positions of a part in a table of counts."""
     pair = "w1 ^ (shiftleft(w2, 21) | shiftrightunsigned(w2, 43))"
-    h = f"case when size = 1 then w1 else {pair} end"
+    h = f"case when tag < {2 * TAG} then w1 else {pair} end"
     return [F.expr(f"({h}) & {positions - 1}L"), F.expr(f"shiftrightunsigned({h}, 32) & {positions - 1}L")]
 
 
@@ -86,18 +89,21 @@ class Slice:
     """The words of some texts: hash, language and piece of each, and where each begins and ends."""
 
     def __init__(self, langs: pa.Array, texts: pa.Array):
+        import xxhash
+
         data, offsets = bytes_of(texts)
         capital = (data >= 65) & (data <= 90)
         self.data = np.where(capital, data | 32, data).astype(np.uint8)
         breaks = np.isin(self.data, np.frombuffer(BREAKS, np.uint8))
         words = cut_runs(self.data, offsets, ~(breaks | (data == 32) | (data == 9)))
         self.starts, self.ends = words.starts, words.ends
-        self.hash = hash_ranges(self.data, self.starts, self.ends)
         text = words.text
         self.piece = np.cumsum(breaks)[self.starts] + text  # both parts only grow
         codes = langs.dictionary_encode()
-        self.langs = codes.dictionary
-        self.lang = codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)[text]
+        self.langs = codes.dictionary.to_pylist()
+        self.lang = codes.indices.to_numpy(zero_copy_only=False)[text]
+        seeds = np.array([xxhash.xxh64_intdigest(name.encode()) for name in self.langs], U64)
+        self.hash = mix(hash_ranges(self.data, self.starts, self.ends) ^ seeds[self.lang])
 
     def runs(self, size: int) -> np.ndarray:
         """Where ``size`` words of one piece begin."""
@@ -109,22 +115,20 @@ class Slice:
     def counts(self, size: int, at: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
         """One row per distinct phrase that begins at one of the places ``at``."""
         keys = [self.hash[at + k] for k in range(size)]
-        lang = self.lang[at]
-        first, n = _grouped([*keys, lang])
+        first, n = _grouped(keys)
         rows = len(first)
-        zero = pa.array(np.zeros(rows, np.int64))
         if size == 1:
-            raw = self.data.tobytes()
-            spans = zip(self.starts[at[first]].tolist(), self.ends[at[first]].tolist(), strict=True)
-            words = pa.array([raw[a:b].decode("utf-8") for a, b in spans], pa.string())
+            raw, where = self.data.tobytes(), at[first]
+            spans = zip(self.lang[where].tolist(), self.starts[where].tolist(), self.ends[where].tolist(), strict=True)
+            words = pa.array([f"{self.langs[x]}\t{raw[a:b].decode()}" for x, a, b in spans], pa.string())
         else:
             words = pa.nulls(rows, pa.string())
-        columns = [_signed(np.ascontiguousarray(key[first])) for key in keys] + [zero] * (3 - size)
+        columns = [_signed(np.ascontiguousarray(key[first])) for key in keys]
+        columns += [pa.array(np.zeros(rows, np.int64))] * (3 - size)
+        tag = pa.array((start[first] + size * TAG).astype(np.int32))
         return pa.RecordBatch.from_arrays(
-            [self.langs.take(pa.array(lang[first])).cast(pa.string()), pa.array(np.full(rows, size, np.int32)),
-             words, *columns, pa.array(start[first].astype(np.int32)), pa.array(n.astype(np.int64))],
-            ["lang", "size", "word", "w1", "w2", "w3", "start", "c"],
-        )
+            [tag, words, *columns, pa.array(n.astype(np.int64))], ["tag", "word", "w1", "w2", "w3", "c"]
+        )
 
 
 def scan(docs: DataFrame, step: int, shards: int, reached) -> DataFrame:
@@ -163,8 +167,8 @@ def _mark(counts: DataFrame, at_least: int, reached: tuple[np.ndarray, np.ndarra
 
     What comes to the driver are bitmaps of the positions, at most one bit for each.
     """
-    parts = counts.where(f"size <= 2 and c >= {at_least}")
-    places = parts.select("size", F.explode(F.array(*_positions(len(reached[0])))).alias("p"))
+    parts = counts.where(f"tag < {3 * TAG} and c >= {at_least}")
+    places = parts.select(F.expr(f"tag div {TAG}").alias("size"), F.explode(F.array(*_positions(len(reached[0])))).alias("p"))
     number, bit = F.expr("bitmap_bucket_number(p + 1)"), F.expr("bitmap_bit_position(p + 1)")
     maps = places.groupBy("size", number.alias("b")).agg(F.bitmap_construct_agg(bit).alias("bits"))
     news = False
@@ -183,8 +187,9 @@ def phrase_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """Counts of all phrases of up to three words that occur ``at_least`` times, and words per language.
 
-    The first table has (lang, size, word, w1, w2, w3, c): words by text and hash, phrases by the
-    hashes of their words. The second has (lang, n), all words of a language.
+    The first table has (size, word, w1, w2, w3, c): words by hash and text, which is the language, a
+    tab and the word, phrases by the hashes of their words. The second has (lang, n), all words of a
+    language.
     """
     if not 1 <= shards <= 80:
         raise ValueError("shards must be between 1 and 80")
@@ -202,20 +207,22 @@ def phrase_counts(
     for step in range(3 * shards):
         sent = spark.sparkContext.broadcast(reached)
         found = scan(dealt.where(F.col("shard") == step % shards).select("lang", "text"), step, shards, sent)
-        both = found if running is None else found.union(running.where(f"start > {step - shards}"))
+        both = found if running is None else found.union(running.where(f"tag % {TAG} > {step - shards}"))
         merged = stored(both.groupBy(*KEY).agg(F.sum("c").alias("c")), "phrases")
         if running is not None:
             discard(running)
         running = merged
         sent.unpersist()
         if step == shards - 1:
-            totals = stored(merged.where("size = 1").groupBy("lang").agg(F.sum("c").alias("n")), "words")
+            words = merged.where(f"tag < {2 * TAG}").select(_lang(), "c")
+            totals = stored(words.groupBy("lang").agg(F.sum("c").alias("n")), "words")
         if step >= shards - 1:
-            over = merged.where(f"start = {step - shards + 1} and c >= {at_least}")
-            done.append(stored(over.drop("start"), "counted"))
+            over = merged.where(f"tag % {TAG} = {step - shards + 1} and c >= {at_least}")
+            size = F.expr(f"tag div {TAG}").alias("size")
+            done.append(stored(over.select(size, "word", "w1", "w2", "w3", "c"), "counted"))
         reached = reached[0].copy(), reached[1].copy()
         news = _mark(merged, at_least, reached, step)
-        if step >= shards - 1 and not news and merged.where(f"start > {step - shards + 1}").isEmpty():
+        if step >= shards - 1 and not news and merged.where(f"tag % {TAG} > {step - shards + 1}").isEmpty():
             break
     discard(running)
     discard(dealt)
@@ -225,6 +232,10 @@ def phrase_counts(
     return counted, totals
 
 
+def _lang() -> Column:
+    return F.expr("substring(word, 1, length(word) - length(substring_index(word, '\\t', -1)) - 1)").alias("lang")
+
+
 def _whole(name: str) -> Column:
     return F.col(name).cast("decimal(14,0)")
 
@@ -249,26 +260,28 @@ def collocations(
     gives an empty result. Texts of any length are read whole, one at a time.
     """
     counted, totals = phrase_counts(docs, at_least, shards, positions, lang, text)
-    words = counted.where("size = 1").select("lang", F.col("w1").alias("w"), "word", F.col("c").alias("f"))
-    pairs = counted.where("size = 2").select("lang", "w1", "w2", "c")
-    triples = counted.where("size = 3").select("lang", "w1", "w2", "w3", "c")
-
-    def with_word(df: DataFrame, k: int) -> DataFrame:
-        side = words.select("lang", F.col("w").alias(f"w{k}"), F.col("word").alias(f"t{k}"), F.col("f").alias(f"f{k}"))
-        return df.join(side, ["lang", f"w{k}"])
-
-    longer = triples.select("lang", "c", F.expr("inline(array(struct(w1 as x, w2 as y), struct(w2 as x, w3 as y)))"))
-    longer = longer.toDF("lang", "m", "w1", "w2").groupBy("lang", "w1", "w2").agg(F.max("m").alias("m"))
-    kept = pairs.join(longer, ["lang", "w1", "w2"], "left").where(f"m is null or 100 * m < {inside_percent} * c")
-    kept = with_word(with_word(kept, 1), 2)
+    words = counted.where("size = 1").select(
+        _lang(), F.col("w1").alias("w"), F.substring_index("word", "\t", -1).alias("t"), F.col("c").alias("f")
+    )
+    pairs = counted.where("size = 2").select("w1", "w2", "c")
+    triples = counted.where("size = 3").select("w1", "w2", "w3", "c")
+
+    def with_word(df: DataFrame, k: int, *more: str) -> DataFrame:
+        side = words.select(F.col("w").alias(f"w{k}"), F.col("t").alias(f"t{k}"), F.col("f").alias(f"f{k}"), *more)
+        return df.join(side, f"w{k}")
+
+    longer = triples.select("c", F.expr("inline(array(struct(w1 as x, w2 as y), struct(w2 as x, w3 as y)))"))
+    longer = longer.toDF("m", "w1", "w2").groupBy("w1", "w2").agg(F.max("m").alias("m"))
+    kept = pairs.join(longer, ["w1", "w2"], "left").where(f"m is null or 100 * m < {inside_percent} * c")
+    kept = with_word(with_word(kept, 1, "lang"), 2)
     two = kept.select(
         "lang", F.concat_ws(" ", "t1", "t2").alias("phrase"), F.col("c").alias("a"), F.col("f1").alias("l"),
         F.col("f2").alias("r"), score("c", "f1", "f2").alias("score"),
     )
-    head = pairs.select("lang", "w1", "w2", F.col("c").alias("f12"))
-    tail = pairs.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("c").alias("f23"))
-    cut = triples.join(head, ["lang", "w1", "w2"]).join(tail, ["lang", "w2", "w3"])
-    cut = with_word(with_word(with_word(cut, 1), 2), 3)
+    head = pairs.select("w1", "w2", F.col("c").alias("f12"))
+    tail = pairs.select(F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("c").alias("f23"))
+    cut = triples.join(head, ["w1", "w2"]).join(tail, ["w2", "w3"])
+    cut = with_word(with_word(with_word(cut, 1, "lang"), 2), 3)
     cut = cut.withColumns({"s1": score("c", "f1", "f23"), "s2": score("c", "f12", "f3")})
     three = cut.select(
         "lang", F.concat_ws(" ", "t1", "t2", "t3").alias("phrase"), F.col("c").alias("a"),
@@ -276,8 +289,11 @@ def collocations(
         F.least("s1", "s2").alias("score"),
     )
     every = stored(two.union(three), "collocations")
-    order = "partition by lang order by score desc, a desc, phrase"
-    ranked = every.withColumn("rank", F.expr(f"row_number() over ({order})")).where(f"rank <= {top}")
+    # in two steps, so that the task that ranks a language gets a bounded number of rows
+    order = "order by score desc, a desc, phrase"
+    part = f"partition by lang, pmod(xxhash64(phrase), {BUCKETS})"
+    some = every.withColumn("rank", F.expr(f"row_number() over ({part} {order})")).where(f"rank <= {top}")
+    ranked = some.withColumn("rank", F.expr(f"row_number() over (partition by lang {order})")).where(f"rank <= {top}")
     return ranked.join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score"
     )
