@@ -14,6 +14,7 @@ from crewlytics.functions.text import joined, labelled, upper_text
 from crewlytics.operators.kpis import count_when
 from crewlytics.operators.matching import assignment_timeline, in_stretch, lookup, running_spells
 from crewlytics.operators.skew import (
+    dealt_anew,
     numbered,
     repeat_rows,
     same_part,
@@ -65,12 +66,13 @@ def live_events(events: DataFrame, participants: DataFrame) -> DataFrame:
 class Hot:
     """Keys with very many rows.
 
-    Events and participants of the participation table, events of the course links.
+    Events and participants of the participation table, events of the course links; None
+    leaves them to adaptive execution.
     """
 
-    events: DataFrame
-    people: DataFrame
-    courses: DataFrame
+    events: DataFrame | None
+    people: DataFrame | None
+    courses: DataFrame | None
 
 
 def participations(
@@ -143,9 +145,13 @@ def _same_person() -> list[Column]:
     ]
 
 
+def _anew(side: DataFrame, hot: Hot) -> DataFrame:
+    return dealt_anew(side, ["emp_no", "company_id"]) if hot.people is None else side
+
+
 def with_profile(rows: DataFrame, profile: DataFrame, hot: Hot, *columns: str) -> DataFrame:
     """Adds profile columns by participant, company and the day the event starts."""
-    side = repeat_rows(profile, hot.people, {"emp_no": "participant_id"}).alias("s")
+    side = repeat_rows(_anew(profile, hot), hot.people, {"emp_no": "participant_id"}).alias("s")
     stretch = in_stretch(F.col("r.start_date"), F.col("s.from_day"), F.col("s.until_day"))
     added = [F.col(f"s.{c}") for c in columns]
     return rows.alias("r").join(side, [*_same_person(), stretch], "left").select("r.*", *added)
@@ -153,7 +159,7 @@ def with_profile(rows: DataFrame, profile: DataFrame, hot: Hot, *columns: str) -
 
 def with_site_groups(rows: DataFrame, sites: DataFrame, hot: Hot) -> DataFrame:
     """Adds the group of each work spell that contains the day the event starts."""
-    side = repeat_rows(sites, hot.people, {"emp_no": "participant_id"}).alias("s")
+    side = repeat_rows(_anew(sites, hot), hot.people, {"emp_no": "participant_id"}).alias("s")
     spell = F.col("r.start_date").between(F.col("s.spell_from"), F.col("s.spell_to"))
     return rows.alias("r").join(side, [*_same_person(), spell], "left").select(
         "r.*", "s.group_name"

@@ -1,13 +1,19 @@
 """Joins that stay balanced when one key holds a large share of the rows.
 
-A hot key is split into parts.  Every row of the large side goes to one part of its
-key; the matching rows of the other side are repeated once per part.  Keys that are not
-hot have a single part, so nothing is repeated for them.  The result is that of the
-plain join, whichever keys are called hot.
-
-Throughout, ``hot`` is the table of hot keys.  It is found by exact counts when the query
-runs, whatever the size of the table; there is one plan for short and long tables, and
-nothing is counted while a query is built.
+There are two ways.  Without a table of hot keys (``hot`` is None, the default of all reports)
+joins are written so that adaptive execution can split an uneven partition when it has seen
+its size: the long table is on a side that may be split, and the other side is dealt anew for
+the join (``dealt_anew``).  That needs no look at the table beforehand, whatever its size.
+
+With a table of hot keys (``hot_rows`` given, for sessions without adaptive execution) a hot
+key is split into parts.  Every row of the large side goes to one part of its key; the matching
+rows of the other side are repeated once per part.  Keys that are not hot have a single part,
+so nothing is repeated for them.  ``heavy_keys`` finds the table when the query runs, without a
+shuffle of one row per key: a sketch of bounded size names a few candidates, and only these are
+counted exactly.
+
+The result is that of the plain join, whichever keys are called hot.  There is one plan for
+short and long tables, and nothing is counted while a query is built.
 """
 
 from __future__ import annotations
@@ -17,6 +23,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_ROWS = 5_000_000
+SHARE = 4096  # a hot key also holds more than this fraction of its table
+COUNTERS = 4 * SHARE
 ROW = "_row"
 PART = "_part"
 OTHER_PART = "_other_part"
@@ -39,6 +47,40 @@ def hot_keys(counts: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -
     return F.broadcast(hot.select(*keys, parts.alias("_parts")))
 
 
+def heavy_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The same for the keys that also hold more than 1 / ``SHARE`` of the rows.
+
+    A count-min sketch of one row: keys are hashed to ``COUNTERS`` counters, which are summed up
+    inside each task and then across them, so no more than ``COUNTERS`` rows a task are
+    shuffled, whatever the number of keys.  A counter is never below the count of a key in it,
+    so the keys above both limits are in one of the at most ``SHARE`` counters that are.  Only
+    keys of those are counted exactly; without any the table is not read again.  Sums and
+    counts do not depend on the order of rows, so every reading names the same keys.
+    """
+    keys = df.select(F.col(key).alias("_key")).where("_key IS NOT NULL")
+    keys = keys.withColumn("_counter", F.pmod(F.xxhash64("_key"), F.lit(COUNTERS)))
+    sketch = keys.groupBy("_counter").agg(F.count(F.lit(1)).alias("_n"))
+    full = F.when(F.col("_n") > hot_rows, F.struct(F.col("_counter").alias("_hot_counter"), "_n"))
+    merged = sketch.agg(F.sum("_n").alias("_all"), F.collect_list(full).alias("_full"))
+    some = merged.select(F.expr(f"_all div {SHARE}").alias("_hot_share"), F.inline("_full"))
+    some = some.where("_n > _hot_share").select("_hot_counter", "_hot_share")
+    counted = keys.join(F.broadcast(some), F.col("_counter") == F.col("_hot_counter"))
+    counts = counted.groupBy("_key", "_hot_share").agg(F.count(F.lit(1)).alias("_rows"))
+    found = counts.where(F.col("_rows") > F.greatest("_hot_share", F.lit(hot_rows)))
+    return hot_keys(found.select(F.col("_key").alias(key), "_rows"), [key], hot_rows)
+
+
+def dealt_anew(df: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The same rows with the keys computed anew.
+
+    Where ``df`` comes from an aggregate or a join over these keys, Spark would join in the
+    same stage and could not split it; for keys of its own it shuffles once more.
+    """
+    kinds = dict(df.dtypes)
+    anew = {k: F.concat(k, F.lit("")) if kinds[k] == "string" else F.col(k).bitwiseOR(0) for k in on}
+    return df.withColumns(anew)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """Adds a row number to a scanned table.
 
@@ -49,27 +91,31 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
-def _with_parts(df: DataFrame, hot: DataFrame, on: Mapping[str, str]) -> DataFrame:
+def _with_parts(df: DataFrame, hot: DataFrame | None, on: Mapping[str, str]) -> DataFrame:
     named = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in on.values()], "_parts")
     match = [F.col(mine) == F.col(f"_hot_{theirs}") for mine, theirs in on.items()]
     joined = df.join(F.broadcast(named), match, "left")
     return joined.drop(*[f"_hot_{k}" for k in on.values()])
 
 
-def split_rows(df: DataFrame, hot: DataFrame, on: Mapping[str, str], into: str = PART) -> DataFrame:
+def split_rows(df: DataFrame, hot: DataFrame | None, on: Mapping[str, str], into: str = PART) -> DataFrame:
     """Sends each row of a hot key to one of its parts, chosen by the row number.
 
     A row without a key has no partner; its row number stands in as the part, so that
     such rows spread out as well instead of meeting in the partition of NULL.
     """
+    if hot is None:
+        return df.withColumn(into, F.lit(0).cast("long"))  # adaptive execution splits
     part = F.pmod(F.col(ROW), F.coalesce(F.col("_parts"), F.lit(1)).cast("long"))
     for name in on:
         part = F.when(F.col(name).isNull(), F.col(ROW)).otherwise(part)
     return _with_parts(df, hot, on).withColumn(into, part).drop("_parts")
 
 
-def repeat_rows(df: DataFrame, hot: DataFrame, on: Mapping[str, str], into: str = PART) -> DataFrame:
+def repeat_rows(df: DataFrame, hot: DataFrame | None, on: Mapping[str, str], into: str = PART) -> DataFrame:
     """Repeats each row of a hot key once per part."""
+    if hot is None:
+        return df.withColumn(into, F.lit(0).cast("long"))
     last = F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1
     parts = F.sequence(F.lit(0).cast("long"), last)
     return _with_parts(df, hot, on).withColumn(into, F.explode(parts)).drop("_parts")
@@ -81,27 +127,39 @@ def same_part(left: str, right: str) -> list[Column]:
 
 
 def spread_outer(
-    one: DataFrame, many: DataFrame, on: Sequence[str], hot: DataFrame, kept: str = "true"
+    one: DataFrame, many: DataFrame, on: Sequence[str], hot: DataFrame | None, kept: str = "true"
 ) -> DataFrame:
     """Left join of ``one`` with a long table that may hold hot keys; needs it numbered.
 
-    A left join cannot be split on its right side.  It is therefore written as its two
-    halves: the matching rows come from a join that splits hot keys, the rest from an anti
-    join against the counts per key.  ``kept`` filters the long table's rows; it must be
-    true for the row of NULLs that stands for no partner.
+    A left join cannot be split on its right side.  Without hot keys it is written as its two
+    halves, an inner join and the rows of ``one`` without a partner.  With them each row of
+    ``one`` with a hot key is repeated once per part.  A hot key has rows by definition, so where
+    such a repetition finds none in its part it is dropped.  ``kept`` filters the long table's
+    rows; a row of ``one`` whose partners all fail it is lost, as in the plain left join with
+    the filter behind it.
     """
-    matched = spread_join(many.where(kept), one, on, hot)
-    # Reading the count keeps this the same aggregate as the one that finds hot keys.
-    counts = key_counts(many, on).where("_rows > 0")
-    lonely = one.join(counts, list(on), "left_anti").withColumn(ROW, F.xxhash64(*on))
-    return matched.unionByName(lonely, allowMissingColumns=True)
+    same = {name: name for name in on}
+    if hot is None:
+        matched = many.where(kept).join(dealt_anew(one, on), list(on))
+        lonely = one.join(many.select(*on).distinct(), list(on), "left_anti")
+        lonely = lonely.withColumn(ROW, F.xxhash64(*on))
+        return matched.unionByName(lonely, allowMissingColumns=True)
+    last = F.coalesce(F.col("_parts"), F.lit(1)).cast("long") - 1
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), last))
+    left = _with_parts(one, hot, same).withColumn(PART, parts)
+    right = split_rows(many, hot, same).withColumn("_kept", F.expr(kept))
+    joined = left.join(right, [*on, PART], "left")
+    found = F.col(ROW).isNotNull()
+    rows = joined.where(F.when(found, F.col("_kept")).otherwise(F.col("_parts").isNull()))
+    rows = rows.withColumn(ROW, F.coalesce(ROW, F.xxhash64(*on)))
+    return rows.drop(PART, "_parts", "_kept")
 
 
 def spread_join(
     big: DataFrame,
     other: DataFrame,
     on: Sequence[str],
-    hot: DataFrame,
+    hot: DataFrame | None,
     how: str = "inner",
 ) -> DataFrame:
     """Inner or left join of a numbered large table on same-named columns."""
@@ -112,7 +170,7 @@ def spread_join(
 
 
 def spread_both(
-    left: DataFrame, right: DataFrame, on: Sequence[str], hot_left: DataFrame, hot_right: DataFrame
+    left: DataFrame, right: DataFrame, on: Sequence[str], hot_left: DataFrame | None, hot_right: DataFrame | None
 ) -> DataFrame:
     """Inner join of two numbered long tables, either of which may hold hot keys.
 

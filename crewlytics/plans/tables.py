@@ -21,7 +21,6 @@ from crewlytics.operators.matching import (
     spell_join,
 )
 from crewlytics.operators.participation import EVENT
-from crewlytics.operators.skew import HOT_ROWS
 from crewlytics.plans.training import AS_OF, hot_of
 from crewlytics.sources.workforce import Workforce, run_select
 
@@ -83,13 +82,13 @@ def _attendance(w: Workforce, hot: part.Hot) -> DataFrame:
 
 def _attended_days(w: Workforce) -> DataFrame:
     """Participations counted per participant, company and day."""
-    rows = _attendance(w, hot_of(w, HOT_ROWS))
+    rows = _attendance(w, hot_of(w))
     return rows.groupBy(F.col("participant_id").alias("emp_no"), "company_id", "start_date").agg(
         F.count(F.lit(1)).alias("times")
     )
 
 
-def training_assignments(w: Workforce, hot_rows: int = HOT_ROWS) -> DataFrame:
+def training_assignments(w: Workforce, hot_rows: int | None = None) -> DataFrame:
     """The assignment that counts for each participation."""
     hot = hot_of(w, hot_rows)
     rows = part.by_participant(_attendance(w, hot), hot)
@@ -129,7 +128,7 @@ def training_course_names(w: Workforce) -> DataFrame:
 
 def training_uniques(w: Workforce) -> DataFrame:
     """Distinct live participants per company, and the internal ones among them."""
-    rows = live(_attendance(w, hot_of(w, HOT_ROWS)))
+    rows = live(_attendance(w, hot_of(w)))
     internal = part.is_internal()
     return rows.groupBy("company_id").agg(
         F.count_distinct("participant_id").alias("participants"),

@@ -23,9 +23,8 @@ from crewlytics.operators.matching import running_spells, without_match
 from crewlytics.operators.ordering import ranked
 from crewlytics.operators.participation import EVENT
 from crewlytics.operators.skew import (
-    HOT_ROWS,
     PART,
-    hot_keys,
+    heavy_keys,
     key_counts,
     numbered,
     spread_both,
@@ -42,13 +41,19 @@ def _event_name() -> Column:
     return labelled(F.col("training_event_name"), fv.TRAINING_UNKNOWN)
 
 
-def hot_of(w: Workforce, hot_rows: int) -> part.Hot:
-    """The keys that hold more than ``hot_rows`` rows of the two long tables."""
+def hot_of(w: Workforce, hot_rows: int | None = None) -> part.Hot:
+    """The keys that hold more than ``hot_rows`` rows of the two long tables.
+
+    Each list is worked out only in a query that uses it.  Without a limit no keys are looked
+    for, and adaptive execution splits what turns out uneven.
+    """
+    if hot_rows is None:
+        return part.Hot(None, None, None)
     if hot_rows < 1:
         raise ValueError("hot_rows must be positive")
 
     def hot(table: DataFrame, key: str) -> DataFrame:
-        return hot_keys(key_counts(table, [key]), [key], hot_rows)
+        return heavy_keys(table, key, hot_rows)
 
     people, links = w.training_participant, w.training_event_course
     return part.Hot(hot(people, EVENT), hot(people, "participant_id"), hot(links, EVENT))
@@ -57,7 +62,7 @@ def hot_of(w: Workforce, hot_rows: int) -> part.Hot:
 def training_main(
     w: Workforce,
     as_of: dt.date = AS_OF,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     outside: str = fv.OUTSIDE_DEPARTMENT,
 ) -> DataFrame:
     """One row per event, course, participant and matching work spell: 18 columns.
@@ -125,7 +130,7 @@ def _without_id(events: DataFrame) -> DataFrame:
 
 
 def training_kpi_summary(
-    w: Workforce, as_of: dt.date = AS_OF, hot_rows: int = HOT_ROWS
+    w: Workforce, as_of: dt.date = AS_OF, hot_rows: int | None = None
 ) -> DataFrame:
     """Participation counts and hours.
 
@@ -296,7 +301,7 @@ BREAKDOWNS = {
 
 
 def training_breakdown(
-    w: Workforce, category: str, hot_rows: int = HOT_ROWS, limit: int | None = 100
+    w: Workforce, category: str, hot_rows: int | None = None, limit: int | None = 100
 ) -> DataFrame:
     """Distinct participants and events per value of one of five columns."""
     if category not in BREAKDOWNS:
@@ -351,7 +356,7 @@ def training_none_count(w: Workforce) -> DataFrame:
 
 
 def training_full_details(
-    w: Workforce, limit: int | None = 2000, hot_rows: int = HOT_ROWS
+    w: Workforce, limit: int | None = 2000, hot_rows: int | None = None
 ) -> DataFrame:
     """The latest rows of the training model, or all of them.
 

@@ -7,6 +7,7 @@ from frames import rows_of
 from pyspark.sql import functions as F
 
 from crewlytics.operators.skew import (
+    heavy_keys,
     hot_keys,
     key_counts,
     numbered,
@@ -15,8 +16,8 @@ from crewlytics.operators.skew import (
     spread_join,
     spread_outer,
 )
-from crewlytics.plans import training
-from crewlytics.sources.workforce import settled
+from crewlytics.plans import tables, training
+from crewlytics.sources.workforce import Workforce, settled
 
 REPORTS = {
     "main": lambda w, hot: training.training_main(w, hot_rows=hot),
@@ -178,3 +179,44 @@ def test_rows_in_another_order_get_the_same_numbers(spark):
         return sorted(map(tuple, numbered(settled(table, "training_participant")).collect()), key=repr)
 
     assert dealt(rows) == dealt(rows[::-1])
+
+
+@pytest.mark.parametrize("hot_rows", [3, 9, 1000])
+def test_heavy_keys_are_those_of_exact_counts(spark, hot_rows):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") < 30, F.lit(None)).when(F.col("id") < 2030, 7).otherwise(F.col("id") % 300).alias("k")
+    )
+    exact = hot_keys(key_counts(rows.where("k IS NOT NULL"), ["k"]), ["k"], hot_rows)
+    assert rows_of(heavy_keys(rows, "k", hot_rows)) == rows_of(exact)
+    assert heavy_keys(rows.limit(0), "k", hot_rows).count() == 0
+
+
+def test_adaptive_execution_splits_a_hot_event(spark, workforce, tmp_path):
+    """Without a list of hot keys: no counting scan, and the uneven partition is split at run time."""
+    hot = F.when(F.col("training_event_id") % 2 == 0, 2).otherwise(F.col("training_event_id"))
+    path = str(tmp_path / "participants")
+    w = workforce.training_participant.withColumn("training_event_id", hot)
+    w.repartition(8).write.parquet(path)
+    stored = Workforce(
+        spark, lambda name: spark.read.parquet(path) if name == "training_participant" else getattr(workforce, name)
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        report = tables.training_uniques(stored)
+        plan = lambda: report._jdf.queryExecution().executedPlan().toString()
+        assert "_counter" not in plan()
+        got = rows_of(report)
+        assert "SortMergeJoin(skew=true)" in plan()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == rows_of(tables.training_uniques(stored))
