@@ -214,13 +214,13 @@ def labelled(
     """Features and low-quality marks of at most ``sample_rows`` labelled documents.
 
     The sample is the labelled ids with the smallest hashes, so it is the same at every run.
-    Rows with a null id or label are left out.
+    Rows with a null id or label are left out, columns other than these three are not read.
     """
     chosen = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull())
     chosen = chosen.groupBy(F.col(id).alias("_id")).agg(F.min(label).alias("_label"))
     chosen = chosen.orderBy(F.xxhash64("_id"), "_id").limit(sample_rows)
-    rows = docs.join(F.broadcast(chosen), docs[id] == chosen["_id"])
-    rows = rows.select("_id", "_label", F.col(text).alias("text"))
+    read = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    rows = read.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("_id", "_label", "text")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

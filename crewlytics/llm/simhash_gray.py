@@ -387,10 +387,11 @@ def keep_one(docs: DataFrame, groups: DataFrame, id: str = "doc_id", text: str =
     have one smallest id, each keeps its own row. Rows with a null id cannot be named by a group
     and always stay.
     """
-    heads = groups.where(F.col(id) == F.col("component")).groupBy("root", F.col(id).alias("_head"))
-    heads = heads.agg(F.min("text_hash").alias("_text")).drop("root")
-    docs_hash = F.xxhash64(docs[text])
-    kept = docs.join(heads, (docs[id] == heads["_head"]) & (docs_hash == heads["_text"])).drop("_head")
-    order = Window.partitionBy(id, "_text").orderBy(F.lit(1))
-    kept = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth", "_text")
+    heads = groups.where(F.col(id) == F.col("component")).groupBy("root", F.col(id).alias("head"))
+    heads = heads.agg(F.min("text_hash").alias("text")).select("head", "text")
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")  # apart from the columns named here
+    rows = docs.select(whole, docs[id].alias("id"), F.xxhash64(docs[text]).alias("hash"))
+    kept = rows.join(heads, (F.col("id") == F.col("head")) & (F.col("hash") == F.col("text")))
+    order = Window.partitionBy("id", "hash").orderBy(F.lit(1))
+    kept = kept.withColumn("nth", F.row_number().over(order)).where("nth = 1").select("row.*")
     return kept.union(docs.where(F.col(id).isNull()))

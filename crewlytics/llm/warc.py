@@ -144,8 +144,6 @@ def _parse(data: bytes, at: int, proven: bool = True) -> tuple[dict | None, int]
         raise ValueError("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
-        if len(data) - at > 1 << 20:
-            raise ValueError("header without an end")
         return None, len(data) + 1
     fields = _fields(data[at:stop])
     if not fields.get("content-length", "").isdigit() or "warc-type" not in fields:
@@ -226,6 +224,7 @@ def _joined(content: bytes, rest: bytes, need: int, end: int) -> tuple[dict, byt
     """The record that begins ``rest`` and goes on in the members from ``end`` on.
 
     Returns the record, the unpacked bytes, the record's end in them and the last member's end.
+    A header may go on over any number of members, but not past one that begins a record.
     """
     parts, size = [rest], len(rest)
     while True:
@@ -235,6 +234,8 @@ def _joined(content: bytes, rest: bytes, need: int, end: int) -> tuple[dict, byt
             part, end, wrong = _member(content, end)
             if wrong:
                 raise ValueError(f"record without its rest, {wrong}")
+            if need == size + 1 and part.startswith(b"WARC/"):
+                raise ValueError("header without an end")
             parts.append(part)
             size += len(part)
         parts = [b"".join(parts)]

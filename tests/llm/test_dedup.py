@@ -174,3 +174,12 @@ def test_substrings_of_odd_rows(odd, none):
         r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] in (1, 3, 6)
     }
     assert substring_rlz.remove_repeats(none).count() == 0
+
+
+def test_keep_one_beside_columns_of_any_name(spark):
+    rows = [(1, "one two three four five", "a", 1), (2, "one two three four five", "b", 2), (3, "another text here", "c", 3)]
+    for names in (("_head", "_nth"), ("_text", "hash"), ("row", "head"), ("root", "component")):
+        docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+        kept = simhash_gray.keep_one(docs, simhash_gray.simhash_groups(docs))
+        assert kept.columns == docs.columns
+        assert sorted(tuple(r) for r in kept.collect()) == [rows[0], rows[2]]

@@ -249,3 +249,11 @@ def test_native_queries_run_no_python(spark, name):
 
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian", plan)
+
+
+def test_training_beside_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "word " * (20 + i)) for i in range(30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality long")
+    plain = quality_trees.labelled(docs, labels)
+    clashing = quality_trees.labelled(docs.selectExpr("*", "1 as _id", "2 as _label", "3 as id", "4 as quality"), labels)
+    assert all((a == b).all() for a, b in zip(plain, clashing, strict=True))

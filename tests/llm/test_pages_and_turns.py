@@ -278,3 +278,22 @@ def test_preference_pairs(spark):
             assert learned == [f"{t or ''}<|end|>\n" for role, t in turns if role == "assistant"]
     empty = frame({})
     assert preference_chat.preference_pairs(empty, empty).count() == 0
+
+
+def test_headers_longer_than_a_member(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [(1, "http://a/" + "x" * (9 << 20), "<p>one</p>"), (2, "http://b/", "<p>two</p>")],
+        "page_id long, url string, html string",
+    )
+    warc.write_pages(pages, str(tmp_path / "long"))
+    found = warc.read_archives(spark, str(tmp_path / "long")).collect()
+    assert sorted(r["record_id"] for r in found) == ["urn:page:1", "urn:page:2"]
+    assert all(r["gap"] is None for r in found)
+
+
+def test_a_header_without_an_end_costs_one_member():
+    good = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    bad = b"WARC/1.0\r\nWARC-Type: resource\r\nX: " + b"y" * (2 << 20)
+    archive = gzip.compress(good) + gzip.compress(bad) + gzip.compress(good) * 3
+    found = list(warc.salvage(archive))
+    assert [record is not None for _, _, record, _ in found] == [True, False, True, True, True]
