@@ -2,7 +2,7 @@
 
 A page is read once from left to right, with the end tags that HTML implies. What its tags,
 classes and roles name as menu, header, footer, sidebar, notice, advert, form, script or reader
-comment is left out. The element subtrees that remain are hashed; Spark counts for each host on
+comment is left out; a class word alone does not drop what holds the article. The element subtrees that remain are hashed; Spark counts for each host on
 how many pages with different contents a subtree occurs, and subtrees that recur on many are
 templates and are deleted. Text under ``article`` (else ``main``, else the whole body) is the main
 text. There only containers such as ``div`` or ``ul`` can be templates, not paragraphs or headings,
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -56,45 +57,76 @@ CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
 }
-TOKEN = re.compile(
-    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>"
-    r"|<[!?/][^>]*>?",
-    re.S,
-)
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][^\s/>]*)|<[!?/][^>]*>?")
+COMMENT_END = re.compile(r"--!?>")
+BETWEEN = re.compile(r"[\s/]*")
+NAME = re.compile(r"=?[^\s/>=]*")
+EQUALS = re.compile(r"\s*=\s*")
+UNQUOTED = re.compile(r"[^\s>]*")
 WORD = re.compile(r"[a-z0-9]+|[A-Z][a-z0-9]*")
 M64 = (1 << 64) - 1
 
 
-def _attributes(source: str) -> dict[str, str]:
-    if not source or source.isspace():
-        return {}
-    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(source)}
+HARD, SOFT = 1, 2
 
 
-def _is_furniture(tag: str, attributes: dict[str, str], open_articles: int) -> bool:
+def _furniture(tag: str, attributes: dict[str, str], open_articles: int) -> int:
+    """Whether an element is page furniture: HARD by what it is, SOFT by a word in its class or id."""
     if tag in DROPPED:
-        return True
+        return HARD
     if not attributes or tag in NEVER:
-        return False
+        return 0
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
-        return True
+        return HARD
     if re.search(r"display\s*:\s*none", attributes.get("style", "")):
-        return True
+        return HARD
     if attributes.get("role", "").lower() in DROPPED_ROLES:
-        return True
+        return HARD
     if tag in ("article", "main") and not open_articles:
-        return False
+        return 0
     names = attributes.get("class", "") + " " + attributes.get("id", "")
-    return any(w.lower() in DROPPED_WORDS for w in WORD.findall(names))
+    return SOFT if any(w.lower() in DROPPED_WORDS for w in WORD.findall(names)) else 0
+
+
+class Tags:
+    """Reads the attributes of tags as the HTML standard does, in one pass over the page."""
+
+    def __init__(self, source: str):
+        self.source = source
+        self.last = source.rfind(">")
+        self.quotes = {q: source.rfind(q) for q in "\"'"}
+
+    def read(self, at: int) -> tuple[dict[str, str], int]:
+        """The attributes behind a tag's name and where the tag ends, which some ``>`` must do.
+
+        A quote without a second one is part of the value, which ends with the tag.
+        """
+        source, found = self.source, {}
+        while True:
+            at = BETWEEN.match(source, at).end()
+            if at > self.last:
+                return found, len(source)
+            if source[at] == ">":
+                return found, at + 1
+            name = NAME.match(source, at)
+            at, value = name.end(), ""
+            equals = EQUALS.match(source, at)
+            if equals:
+                at = equals.end()
+                quote = source[at : at + 1]
+                if quote in self.quotes and self.quotes[quote] > at:
+                    close = source.index(quote, at + 1)
+                    value, at = source[at + 1 : close], close + 1
+                else:
+                    plain = UNQUOTED.match(source, at)
+                    value, at = plain[0], plain.end()
+            found.setdefault(name[0].lower(), value)
 
 
 class Page:
     """The blocks of a page and its subtrees: (first block, last, hash, length, tag, inside)."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, spared: frozenset[int] = frozenset()):
         import xxhash
 
         self.hash_of = lambda s: xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"))
@@ -102,14 +134,36 @@ class Page:
         self.inside: list[int] = []  # 2: in an article, 1: in main, 0: elsewhere
         self.subtrees: list[tuple] = []
         self.buffer: list[str] = []
-        self.stack: list[list] = []  # [tag, hash, length, first block, dropped before]
-        self.open: dict[str, int] = {}
-        self.dropped = 0  # open elements that are furniture
+        self.stack: list[list] = []  # [tag, hash, length, first block, furniture]
+        self.open: dict[str, list[int]] = {}  # places of the open elements of a tag in the stack
+        self.open_blocks: list[int] = []
+        self.dropped = 0  # open elements that are furniture or lie in it
+        self.hard = 0
+        self.elements = 0
+        self.spared = spared
+        self.wrappers: list[list] = []  # open SOFT elements: [number, characters, holds an article]
+        self.closed: list[list] = []
         self._read(source)
         while self.stack:
             self._pop()
         self._flush()
         self.root = max(self.inside, default=0)
+        if not self.root and not spared:
+            self._spare(source)
+
+    def _spare(self, source: str) -> None:
+        """Reads the page anew if a class word has dropped what holds the article.
+
+        That is an element with half of the text or more and in it an article, main part or first
+        heading, on a page that has no article outside.
+        """
+        total = sum(map(len, self.blocks)) + sum(w[1] for w in self.closed if w[3])
+        spared = frozenset(w[0] for w in self.closed if w[2] and 2 * w[1] >= total > 0)
+        if spared:
+            self.__init__(source, spared)
+
+    def _inside(self) -> int:
+        return 2 if self.open.get("article") else 1 if self.open.get("main") else 0
 
     def _flush(self) -> None:
         if self.buffer:
@@ -117,7 +171,7 @@ class Page:
             self.buffer = []
             if text:
                 self.blocks.append(text)
-                self.inside.append(2 if self.open.get("article") else 1 if self.open.get("main") else 0)
+                self.inside.append(self._inside())
                 if self.stack:
                     top = self.stack[-1]
                     top[1] = (top[1] * 1099511628211 + self.hash_of(text)) & M64
@@ -126,19 +180,39 @@ class Page:
     def _push(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in BLOCK:
             self._flush()
-        drop = self.dropped or _is_furniture(tag, attributes, self.open.get("article", 0))
-        self.dropped += bool(drop)
-        self.stack.append([tag, 0, 0, len(self.blocks), bool(drop)])
-        self.open[tag] = self.open.get(tag, 0) + 1
+            self.open_blocks.append(len(self.stack))
+        self.elements += 1
+        kind = _furniture(tag, attributes, len(self.open.get("article", ())))
+        if kind == SOFT and self.elements in self.spared:
+            kind = 0
+        if kind == HARD:
+            self.hard += 1
+        elif kind == SOFT and not self.hard:
+            self.wrappers.append([self.elements, 0, False, not self.wrappers])
+        elif self.wrappers and not self.hard and tag in ("article", "main", "h1"):
+            self.wrappers[-1][2] = True
+        self.dropped += kind > 0
+        self.stack.append([tag, 0, 0, len(self.blocks), kind])
+        self.open.setdefault(tag, []).append(len(self.stack) - 1)
 
     def _pop(self) -> None:
         if self.stack[-1][0] in BLOCK:
             self._flush()
-        tag, inner, length, first, drop = self.stack.pop()
-        inside = 2 if self.open.get("article") else 1 if self.open.get("main") else 0
-        self.open[tag] -= 1
-        self.dropped -= drop
-        if not drop and length:
+            self.open_blocks.pop()
+        tag, inner, length, first, kind = self.stack.pop()
+        inside = self._inside()
+        self.open[tag].pop()
+        dropped = self.dropped
+        self.dropped -= kind > 0
+        if kind == HARD:
+            self.hard -= 1
+        elif kind == SOFT and not self.hard:
+            wrapper = self.wrappers.pop()
+            self.closed.append(wrapper)
+            if self.wrappers:
+                self.wrappers[-1][1] += wrapper[1]
+                self.wrappers[-1][2] |= wrapper[2]
+        if not dropped and length:
             own = self.hash_of(f"{tag}:{inner}")
             if tag in BLOCK and tag not in NEVER and tag not in ("article", "main"):
                 self.subtrees.append((first, len(self.blocks), own, length, tag, inside))
@@ -151,49 +225,57 @@ class Page:
         """Closes what a start tag closes."""
         if tag in CLOSES:
             closed, stop = CLOSES[tag]
-            if not any(self.open.get(c) for c in closed):
-                return
-            at = found = len(self.stack)
-            while at and self.stack[at - 1][0] not in stop:
-                at -= 1
-                found = at if self.stack[at][0] in closed else found
-            while len(self.stack) > found:
+            floor = max((self.open[t][-1] for t in stop if self.open.get(t)), default=-1)
+            lowest = len(self.stack)
+            for t in closed:
+                places = self.open.get(t, ())
+                at = bisect_right(places, floor)
+                if at < len(places):
+                    lowest = min(lowest, places[at])
+            while len(self.stack) > lowest:
+                self._pop()
+        elif tag in BLOCK and self.open_blocks and self.stack[self.open_blocks[-1]][0] == "p":
+            at = self.open_blocks[-1]
+            while len(self.stack) > at:
                 self._pop()
-        elif tag in BLOCK and self.open.get("p"):
-            at = len(self.stack)
-            while at and self.stack[at - 1][0] not in BLOCK:
-                at -= 1
-            if at and self.stack[at - 1][0] == "p":
-                while len(self.stack) >= at:
-                    self._pop()
 
     def _close(self, tag: str) -> None:
-        if not self.open.get(tag):
+        places = self.open.get(tag)
+        if not places:
+            return
+        at = places[-1]
+        if tag not in BLOCK and self.open_blocks and self.open_blocks[-1] > at:
             return
-        at = len(self.stack) - 1
-        while self.stack[at][0] != tag:
-            if tag not in BLOCK and self.stack[at][0] in BLOCK:
-                return
-            at -= 1
         while len(self.stack) > at:
             self._pop()
 
+    def _text(self, text: str) -> None:
+        if not self.dropped:
+            self.buffer.append(html.unescape(text) if "&" in text else text)
+        elif self.wrappers and not self.hard:
+            self.wrappers[-1][1] += len("".join(text.split()))
+
     def _read(self, source: str) -> None:
-        at = 0
+        at, tags = 0, Tags(source)
         while True:
             m = TOKEN.search(source, at)
+            while m and m[2] and m.end() > tags.last:  # a tag that never ends is text
+                m = TOKEN.search(source, m.end())
             end = m.start() if m else len(source)
-            if end > at and not self.dropped:
-                text = source[at:end]
-                self.buffer.append(html.unescape(text) if "&" in text else text)
+            if end > at:
+                self._text(source[at:end])
             if not m:
                 return
             at = m.end()
-            name = m[2] or m[5]
-            if not name:
+            if not m[2]:
+                if m[0] == "<!--":
+                    short = next((n for n in (">", "->") if source.startswith(n, at)), None)
+                    stop = None if short else COMMENT_END.search(source, at)
+                    at = at + len(short) if short else stop.end() if stop else len(source)
                 continue
-            tag = name.lower()
-            if m[1] or m[4]:
+            tag = m[2].lower()
+            attributes, at = tags.read(at)
+            if m[1]:
                 if tag == "br" and not self.dropped:
                     self.buffer.append(" ")
                 self._close(tag)
@@ -211,7 +293,7 @@ class Page:
                 at = close + 1 if stop and close >= 0 else len(source)
             else:
                 self._imply(tag)
-                self._push(tag, _attributes(m[3] or m[6] or ""))
+                self._push(tag, attributes)
 
     def candidates(self) -> list[tuple]:
         """The subtrees that may be templates."""

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import re
+import time
 
 import numpy as np
 import pytest
@@ -257,3 +258,36 @@ def test_training_beside_columns_of_any_name(spark):
     plain = quality_trees.labelled(docs, labels)
     clashing = quality_trees.labelled(docs.selectExpr("*", "1 as _id", "2 as _label", "3 as id", "4 as quality"), labels)
     assert all((a == b).all() for a, b in zip(plain, clashing, strict=True))
+
+
+def test_class_words_do_not_drop_the_article():
+    text = lambda page: Page(page).text(set())
+    body = "<p>Some body text of the article</p>"
+    assert text(f'<div class="content with-sidebar"><article>{body}</article></div>') == "Some body text of the article"
+    page = f'<div id="page" class="right-sidebar"><div class="menu">Home</div><h1>Title</h1>{body}</div><div class="footer">f</div>'
+    assert text(page) == "Title Some body text of the article"
+    long = "a long comment of a reader " * 9
+    assert text(f'<article>{body}</article><div class="comments"><article>{long}</article></div>') == "Some body text of the article"
+    assert text(f'<h1>T</h1>{body}<div class="comments"><p>{long}</p></div>') == "T Some body text of the article"
+    nested = f'<div class="sidebar-layout"><div class="widget-area"><main>{body}</main></div></div>'
+    assert text(nested) == "Some body text of the article"
+
+
+def test_attributes_as_the_standard_reads_them():
+    text = lambda page: Page(page).text(set())
+    assert text("<p title=it's>Hello don't stop</p><p>more</p>") == "Hello don't stop more"
+    assert text('<p title="a > b" class=x>one</p>') == "one"
+    assert text("<p a='b' / hidden>gone</p><p ='x'>two</p>") == "two"
+    assert text('x <a href="y>z</a> w') == "x z w"
+    assert text("a < b and <b>c</b> <i") == "a < b and c <i"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ['<a "' * 250_000, "<ul>" + "<b>" * 20_000 + "<li>x" * 20_000, "<div>" * 100_000 + "x", "<a href='" * 100_000,
+     '<div class="ad"><h1>x' * 20_000, "<p>" * 200_000, "<!--" * 200_000, "</p " * 200_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    start = time.perf_counter()
+    Page(page)
+    assert time.perf_counter() - start < 10
