@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crewlytics.operators.quality import fk_orphans, key_violations
 from crewlytics.operators.query_log import normalise_queries
 from crewlytics.sources.interaction_log import append_interactions, read_interactions, retain
+from crewlytics.sources.log_upkeep import upkept
 from crewlytics.sources.scratch import shared_folder
 from crewlytics.sources.workforce import Workforce
 from crewlytics.streaming.interactions import stream_to_log
 
+LOTS = 4
 LOG_AS_OF = dt.datetime(2024, 2, 5)
 
 
@@ -55,6 +57,15 @@ def interactions_appended(w: Workforce, as_of: dt.datetime = LOG_AS_OF) -> DataF
     return retain(read_interactions(w.spark, folder), as_of).drop("day")
 
 
+def interactions_upkept(w: Workforce, as_of: dt.datetime = LOG_AS_OF) -> DataFrame:
+    """Records appended in several small lots, then expired and folded for good."""
+    folder = shared_folder(w.spark, "upkept")
+    lot = F.pmod(F.xxhash64("ts", "question"), F.lit(LOTS))
+    for n in range(LOTS):
+        append_interactions(w.interactions.where(lot == n), folder)
+    return upkept(w.spark, folder, as_of, read_interactions).drop("day")
+
+
 REPORTS = [
     key_violations_product,
     key_violations_sale,
@@ -65,6 +76,7 @@ REPORTS = [
     interactions_normalised,
     interactions_retained,
     interactions_appended,
+    interactions_upkept,
 ]
 
 

@@ -1,4 +1,7 @@
-"""The interaction log: an append-only table in day folders, with expiry on reading."""
+"""The interaction log: an append-only table in day folders, with expiry on reading.
+
+``log_upkeep`` deletes what has expired and folds small files.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from crewlytics.functions import fixed_values as fv
+from crewlytics.sources.log_upkeep import finish_swaps
 from crewlytics.sources.schemas import checked, view_schema
 
 
@@ -51,6 +55,8 @@ def append_interactions(df: DataFrame, path: str) -> None:
 
 
 def read_interactions(spark: SparkSession, path: str) -> DataFrame:
+    """The whole log; swaps of files that a crash has interrupted are finished first."""
+    finish_swaps(spark, path)
     return spark.read.schema(view_schema("interactions").add("day", "date")).parquet(path)
 
 

@@ -99,5 +99,6 @@ TWINS = {f"scan_{name}": over([name]) + f"SELECT * FROM {name}" for name in SCAN
     "'^\\s*(INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)', 'i'), false) AS is_write FROM interactions",
     "interactions_retained": over(["interactions"]) + f"SELECT * FROM interactions WHERE {KEPT}",
     "interactions_appended": over(["interactions"]) + f"SELECT * FROM interactions WHERE {KEPT}",
+    "interactions_upkept": over(["interactions"]) + f"SELECT * FROM interactions WHERE {KEPT}",
     "interactions_streamed": over(["interactions"]) + "SELECT * FROM interactions",
 }

@@ -7,11 +7,15 @@ import os
 import re
 import shutil
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from frames import DATA, rows_of
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from crewlytics.operators.quality import fk_orphans, key_violations
 from crewlytics.operators.query_log import normalise_queries
+from crewlytics.sources import log_upkeep
 from crewlytics.sources.interaction_log import (
     append_interactions,
     interaction,
@@ -19,6 +23,7 @@ from crewlytics.sources.interaction_log import (
     records,
     retain,
 )
+from crewlytics.sources.schemas import view_schema
 from crewlytics.streaming.interactions import event_stream, interactions_stream
 
 AS_OF = dt.datetime(2024, 2, 5)
@@ -132,3 +137,64 @@ def test_stream_writes_few_files_per_day(spark, tmp_path):
     for day in days:
         files = [f for f in os.listdir(tmp_path / "log" / day) if f.endswith(".parquet")]
         assert 1 <= len(files) <= 4
+
+
+class Crash(Exception):
+    pass
+
+
+def test_folding_a_thousand_files_of_a_day(spark, tmp_path):
+    path = tmp_path / "log"
+    day = path / "day=2024-01-20"
+    day.mkdir(parents=True)
+    at, schema = dt.datetime(2024, 1, 20, 12), to_arrow_schema(view_schema("interactions"))
+    for i in range(1000):
+        row = interaction(f"question {i}", "SELECT 1", True, at + dt.timedelta(seconds=i % 7), i)
+        pq.write_table(pa.Table.from_pylist([row], schema), day / f"{i}.parquet")
+    before = rows_of(read_interactions(spark, str(path)))
+    assert log_upkeep.fold_files(spark, str(path), dt.date(2024, 1, 20)) == []
+    assert log_upkeep.fold_files(spark, str(path), dt.date(2024, 2, 1)) == ["day=2024-01-20"]
+    assert rows_of(read_interactions(spark, str(path))) == before and len(before) == 1000
+    assert len([n for n in os.listdir(day) if n.endswith(".parquet")]) == 1
+    assert log_upkeep.fold_files(spark, str(path), dt.date(2024, 2, 1)) == []
+
+
+def test_expiry_deletes(spark, workforce, tmp_path):
+    path = str(tmp_path / "log")
+    append_interactions(workforce.interactions, path)
+    kept = rows_of(retain(read_interactions(spark, path), AS_OF))
+    for _ in range(2):
+        log_upkeep.expire(spark, path, AS_OF)
+        assert rows_of(read_interactions(spark, path)) == kept
+    assert min(n for n in os.listdir(path) if n.startswith("day=")) == "day=2024-01-06"
+
+
+@pytest.mark.parametrize("step", ["mark", "move", "delete"])
+@pytest.mark.parametrize("nth", [1, 2, 3, 5])
+def test_a_crash_at_any_step_loses_and_repeats_nothing(spark, tmp_path, monkeypatch, step, nth):
+    path = str(tmp_path / "log")
+    rows = [
+        interaction(f"q{i}", None, True, dt.datetime(2024, 1, 6 + i % 2, i % 24), i) for i in range(48)
+    ]
+    for n in range(3):
+        append_interactions(records(spark, rows[n::3]), path)
+    before = rows_of(read_interactions(spark, path))
+    real, calls = getattr(log_upkeep._Folder, step), []
+
+    def failing(self, *args):
+        calls.append(args)
+        if len(calls) == nth:
+            raise Crash
+        return real(self, *args)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(log_upkeep._Folder, step, failing)
+        try:
+            log_upkeep.fold_files(spark, path, dt.date(2024, 2, 1), few=0)
+        except Crash:
+            pass
+    assert rows_of(read_interactions(spark, path)) == before
+    log_upkeep.fold_files(spark, path, dt.date(2024, 2, 1), few=0)
+    log_upkeep.expire(spark, path, AS_OF)
+    oldest = AS_OF - dt.timedelta(days=30)
+    assert rows_of(read_interactions(spark, path)) == [r for r in before if r[0] > oldest]
