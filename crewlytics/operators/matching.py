@@ -5,11 +5,12 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crewlytics.functions import fixed_values as fv
-from crewlytics.functions.dates import covers, open_ended, running_at
+from crewlytics.functions.dates import open_ended, running_at
 from crewlytics.operators.ordering import first_by
+from crewlytics.operators.sweep import carried, tree_nodes, tree_path
 
 
 def lookup(
@@ -138,20 +139,22 @@ def assignment_timeline(assignments: DataFrame, running: DataFrame | None = None
         F.concat(open_day, F.col("_days")).alias("from_day"),
         F.concat(F.col("_days"), open_day).alias("until_day"),
     )
+    known = [*who, "assigned", "is_active", "_any"]
     stretches = employees.select(
-        *who, "assigned", "is_active", "_any", F.explode(bounds).alias("_bounds")
-    ).select(*who, "assigned", "is_active", "_any", "_bounds.*")
+        *known, (F.size("_days") + 1).alias("_places"), F.posexplode(bounds).alias("_place", "_bounds")
+    ).select(*known, "_places", "_place", "_bounds.*")
 
     spans = [*who, "valid_from", "valid_to"]
-    candidates = first_by(assignments.where(counted), spans, _preference()).alias("c")
-    inside = covers(F.col("c.valid_from"), F.col("c.valid_to"), F.col("s.from_day"))
-    same = [F.col(f"c.{k}") == F.col(f"s.{k}") for k in who]
-    valid = stretches.alias("s").join(candidates, [*same, inside], "left").select(
-        "s.*", F.col("c.emp_no").isNotNull().alias("_valid"), *[
-            f"c.{c}" for c in ("is_primary", "valid_to", "valid_from", "pos_code", "org_code")
-        ]
+    candidates = first_by(assignments.where(counted), spans, _preference())
+    best = _best_by_node(candidates, who)
+    paths = stretches.withColumn("_node", F.explode(tree_path("_place", "_places")))
+    stretch = [*known, "from_day", "until_day"]
+    chosen = (
+        paths.select(*stretch, "_node.*")
+        .join(best, [*who, "level", "node"], "left")
+        .groupBy(*stretch)
+        .agg(F.min("_best").alias("_best"))
     )
-    chosen = first_by(valid, [*who, "from_day"], _preference())
     return chosen.select(
         *who,
         "from_day",
@@ -159,12 +162,40 @@ def assignment_timeline(assignments: DataFrame, running: DataFrame | None = None
         "assigned",
         "is_active",
         *[
-            F.when(F.col("_valid"), F.col(c)).otherwise(F.col(f"_any.{c}")).alias(c)
+            F.when(F.col("_best").isNotNull(), F.col(f"_best.codes.{c}"))
+            .otherwise(F.col(f"_any.{c}"))
+            .alias(c)
             for c in ("org_code", "pos_code")
         ],
     )
 
 
+def _best_by_node(candidates: DataFrame, who: Sequence[str]) -> DataFrame:
+    """The preferred candidate for each node of a tree over an employee's stretches.
+
+    A candidate is noted at the few nodes that cover its stretches, and a stretch looks at the nodes
+    above it: for n candidates n log n rows, where testing each against each stretch makes n * n.
+    """
+    bound = F.array(
+        F.struct(F.col("valid_from").alias("_at"), F.lit(True).alias("_opens")),
+        F.struct(F.date_add("valid_to", 1).alias("_at"), F.lit(False).alias("_opens")),
+    )
+    choice = F.struct(
+        _preference_rank().alias("rank"), F.struct("org_code", "pos_code").alias("codes")
+    )
+    span = [*who, "valid_from", "valid_to"]
+    ends = candidates.select(*span, choice.alias("_best"), F.inline(bound))
+    # The place of a day among an employee's bounds is that of the stretch it begins.
+    place = F.dense_rank().over(Window.partitionBy(*who).orderBy("_at"))
+    placed = ends.withColumn("_place", place).groupBy(*span).agg(
+        F.max(F.when(F.col("_opens"), F.col("_place"))).alias("_start"),
+        F.max(F.when(~F.col("_opens"), F.col("_place"))).alias("_stop"),
+        F.min("_best").alias("_best"),
+    )
+    nodes = placed.select(*who, "_best", F.inline(tree_nodes("_start", "_stop")))
+    return nodes.groupBy(*who, "level", "node").agg(F.min("_best").alias("_best"))
+
+
 def in_stretch(day: Column, from_day: Column, until_day: Column) -> Column:
     """True for the one stretch that holds a day; a missing day belongs to the first."""
     return F.when(day.isNull(), from_day.isNull()).otherwise(
@@ -172,17 +203,33 @@ def in_stretch(day: Column, from_day: Column, until_day: Column) -> Column:
     )
 
 
+def assignments_on(days: DataFrame, assignments: DataFrame, at: str) -> DataFrame:
+    """Adds unit and position codes of the assignment on a day, each day of an employee given once.
+
+    Needs ``emp_no`` and ``company_id``; rows without any assignment keep NULL codes.
+    """
+    codes = F.struct("org_code", "pos_code", "assigned").alias("_codes")
+    marks = assignment_timeline(assignments).select("emp_no", "company_id", "from_day", codes)
+    found = carried(days, marks, ["emp_no", "company_id"], at, "from_day", "_codes")
+    return found.select(
+        *days.columns,
+        "_codes.org_code",
+        "_codes.pos_code",
+        F.coalesce("_codes.assigned", F.lit(False)).alias("assigned"),
+    )
+
+
 def assignment_match(df: DataFrame, assignments: DataFrame, at: str) -> DataFrame:
     """Adds the unit and position codes of the employee's assignment on a day.
 
-    Needs ``emp_no`` and ``company_id``; rows without any assignment keep NULL codes.
+    Needs ``emp_no`` and ``company_id``; rows without any assignment keep NULL codes.  The choice
+    is made once per employee and day, and rows of one day then share it.
     """
-    side = assignment_timeline(assignments).alias("a")
-    match = [
-        F.col("d.emp_no") == F.col("a.emp_no"),
-        F.col("d.company_id") == F.col("a.company_id"),
-        in_stretch(F.col(f"d.{at}"), F.col("a.from_day"), F.col("a.until_day")),
-    ]
+    who = ["emp_no", "company_id"]
+    days = df.select(*who, F.col(at).alias("_day")).distinct()
+    side = assignments_on(days, assignments, "_day").alias("a")
+    match = [F.col(f"d.{c}") == F.col(f"a.{c}") for c in who]
+    match.append(F.col(f"d.{at}").eqNullSafe(F.col("a._day")))
     return df.alias("d").join(side, match, "left").select(
         "d.*", "a.org_code", "a.pos_code", F.coalesce("a.assigned", F.lit(False)).alias("assigned")
     )

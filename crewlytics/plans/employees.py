@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 from crewlytics.functions import fixed_values as fv
 from crewlytics.functions.numbers import age_band, percent
 from crewlytics.functions.text import known
-from crewlytics.operators.distribution import HEADS, PEOPLE, Dim, distribution
+from crewlytics.operators.distribution import HEADS, PEOPLE, Dim, distribution, distributions
 from crewlytics.operators.filters import staff
 from crewlytics.operators.kpis import avg_when, flag_counts, kpi_row, sum_when
+from crewlytics.operators.ordering import ranked
 from crewlytics.sources.workforce import Workforce
 
 EDUCATION = Dim("education", key_label=fv.EMPTY_EDUCATION)
@@ -62,6 +63,20 @@ def employees_dist_employment_status(w: Workforce) -> DataFrame:
     return _by(w, [Dim("status", "employment_status", shown_label=fv.OTHER)])
 
 
+def employees_distributions(w: Workforce) -> DataFrame:
+    """The six distributions above, all values of each, from one scan of the snapshot."""
+    dims = {
+        "position": Dim("position"),
+        "location": Dim("location"),
+        "company": Dim("company"),
+        "collar_type": Dim("staff_group", shown_label=fv.OTHER),
+        "marital_status": Dim("marital_status", shown_label=fv.UNKNOWN),
+        "employment_status": Dim("employment_status", shown_label=fv.OTHER),
+    }
+    counted = distributions(staff(w.personnel), dims, PEOPLE)
+    return ranked(counted, ["distribution", "-count"])
+
+
 def employees_disabled(w: Workforce, limit: int | None = 1000) -> DataFrame:
     names = ["location", "department", "position", "disability_degree", "gender"]
     disabled = staff(w.personnel).where(F.col("is_disabled") == 1)
@@ -114,6 +129,7 @@ REPORTS = [
     employees_dist_collar,
     employees_dist_marital,
     employees_dist_employment_status,
+    employees_distributions,
     employees_disabled,
     employees_duty_place,
     employees_company_position,

@@ -12,15 +12,15 @@ from crewlytics.functions.text import contains_ci
 from crewlytics.operators import participation as part
 from crewlytics.operators.distribution import PEOPLE, Dim, distribution
 from crewlytics.operators.filters import live, staff
-from crewlytics.operators.kpis import count_distinct_when
+from crewlytics.operators.kpis import count_when
 from crewlytics.operators.matching import (
-    assignment_match,
     assignment_timeline,
+    assignments_on,
     exists_flag,
     running_spells,
-    spell_join,
 )
 from crewlytics.operators.participation import EVENT
+from crewlytics.operators.sweep import interval_totals
 from crewlytics.plans.training import AS_OF, hot_of
 from crewlytics.sources.workforce import Workforce, run_select
 
@@ -102,15 +102,24 @@ def training_assignments(w: Workforce, hot_rows: int | None = None) -> DataFrame
 def training_day_assignments(w: Workforce) -> DataFrame:
     """The assignment that counts for each day an employee took part in something."""
     days = _attended_days(w).drop("times")
-    return assignment_match(days, w.company_pers_assign, "start_date").where("assigned").drop(
+    return assignments_on(days, w.company_pers_assign, "start_date").where("assigned").drop(
         "assigned"
     )
 
 
 def training_sites(w: Workforce) -> DataFrame:
     """Participations per site the participant worked at on the day."""
-    placed = spell_join(_attended_days(w), w.work_spell, "start_date")
-    return placed.groupBy("company_id", "site_code").agg(F.sum("times").alias("count"))
+    totals = interval_totals(
+        _attended_days(w),
+        w.work_spell,
+        ["emp_no", "company_id"],
+        "start_date",
+        "times",
+        ("start_date", "end_date"),
+        ["company_id"],
+        "site_code",
+    )
+    return totals.withColumnRenamed("times", "count")
 
 
 def training_activity(w: Workforce) -> DataFrame:
@@ -130,9 +139,10 @@ def training_uniques(w: Workforce) -> DataFrame:
     """Distinct live participants per company, and the internal ones among them."""
     rows = live(_attendance(w, hot_of(w)))
     internal = part.is_internal()
-    return rows.groupBy("company_id").agg(
-        F.count_distinct("participant_id").alias("participants"),
-        count_distinct_when(internal, F.col("participant_id")).alias("internal_participants"),
+    people = rows.groupBy("company_id", "participant_id").agg(F.max(internal).alias("internal"))
+    return people.groupBy("company_id").agg(
+        F.count("participant_id").alias("participants"),
+        count_when(F.col("internal")).alias("internal_participants"),
     )
 
 

@@ -82,6 +82,19 @@ EMPLOYEES = {
     "employees_dist_employment_status": grouped(
         "coalesce(employment_status, 'Diğer') AS status", "employment_status"
     ),
+    "employees_distributions": over(["personnel"])
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS distribution, {shown} AS category, count(emp_id) AS count "
+        f"FROM personnel WHERE {STAFF} GROUP BY {name.replace('collar_type', 'staff_group')}"
+        for name, shown in {
+            "position": "position",
+            "location": "location",
+            "company": "company",
+            "collar_type": "coalesce(staff_group, 'Diğer')",
+            "marital_status": "coalesce(marital_status, 'Bilinmiyor')",
+            "employment_status": "coalesce(employment_status, 'Diğer')",
+        }.items()
+    ),
     "employees_disabled": plain(
         "location, department, position, disability_degree, gender",
         f"{STAFF} AND is_disabled = 1",
