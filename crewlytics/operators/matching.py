@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from crewlytics.functions import fixed_values as fv
 from crewlytics.functions.dates import open_ended, running_at
+from crewlytics.operators.bloom import key_filter, may_match, ruled_out
 from crewlytics.operators.ordering import first_by
 from crewlytics.operators.sweep import carried, tree_nodes, tree_path
 
@@ -32,15 +33,30 @@ def lookup(
     return out if default is None else out.withColumn(name, F.coalesce(name, F.lit(default)))
 
 
-def without_match(df: DataFrame, other: DataFrame, on: Mapping[str, str]) -> DataFrame:
+def without_match(
+    df: DataFrame, other: DataFrame, on: Mapping[str, str], bloom_words: int | None = None
+) -> DataFrame:
     """Rows of ``df`` that have no partner; ``on`` maps its columns to the other side's.
 
     The other side is reduced to its distinct keys first, inside each task and then
     across them, so repeated keys cost nothing in the join.
+
+    With ``bloom_words`` a Bloom filter of that many 64-bit words is made of the other side's keys.
+    Rows of ``df`` that it rules out are returned without a shuffle; only the rest goes through the
+    exact join. Both sides are read twice then, so it pays where ``df`` is wide or long, too
+    large to broadcast against, and mostly without partners. The keys must be of the same types.
     """
     keys = other.select(*[F.col(theirs).alias(f"_k{i}") for i, theirs in enumerate(on.values())])
     match = [F.col(mine) == F.col(f"_k{i}") for i, mine in enumerate(on)]
-    return df.join(keys.distinct(), match, "left_anti")
+    if bloom_words is None:
+        return df.join(keys.distinct(), match, "left_anti")
+    kinds = dict(df.dtypes)
+    if [kinds[mine] for mine in on] != [kind for _, kind in keys.dtypes]:
+        raise ValueError(f"a Bloom filter needs keys of the same types: {dict(on)}")
+    found = key_filter(keys, keys.columns, bloom_words)
+    unsure = may_match(df, found, list(on), bloom_words)
+    sure = ruled_out(df, found, list(on), bloom_words)
+    return sure.union(unsure.join(keys.distinct(), match, "left_anti"))
 
 
 def exists_flag(df: DataFrame, other: DataFrame, on: Mapping[str, str], name: str) -> DataFrame:

@@ -6,6 +6,8 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from crewlytics.operators.bloom import WORDS
+from crewlytics.operators.participation import EVENT
 from crewlytics.operators.quality import fk_orphans, key_violations
 from crewlytics.operators.query_log import normalise_queries
 from crewlytics.sources.interaction_log import append_interactions, read_interactions, retain
@@ -42,6 +44,11 @@ def fk_orphans_event_course(w: Workforce) -> DataFrame:
     return fk_orphans(w.training_event_course, w.course, {"course_id": "course_id"})
 
 
+def fk_orphans_participant_event(w: Workforce, bloom_words: int = WORDS) -> DataFrame:
+    """Participations of events that are not there; events without participants are not shuffled."""
+    return fk_orphans(w.training_participant, w.training_event, {EVENT: EVENT}, bloom_words)
+
+
 def interactions_normalised(w: Workforce) -> DataFrame:
     return normalise_queries(w.interactions)
 
@@ -73,6 +80,7 @@ REPORTS = [
     key_violations_participant,
     fk_orphans_sale_product,
     fk_orphans_event_course,
+    fk_orphans_participant_event,
     interactions_normalised,
     interactions_retained,
     interactions_appended,

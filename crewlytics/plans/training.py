@@ -17,6 +17,7 @@ from crewlytics.functions.dates import day_of, month_key
 from crewlytics.functions.numbers import ratio
 from crewlytics.functions.text import labelled
 from crewlytics.operators import participation as part
+from crewlytics.operators.bloom import WORDS
 from crewlytics.operators.filters import after, staff
 from crewlytics.operators.kpis import count_when, kpi_row
 from crewlytics.operators.matching import running_spells, without_match
@@ -351,6 +352,12 @@ def training_none_list(w: Workforce, limit: int | None = 1000) -> DataFrame:
     return ranked(rows, ["company", "department"], limit)
 
 
+def training_none_screened(w: Workforce, bloom_words: int = WORDS) -> DataFrame:
+    """All of them, whatever their number; those a Bloom filter knows to be untrained skip the join."""
+    employees = staff(w.personnel, regular=None).select("emp_id", "full_name", "company", "department")
+    return without_match(employees, w.training_participant_qry, {"emp_id": "participant_id"}, bloom_words)
+
+
 def training_none_count(w: Workforce) -> DataFrame:
     return _untrained(w).agg(F.count_distinct("emp_id").alias("count"))
 
@@ -391,6 +398,7 @@ REPORTS = [
     training_calendar,
     training_none_list,
     training_none_count,
+    training_none_screened,
     training_full_details,
     training_main,
 ]

@@ -94,6 +94,9 @@ TWINS = {f"scan_{name}": over([name]) + f"SELECT * FROM {name}" for name in SCAN
     "fk_orphans_event_course": orphans(
         "training_event_course", "course_id", "course", "course_id"
     ),
+    "fk_orphans_participant_event": orphans(
+        "training_participant", "training_event_id", "training_event", "training_event_id"
+    ),
     "interactions_normalised": over(["interactions"])
     + f"SELECT *, {CLEAN} AS clean_sql, coalesce(regexp_matches(clean_sql, "
     "'^\\s*(INSERT|UPDATE|DELETE|CREATE|DROP|ALTER)', 'i'), false) AS is_write FROM interactions",

@@ -134,6 +134,7 @@ TWINS = {
     "training_none_list": UNTRAINED + "SELECT company, location, department, "
     "position_title AS position, emp_id, full_name FROM untrained "
     "ORDER BY company, department, location, position, emp_id, full_name LIMIT 1000",
+    "training_none_screened": UNTRAINED + "SELECT emp_id, full_name, company, department FROM untrained",
     "training_none_count": UNTRAINED + "SELECT count(DISTINCT emp_id) AS count FROM untrained",
     "training_full_details": WITH_MAIN + ORDERED,
     "training_main": WITH_MAIN + "SELECT * FROM main",
