@@ -40,9 +40,13 @@ def flag_counts(conditions: Mapping[str, Column]) -> dict[str, Column]:
     return {name: sum_when(condition) for name, condition in conditions.items()}
 
 
+def period_sums(df: DataFrame, period: str, conditions: Mapping[str, Column]) -> DataFrame:
+    """Conditional sums per period, in no order."""
+    return df.groupBy(period).agg(*[m.alias(name) for name, m in flag_counts(conditions).items()])
+
+
 def timeline(
     df: DataFrame, period: str, conditions: Mapping[str, Column], order: Sequence[str]
 ) -> DataFrame:
     """Conditional sums per period."""
-    measures = [m.alias(name) for name, m in flag_counts(conditions).items()]
-    return ranked(df.groupBy(period).agg(*measures), order)
+    return ranked(period_sums(df, period, conditions), order)

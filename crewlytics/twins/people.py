@@ -324,11 +324,16 @@ ENGAGEMENT = {
     "leave_duration NULLS LAST LIMIT 5000",
 }
 
-MOVEMENTS = {
-    "turnover_timeline": over(["personnel_month"])
+TIMELINE = (
+    over(["personnel_month"])
     + f"SELECT year_month, {hits('is_hire = 1')} AS hires, {hits('is_leaver = 1')} AS leavers, "
     f"{hits('left_unit = 1 AND is_leaver = 0')} AS transfers "
-    "FROM personnel_month WHERE org_ref = '1' GROUP BY year_month",
+    "FROM personnel_month WHERE org_ref = '1' GROUP BY year_month"
+)
+
+MOVEMENTS = {
+    "turnover_timeline": TIMELINE,
+    "turnover_timeline_kept": TIMELINE,
     "turnover_details": over(["personnel_month"])
     + "SELECT year_month AS period, company, location, full_name AS name, "
     "if(is_hire = 1, 'İşe Giriş', 'İşten Çıkış') AS movement_type, position, education "
