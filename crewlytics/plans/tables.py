@@ -73,6 +73,19 @@ def adhoc_select(w: Workforce) -> DataFrame:
     )
 
 
+def adhoc_select_parts(w: Workforce) -> DataFrame:
+    """A select with a WITH clause, aliases, a sub-select, and words that only look like tables."""
+    return run_select(
+        w,
+        """WITH product AS (SELECT 'sale' AS kind, id, price FROM product), -- engagement
+        sold AS (SELECT s.product_id, CAST(sum(s.total) AS DOUBLE) AS total FROM sale s GROUP BY s.product_id)
+        SELECT interactions.kind, interactions.id, sold.total AS work_spell
+        FROM product interactions JOIN sold ON sold.product_id = interactions.id /* org_dim */
+        WHERE interactions.price > (SELECT avg(p.price) FROM product p)
+        AND NOT EXISTS (SELECT 1 FROM course c WHERE c.course_id = interactions.id AND c.course_title = 'x')""",
+    )
+
+
 def _attendance(w: Workforce, hot: part.Hot) -> DataFrame:
     """Every participation with the company and day of its event."""
     events = w.training_event.select(EVENT, "company_id", "start_date")
@@ -151,6 +164,7 @@ REPORTS = [
     headcount_search,
     sale_before,
     adhoc_select,
+    adhoc_select_parts,
     training_assignments,
     training_day_assignments,
     training_sites,

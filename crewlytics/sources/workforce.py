@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -181,14 +182,45 @@ def register_views(workforce: Workforce, names: Iterable[str] = tuple(VIEW_SCHEM
         getattr(workforce, name).createOrReplaceTempView(name)
 
 
+def named_tables(spark: SparkSession, query: str) -> list[str]:
+    """Unqualified table names in a query, lower case, as Spark's parser reads it.
+
+    Taken from the parsed plan that EXPLAIN gives, whether or not the tables exist; words in
+    texts, comments, aliases and column names are no tables. A name that a WITH clause defines is
+    among them, as the clause itself may read a table of that name. Nothing is run.
+    """
+    plan = spark.sql(f"EXPLAIN EXTENDED {query}").first()[0]
+    parsed = plan.partition("== Parsed Logical Plan ==")[2].partition("== Analyzed Logical Plan ==")[0]
+    return sorted({name.lower() for name in re.findall(r"(?m)^[\s:+-]*'UnresolvedRelation \[(\w+)\]", parsed)})
+
+
+@contextmanager
+def views_for(workforce: Workforce, names: Iterable[str]) -> Iterator[None]:
+    """The views under their own names for a while; views of the session's user come back after."""
+    spark = workforce.spark
+    before: dict[str, DataFrame] = {}
+    for name in names:
+        if any(t.isTemporary and t.name.lower() == name for t in spark.catalog.listTables(pattern=name)):
+            before[name] = spark.table(name)
+    try:
+        register_views(workforce, names)
+        yield
+    finally:
+        for name in names:
+            if name in before:
+                before[name].createOrReplaceTempView(name)
+            else:
+                spark.catalog.dropTempView(name)
+
+
 def run_select(workforce: Workforce, text: str) -> DataFrame:
     """An ad-hoc SELECT over the views it names.
 
-    Only the named views are registered, and only a query is accepted: the text goes
-    into a derived table, where a statement that writes or defines something is a
-    syntax error.
+    Only the views that the parsed text reads are registered, and dropped again once Spark has
+    resolved them; the frame needs them no more. Only a query is accepted: the text goes into a
+    derived table, where a statement that writes or defines something is a syntax error.
     """
-    words = set(re.findall(r"\w+", re.sub(r"'[^']*'", "", text.lower())))
-    register_views(workforce, [name for name in VIEW_SCHEMAS if name in words])
-    query = text.strip().rstrip(";")
-    return workforce.spark.sql(f"SELECT * FROM (\n{query}\n)")
+    query = f"SELECT * FROM (\n{text.strip().rstrip(';')}\n)"
+    named = set(named_tables(workforce.spark, query))
+    with views_for(workforce, [name for name in VIEW_SCHEMAS if name in named]):
+        return workforce.spark.sql(query)

@@ -58,6 +58,11 @@ TWINS = {f"scan_{name}": over([name]) + f"SELECT * FROM {name}" for name in SCAN
     "adhoc_select": over(["personnel"])
     + "SELECT company, gender, count(emp_id) AS count, CAST(sum(is_active) AS BIGINT) AS active "
     "FROM personnel WHERE org_ref = '1' AND is_regular = 1 GROUP BY ALL",
+    "adhoc_select_parts": over(["product", "sale", "course"])
+    + "SELECT 'sale' AS kind, id, (SELECT CAST(sum(s.total) AS DOUBLE) FROM sale s WHERE s.product_id = product.id) AS work_spell "
+    "FROM product WHERE id IN (SELECT product_id FROM sale) "
+    "AND price > (SELECT sum(price) / count(price) FROM product) "
+    "AND id NOT IN (SELECT course_id FROM course WHERE course_title = 'x')",
     "training_assignments": over([*TRAINING, "company_pers_assign"], BEST)
     + "SELECT b.* FROM training_participant p JOIN best b "
     "ON b.training_event_id = p.training_event_id AND b.emp_no = p.participant_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from frames import rows_of
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import functions as F
 
 from crewlytics.plans import employees, engagement
@@ -13,6 +13,7 @@ from crewlytics.sources.scratch import shared_folder
 from crewlytics.sources.workforce import (
     Workforce,
     jdbc_options,
+    named_tables,
     register_views,
     run_select,
     write_views,
@@ -87,6 +88,48 @@ def test_only_queries_run(workforce, text):
         run_select(workforce, text)
 
 
+NAMED = [
+    ("SELECT 'from sale' AS a, \"x from sale\" AS b FROM product", ["product"]),
+    ("SELECT * FROM Product -- join sale on true", ["product"]),
+    ("SELECT /* from sale */ course FROM product sale", ["product"]),
+    ("SELECT sale.id FROM product AS sale, engagement", ["engagement", "product"]),
+    ("SELECT id FROM hr.sale JOIN `product` USING (id)", ["product"]),
+    ("WITH a AS (SELECT * FROM sale) SELECT * FROM a", ["a", "sale"]),
+    ("SELECT (SELECT max(id) FROM sale) FROM product WHERE id IN (SELECT id FROM course)", ["course", "product", "sale"]),
+    ("SELECT id FROM product UNION ALL (SELECT id FROM sale MINUS SELECT 1)", ["product", "sale"]),
+    ("SELECT " + ", ".join(f"(SELECT max(id) FROM t{i}) AS c{i}" for i in range(40)), sorted(f"t{i}" for i in range(40))),
+    ("SELECT 1", []),
+]
+
+
+@pytest.mark.parametrize(("text", "tables"), NAMED)
+def test_tables_are_those_the_parser_reads(spark, text, tables):
+    assert named_tables(spark, text) == tables
+
+
+def temporary(spark):
+    return {t.name for t in spark.catalog.listTables() if t.isTemporary}
+
+
+def test_views_of_a_select_do_not_stay(spark, workforce):
+    spark.range(3).createOrReplaceTempView("course")
+    before = temporary(spark)
+    found = run_select(workforce, "SELECT count(*) AS n FROM course JOIN product ON true WHERE course_id = id")
+    assert temporary(spark) == before
+    assert spark.table("course").columns == ["id"]
+    joined = workforce.course.join(workforce.product, F.col("course_id") == F.col("id"))
+    assert found.first().n == joined.count()
+    with pytest.raises(AnalysisException):
+        run_select(workforce, "SELECT nothing FROM sale")
+    assert temporary(spark) == before
+    spark.catalog.dropTempView("course")
+
+
+def test_a_view_may_be_redefined_by_its_select(spark, workforce):
+    found = run_select(workforce, "WITH product AS (SELECT id FROM product WHERE id < 3) SELECT * FROM product")
+    assert rows_of(found) == rows_of(workforce.product.where("id < 3").select("id"))
+
+
 def test_jdbc_reads_are_spread_over_a_column():
     options = jdbc_options("jdbc:x", "hr.people", ("emp_id", 1, 9, 4), {"user": "u"})
     assert options["dbtable"] == "hr.people" and options["user"] == "u"
