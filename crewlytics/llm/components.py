@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crewlytics.llm.scratch import discard, stored
+from crewlytics.operators.skew import dealt_anew
 
 
 def _mark(links: DataFrame) -> tuple:
@@ -15,13 +16,27 @@ def _mark(links: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
+def _stars(now: DataFrame) -> DataFrame:
+    """The links after a round."""
+    both = now.union(now.select("root", "node")).toDF("hub", "end")
+    least = both.groupBy("hub").agg(F.min("end").alias("low"))
+    least = least.select("hub", F.least("hub", "low").alias("low"))
+    large = both.join(dealt_anew(least, ["hub"]), "hub").where("end > hub")
+    large = large.select(F.col("end").alias("node"), F.col("low").alias("root")).distinct()
+    lowest = large.groupBy("node").agg(F.min("root").alias("low"))
+    small = large.join(dealt_anew(lowest, ["node"]), "node")
+    small = small.where("root <> low").select("root", "low").union(lowest.select("node", "low"))
+    return small.toDF("node", "root").distinct()
+
+
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b: long); the root is the smallest node reached.
 
     Each round hangs all larger neighbours of a node on its smallest neighbour, then all
     neighbours of a node that are smaller on the smallest of them. The smallest neighbour is a
-    partial aggregate, so a node with very many links sends one row per task; the join that
-    follows is an inner join, which adaptive execution splits. Rounds grow with the logarithm
+    partial aggregate, so a node with very many links sends one row per task. In the inner join
+    that follows, its rows are shuffled anew: adaptive execution splits the links of such a node
+    only where the other side comes straight from a shuffle. Rounds grow with the logarithm
     of the longest path. Links with a null end and links of a node to itself are no links; an
     empty table gives an empty one. Raises RuntimeError when ``max_rounds`` is not enough.
     """
@@ -34,17 +49,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not mark[0]:
             return now
-        both = now.union(now.select("root", "node")).toDF("hub", "end")
-        least = both.groupBy("hub").agg(F.min("end").alias("low"))
-        least = least.select("hub", F.least("hub", "low").alias("low"))
-        large = both.join(least, "hub").where("end > hub")
-        large = large.select(F.col("end").alias("node"), F.col("low").alias("root")).distinct()
-        lowest = large.groupBy("node").agg(F.min("root").alias("low"))
-        small = large.join(lowest, "node")
-        small = (
-            small.where("root <> low").select("root", "low").union(lowest.select("node", "low"))
-        ).toDF("node", "root")
-        after = stored(small.distinct(), "links")
+        after = stored(_stars(now), "links")
         again = _mark(after)
         discard(now)
         now, done = after, again == mark

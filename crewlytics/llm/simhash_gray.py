@@ -28,6 +28,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from crewlytics.llm.components import components
 from crewlytics.llm.scratch import stored
 from crewlytics.llm.text_arrays import tidy
+from crewlytics.operators.skew import dealt_anew
 
 BITS = 64
 FAN_OUT = 8
@@ -376,7 +377,7 @@ def simhash_groups(
         "code", "low", F.coalesce("root", "code").alias("root")
     )
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    classes = rooted.join(lowest, "root").select(F.col("code").alias("simhash"), "component", "root")
+    classes = rooted.join(dealt_anew(lowest, ["root"]), "root").select(F.col("code").alias("simhash"), "component", "root")
     return prints.join(classes, "simhash").select(F.col("id").alias(id), "simhash", "component", "root", "text_hash")
 
 

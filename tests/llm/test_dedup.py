@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from crewlytics.llm import simhash_gray, substring_rlz
-from crewlytics.llm.components import components
+from crewlytics.llm.components import _stars, components
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -121,6 +121,33 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_of_a_hot_node_are_split(spark, tmp_path):
+    """The join on the node that most links share is split at run time, on both of its sides' shuffles."""
+    links = spark.range(1, 60_000).selectExpr("if(id % 3 = 0, id, id div 500 + 100000) as root", "id + 200000 as node")
+    hot = spark.range(1, 40_000).selectExpr("7 as root", "id + 500000 as node")
+    links.union(hot).selectExpr("cast(node as long) as node", "cast(root as long) as root").repartition(8).write.parquet(
+        str(tmp_path / "links")
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        after = _stars(spark.read.parquet(str(tmp_path / "links")))
+        found = after.collect()
+        assert "SortMergeJoin(skew=true)" in after._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert sum(r["root"] == 7 for r in found) == 39_999
+
+
 def cut(docs: list[dict], window: int = 13) -> dict:
     words = {r["doc_id"]: WORDS.findall(r["text"] or "") for r in docs}
     first = {}
