@@ -24,7 +24,7 @@ def _stars(now: DataFrame) -> DataFrame:
     large = both.join(dealt_anew(least, ["hub"]), "hub").where("end > hub")
     large = large.select(F.col("end").alias("node"), F.col("low").alias("root")).distinct()
     lowest = large.groupBy("node").agg(F.min("root").alias("low"))
-    small = large.join(dealt_anew(lowest, ["node"]), "node")
+    small = large.join(lowest, "node")
     small = small.where("root <> low").select("root", "low").union(lowest.select("node", "low"))
     return small.toDF("node", "root").distinct()
 
@@ -36,7 +36,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbours of a node that are smaller on the smallest of them. The smallest neighbour is a
     partial aggregate, so a node with very many links sends one row per task. In the inner join
     that follows, its rows are shuffled anew: adaptive execution splits the links of such a node
-    only where the other side comes straight from a shuffle. Rounds grow with the logarithm
+    only where the other side comes straight from a shuffle. The second join, on the node that
+    hangs on several, goes without that further shuffle. Rounds grow with the logarithm
     of the longest path. Links with a null end and links of a node to itself are no links; an
     empty table gives an empty one. Raises RuntimeError when ``max_rounds`` is not enough.
     """

@@ -122,7 +122,7 @@ def test_components(spark):
 
 
 def test_links_of_a_hot_node_are_split(spark, tmp_path):
-    """The join on the node that most links share is split at run time, on both of its sides' shuffles."""
+    """The join on the node that most links share is split at run time."""
     links = spark.range(1, 60_000).selectExpr("if(id % 3 = 0, id, id div 500 + 100000) as root", "id + 200000 as node")
     hot = spark.range(1, 40_000).selectExpr("7 as root", "id + 500000 as node")
     links.union(hot).selectExpr("cast(node as long) as node", "cast(root as long) as root").repartition(8).write.parquet(
