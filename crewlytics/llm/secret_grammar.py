@@ -10,7 +10,8 @@ All candidates, the runs of credential characters that no rule has found, are th
 a secret of a kind if that kind's automaton explains it better than the one of ordinary runs by
 ``min_bits`` bits in all, and is typical of the kind: as long as some labelled one at least and at
 most, and with no fewer bits a character than the worst hundredth of those held out of the fit, less
-``SLACK``. Unlabelled credentials among the ordinary runs would teach their grammar the formats, so
+``SLACK``. A grammar is learnt from a bounded sample of the labelled values, but how short and how long a
+kind gets is taken from all of them, and a run of any length is scored whole. Unlabelled credentials among the ordinary runs would teach their grammar the formats, so
 runs typical of a kind are left out of its examples; but not where they are more than
 ``MINORITY`` of them, as the kind is then no format of its own.
 """
@@ -49,7 +50,8 @@ TRIMMED = ".-"
 
 ORDINARY = "ordinary"
 EXAMPLES = 1000  # labelled values per kind that a grammar is fitted to
-LONGEST = 200  # longer values are no examples
+LEARNT = 4096  # a grammar is learnt from this many first characters of an example
+FEW = 32  # where fewer values are left to score, each is scored by itself
 FEWEST = 20  # kinds with fewer examples have no grammar
 ALPHA = 0.05
 MIN_BITS = 40.0
@@ -100,54 +102,108 @@ class Grammar:
     bits: np.ndarray
     after: np.ndarray
     lowest: float = -math.inf  # bits a character of typical values
-    lengths: tuple[int, int] = (0, LONGEST)
+    lengths: tuple[float, float] = (0, math.inf)
 
     @property
     def states(self) -> int:
         return len(self.bits)
 
-    def score(self, values: list[bytes]) -> np.ndarray:
-        """log2 of each value's likelihood, its end included; one character of all values at a time."""
+    def score(self, values: list[bytes], ended: np.ndarray | None = None) -> np.ndarray:
+        """log2 of each value's likelihood; one character of all values at a time, then the long ones.
+
+        The end is included, but for values that are not ``ended`` as they are only a beginning.
+        """
         lengths = np.array([len(v) for v in values], np.int64)
         data = np.frombuffer(b"".join(values) + b"\0", np.uint8)
         at = np.cumsum(lengths) - lengths
         state, total = np.zeros(len(values), np.int64), np.zeros(len(values))
         live = np.flatnonzero(lengths)
         step = 0
-        while len(live):
+        while len(live) > FEW:
             c = data[at[live] + step]
             total[live] += self.bits[state[live], c]
             state[live] = self.after[state[live], c]
             step += 1
             live = live[lengths[live] > step]
-        return total + self.bits[state, END]
-
-    def typical(self, values: list[bytes], scores: np.ndarray) -> np.ndarray:
-        lengths = np.array([len(v) for v in values], np.int64)
-        inside = (lengths >= self.lengths[0]) & (lengths <= self.lengths[1])
-        return inside & (scores >= self.lowest * (lengths + 1))
+        rows: dict[int, tuple[list[float], list[int]]] = {}
+        for i in live:
+            total[i], state[i] = self._walk(values[i][step:], int(state[i]), float(total[i]), rows)
+        last = self.bits[state, END]
+        return total + (last if ended is None else np.where(ended, last, 0.0))
+
+    def _walk(self, value: bytes, state: int, total: float, rows: dict) -> tuple[float, int]:
+        for c in value:
+            if state not in rows:
+                rows[state] = self.bits[state].tolist(), self.after[state].tolist()
+            bits, after = rows[state]
+            total += bits[c]
+            state = after[c]
+        return total, state
+
+    def inside(self, lengths: np.ndarray) -> np.ndarray:
+        """Whether some labelled value of the kind is as short and some is as long."""
+        return (lengths >= self.lengths[0]) & (lengths <= self.lengths[1])
+
+    def typical(
+        self, values: list[bytes], scores: np.ndarray, lengths: np.ndarray | None = None
+    ) -> np.ndarray:
+        """Which values are typical; ``lengths`` are the whole ones where ``values`` are beginnings."""
+        scored = np.array([len(v) for v in values], np.int64)
+        whole = scored if lengths is None else lengths
+        return self.inside(whole) & (scores >= self.lowest * (scored + (whole == scored)))
 
 
 class _Tree:
-    """A prefix tree with counts; merged states are forwarded to the state they were folded into."""
-
-    def __init__(self, values: Iterable[bytes]):
-        self.next: list[dict[int, int]] = [{}]
-        self.pass_: list[dict[int, int]] = [{}]
-        self.ends = [0]
-        for value in values:
-            state = 0
-            for c in value:
-                self.pass_[state][c] = self.pass_[state].get(c, 0) + 1
-                if c not in self.next[state]:
-                    self.next[state][c] = len(self.next)
-                    self.next.append({})
-                    self.pass_.append({})
-                    self.ends.append(0)
-                state = self.next[state][c]
-            self.ends[state] += 1
+    """A prefix tree with counts; merged states are forwarded to the state they were folded into.
+
+    What only one value passes is kept as the rest of that value and grown state by state when it is
+    looked at, so long values need no state a character. A value that is not ended counts no end.
+    """
+
+    def __init__(self, values: Iterable[tuple[bytes, bool]]):
+        self.next: list[dict[int, int]] = []
+        self.pass_: list[dict[int, int]] = []
+        self.ends: list[int] = []
+        self.rest: dict[int, tuple[bytes, int, bool]] = {}
+        self._state()
+        for value, ended in values:
+            self._add(0, value, 0, ended)
+
+    def _state(self) -> int:
+        self.next.append({})
+        self.pass_.append({})
+        self.ends.append(0)
+        return len(self.ends) - 1
+
+    def _add(self, state: int, value: bytes, at: int, ended: bool) -> None:
+        """Counts a value from a place on, from a state on; what no other value passes becomes a rest."""
+        for place in range(at, len(value)):
+            self.grown(state)
+            c = value[place]
+            self.pass_[state][c] = self.pass_[state].get(c, 0) + 1
+            if c not in self.next[state]:
+                new = self._state()
+                self.next[state][c] = new
+                self.rest[new] = (value, place + 1, ended)
+                return
+            state = self.next[state][c]
+        self.grown(state)
+        self.ends[state] += ended
+
+    def grown(self, state: int) -> None:
+        """Turns the first character of a state's rest into a state."""
+        if state in self.rest:
+            value, at, ended = self.rest.pop(state)
+            if at == len(value):
+                self.ends[state] += ended
+            else:
+                new = self._state()
+                self.next[state][value[at]] = new
+                self.pass_[state][value[at]] = 1
+                self.rest[new] = (value, at + 1, ended)
 
     def seen(self, state: int) -> int:
+        self.grown(state)
         return self.ends[state] + sum(self.pass_[state].values())
 
     def compatible(self, one: int, two: int, alpha: float) -> bool:
@@ -157,8 +213,8 @@ class _Tree:
         while todo:
             a, b = todo.pop()
             n, m = self.seen(a), self.seen(b)
-            if not n or not m:
-                continue
+            if not n or not m or bound >= math.sqrt(m):
+                continue  # below ``b`` is a tree, so counts only fall there and the limit stays above 1
             limit = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
             if limit < 1:
                 if abs(self.ends[a] / n - self.ends[b] / m) >= limit:
@@ -174,6 +230,10 @@ class _Tree:
         todo = [(into, tree)]
         while todo:
             a, b = todo.pop()
+            if b in self.rest:
+                self._add(a, *self.rest.pop(b))
+                continue
+            self.grown(a)
             self.ends[a] += self.ends[b]
             for c, n in self.pass_[b].items():
                 self.pass_[a][c] = self.pass_[a].get(c, 0) + n
@@ -183,15 +243,19 @@ class _Tree:
                     self.next[a][c] = self.next[b][c]
 
 
-def infer(values: list[bytes], alpha: float = ALPHA, held_out: int = 5) -> Grammar:
+def infer(
+    values: list[bytes], alpha: float = ALPHA, held_out: int = 5, lengths: list[int] | None = None
+) -> Grammar:
     """The grammar of some values; every ``held_out``-th is left out of the fit and sets what is typical.
 
     States are taken breadth first, in the order of their characters, so equal values give an equal
-    grammar.
+    grammar. A value shorter than its length in ``lengths`` is only a beginning and teaches no end.
     """
-    values = sorted(values, key=lambda v: (hashlib.sha256(v).digest(), v))
-    kept, fitted = values[::held_out], [v for i, v in enumerate(values) if i % held_out]
-    tree = _Tree(fitted or values)
+    wholes = [len(v) for v in values] if lengths is None else lengths
+    pairs = sorted(zip(values, wholes, strict=True), key=lambda p: (hashlib.sha256(p[0]).digest(), *p))
+    told = [(v, len(v) == whole) for v, whole in pairs]
+    kept, fitted = told[::held_out], [pair for i, pair in enumerate(told) if i % held_out]
+    tree = _Tree(fitted or told)
     red, queue = [0], [(0, c) for c in sorted(tree.next[0])]
     while queue:
         parent, c = queue.pop(0)
@@ -206,6 +270,7 @@ def infer(values: list[bytes], alpha: float = ALPHA, held_out: int = 5) -> Gramm
                 queue += [(r, x) for r in red for x in sorted(set(tree.next[r]) - before[r])]
                 break
         else:
+            tree.grown(blue)
             red.append(blue)
             queue += [(blue, x) for x in sorted(tree.next[blue])]
     place = {state: i for i, state in enumerate(red)}
@@ -220,33 +285,44 @@ def infer(values: list[bytes], alpha: float = ALPHA, held_out: int = 5) -> Gramm
             after[i, c] = place[tree.next[state][c]]
         bits[i] = np.log2(counts / (n + 1))
     grammar = Grammar(bits, after)
-    rate = grammar.score(kept) / np.array([len(v) + 1 for v in kept])
+    ended = np.array([end for _, end in kept])
+    rate = grammar.score([v for v, _ in kept], ended) / np.array([len(v) + end for v, end in kept])
     grammar.lowest = float(np.quantile(rate, 0.01)) - SLACK
-    grammar.lengths = min(map(len, values)), max(map(len, values))
+    grammar.lengths = min(wholes), max(wholes)
     return grammar
 
 
-def _smallest(values: dict[str, dict[int, str]], kind: str, value: str) -> None:
-    """Keeps the ``EXAMPLES`` values of a kind with the least hashes."""
-    import xxhash
+class _Kept:
+    """Of a kind, the ``EXAMPLES`` values with the least hashes, and the least and greatest length of all."""
+
+    def __init__(self):
+        self.values: dict[int, tuple[str, int]] = {}
+        self.shortest, self.longest = math.inf, 0
+
+    def add(self, value: str) -> None:
+        import xxhash
+
+        self.shortest, self.longest = min(self.shortest, len(value)), max(self.longest, len(value))
+        self.values[xxhash.xxh64_intdigest(value.encode()) >> 1] = value[:LEARNT], len(value)
+        if len(self.values) >= 4 * EXAMPLES:
+            self.values = dict(self.least())
 
-    if len(value) > LONGEST:
-        return
-    kept = values.setdefault(kind, {})
-    kept[xxhash.xxh64_intdigest(value.encode()) >> 1] = value
-    if len(kept) >= 4 * EXAMPLES:
-        values[kind] = dict(heapq.nsmallest(EXAMPLES, kept.items()))
+    def least(self) -> list[tuple[int, tuple[str, int]]]:
+        return heapq.nsmallest(EXAMPLES, self.values.items())
 
 
 def labelled(texts: DataFrame) -> DataFrame:
-    """(kind, h, value): what the rules find in ``texts`` (text), and ordinary runs, a bounded sample.
+    """(kind, h, value, length, shortest, longest): what the rules find, and ordinary runs, a bounded sample.
 
-    For each kind the ``EXAMPLES`` distinct values with the least hashes, whatever task finds them.
+    For each kind the ``EXAMPLES`` distinct values with the least hashes, whatever their length and
+    whatever task finds them; of a value its first ``LEARNT`` characters and its whole length.
+    ``shortest`` and ``longest`` are the lengths of all values of the kind, not of the sample alone.
     """
+    schema = "kind string, h long, value string, length long, shortest long, longest long"
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[str, dict[int, str]] = {}
+        kept: dict[str, _Kept] = {kind: _Kept() for kind in [*KINDS, ORDINARY]}
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 if not text:
@@ -256,42 +332,62 @@ def labelled(texts: DataFrame) -> DataFrame:
                     value = text[start:end]
                     if not kind:
                         value = ASSIGN.fullmatch(value)[2]
-                    _smallest(kept, KINDS[kind], value)
+                    kept[KINDS[kind]].add(value)
                 for start, end in candidates(text, found):
-                    _smallest(kept, ORDINARY, text[start:end])
-        rows = [(kind, h, v) for kind, all_ in kept.items() for h, v in heapq.nsmallest(EXAMPLES, all_.items())]
-        kinds, hashes, values = zip(*rows, strict=True) if rows else ([], [], [])
+                    kept[ORDINARY].add(text[start:end])
+        rows = [
+            (kind, h, value, length, all_.shortest, all_.longest)
+            for kind, all_ in kept.items()
+            for h, (value, length) in all_.least()
+        ]
+        columns = zip(*rows, strict=True) if rows else [()] * 6
+        types = [pa.string(), pa.int64(), pa.string(), *[pa.int64()] * 3]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(kinds, pa.string()), pa.array(hashes, pa.int64()), pa.array(values, pa.string())],
-            ["kind", "h", "value"],
+            [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+            ["kind", "h", "value", "length", "shortest", "longest"],
         )
 
-    found = texts.mapInArrow(run, "kind string, h long, value string").distinct()
+    bounds = [F.min("shortest").alias("shortest"), F.max("longest").alias("longest")]
+    found = texts.mapInArrow(run, schema).groupBy("kind", "h", "value", "length").agg(*bounds)
     # two steps, so that no task gets more than a small part of what all tasks kept
-    least = f"row_number() over (partition by kind, h % {BUCKETS} order by h, value)"
-    found = found.withColumn("nth", F.expr(least)).where(f"nth <= {EXAMPLES}")
-    found = found.withColumn("nth", F.expr("row_number() over (partition by kind order by h, value)"))
-    return found.where(f"nth <= {EXAMPLES}").drop("nth")
+    for part in (f"kind, h % {BUCKETS}", "kind"):
+        found = found.selectExpr(
+            "kind", "h", "value", "length",
+            f"min(shortest) over (partition by {part}) as shortest",
+            f"max(longest) over (partition by {part}) as longest",
+            f"row_number() over (partition by {part} order by h, value) as nth",
+        ).where(f"nth <= {EXAMPLES}").drop("nth")
+    return found
 
 
 def train(docs: DataFrame, text: str = "text", alpha: float = ALPHA) -> dict[str, Grammar]:
     """A grammar for each kind that has ``FEWEST`` examples in ``docs``, and one of ordinary runs.
 
-    At most ``EXAMPLES`` values a kind come to the driver; these are the only rows that do.
+    At most ``EXAMPLES`` values a kind come to the driver, of each no more than ``LEARNT`` characters;
+    these are the only rows that do. Lengths that a kind may have are those of all its values.
     """
     examples = stored(labelled(docs.select(F.col(text).alias("text"))), "credentials")
-    values: dict[str, list[bytes]] = {}
+    rows: dict[str, list] = {}
     for row in examples.orderBy("kind", "h").collect():
-        values.setdefault(row["kind"], []).append(row["value"].encode())
-    grammars = {k: infer(some, alpha) for k, some in values.items() if k != ORDINARY and len(some) >= FEWEST}
-    ordinary = values.get(ORDINARY, [])
+        rows.setdefault(row["kind"], []).append(row)
+
+    def learnt(some: list) -> Grammar:
+        grammar = infer([r["value"].encode() for r in some], alpha, lengths=[r["length"] for r in some])
+        grammar.lengths = some[0]["shortest"], some[0]["longest"]
+        return grammar
+
+    grammars = {k: learnt(some) for k, some in rows.items() if k != ORDINARY and len(some) >= FEWEST}
+    ordinary = rows.get(ORDINARY, [])
+    values = [r["value"].encode() for r in ordinary]
+    lengths = np.array([r["length"] for r in ordinary], np.int64)
+    ended = lengths == np.array([len(v) for v in values], np.int64)
     alike = np.zeros(len(ordinary), bool)
     for grammar in grammars.values():
-        typical = grammar.typical(ordinary, grammar.score(ordinary))
+        typical = grammar.typical(values, grammar.score(values, ended), lengths)
         if typical.sum() <= MINORITY * len(ordinary):
             alike |= typical
-    ordinary = [v for v, like in zip(ordinary, alike, strict=True) if not like]
-    return grammars | ({ORDINARY: infer(ordinary, alpha)} if len(ordinary) >= FEWEST else {})
+    ordinary = [r for r, like in zip(ordinary, alike, strict=True) if not like]
+    return grammars | ({ORDINARY: learnt(ordinary)} if len(ordinary) >= FEWEST else {})
 
 
 def _plain() -> Grammar:
@@ -308,11 +404,13 @@ def scan(
     exclusive. Kinds are those of the rules, then the same with ``format_`` before the name for runs
     that only a grammar has found; where several fit, the one that explains the run best. Null and
     empty texts have no spans; repeated rows each give a row; other columns are not read. Texts are
-    read whole, one at a time.
+    read whole, one at a time, and runs of any length are judged; only those shorter or longer than all
+    labelled values of every kind need no score, as they are typical of none.
     """
     fitted = [(f"format_{k}", grammars[k]) for k in KINDS if k in grammars]
     ordinary = grammars.get(ORDINARY) or _plain()
     names = [*KINDS, *[name for name, _ in fitted]]
+    lengths = [grammar.lengths for _, grammar in fitted]
 
     def judged(runs: list[bytes]) -> list[int]:
         """The place in ``names`` of the kind of each run, 0 for none."""
@@ -334,7 +432,7 @@ def scan(
                 rows.append(found)
                 if source:
                     for start, end in candidates(source, found):
-                        if end - start <= LONGEST:  # longer ones are typical of no kind
+                        if any(low <= end - start <= high for low, high in lengths):
                             runs.append(source[start:end].encode())
                             where.append((i, start, end))
             more: dict[int, list] = {}

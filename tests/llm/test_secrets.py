@@ -162,3 +162,35 @@ def test_examples_are_bounded_and_do_not_depend_on_partitions(spark, monkeypatch
     one = {tuple(r) for r in secret_grammar.labelled(docs.repartition(1)).collect()}
     many = {tuple(r) for r in secret_grammar.labelled(docs.repartition(7)).collect()}
     assert one == many and len(one) == 40
+
+
+def test_long_credentials_are_learnt_and_found(spark, monkeypatch):
+    """Bare values far longer than 200 characters, some longer than what a grammar is learnt from."""
+    monkeypatch.setattr(secret_grammar, "LEARNT", 600)
+    pick = random.Random(12)
+    rows = [(i, f"token = {value(pick, 'eyJh.', LETTERS, pick.randrange(250, 900))} end") for i in range(120)]
+    rows += [(120 + i, f"token = {value(pick, 'eyJh.', LETTERS, n)} end") for i, n in enumerate([250, 5000])]
+    rows += [(i, f"www.{'/'.join(ordinary(pick) for _ in range(pick.randrange(1, 30)))}") for i in range(200, 400)]
+    bare = {i: value(pick, "eyJh.", LETTERS, n) for i, n in enumerate([250, 300, 595, 596, 900, 1800, 4990], 400)}
+    rows += [(i, f"bare {secret} end") for i, secret in bare.items()]
+    rows.append((500, f"bare {value(pick, 'eyJh.', LETTERS, 5100)} end"))  # longer than all labelled ones
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grammars = secret_grammar.train(docs)
+    assert grammars["assign"].lengths[1] == 5005
+    found = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["spans"]] for r in secret_grammar.scan(docs, grammars).collect()}
+    for i, secret in bare.items():
+        assert found[i] == [(5, "format_assign", 5 + len(secret))], len(secret)
+    assert not any(found[i] for i in [*range(200, 400), 500])
+
+
+def test_lengths_of_a_kind_are_those_of_all_its_values(spark, monkeypatch):
+    """The sample that teaches a grammar does not bound the runs that are judged."""
+    monkeypatch.setattr(secret_grammar, "EXAMPLES", 30)
+    pick = random.Random(13)
+    lengths = [pick.randrange(20, 3000) for _ in range(400)]
+    rows = [(f"secret: {value(pick, '', LETTERS, n)}",) for n in lengths]
+    docs = spark.createDataFrame(rows, "text string").repartition(5)
+    found = secret_grammar.labelled(docs).collect()
+    assert len(found) == 30
+    assert {(r["shortest"], r["longest"]) for r in found} == {(min(lengths), max(lengths))}
+    assert secret_grammar.train(docs)["assign"].lengths == (min(lengths), max(lengths))
