@@ -155,6 +155,18 @@ def spread_outer(
     return rows.drop(PART, "_parts", "_kept")
 
 
+def padded(many: DataFrame, keys: DataFrame, on: Sequence[str], present: DataFrame | None = None) -> DataFrame:
+    """A numbered long table with one row more for each key of ``keys`` that it has no row of.
+
+    Such a row is NULL but for its key and number.  The inner join of a table with these keys and the
+    result is its left join with the long table; it may be split on the long side, and takes the table
+    once.  ``present`` is a shorter table with the keys of ``many``.
+    """
+    present = many if present is None else present
+    lonely = keys.select(*on).distinct().join(present.select(*on).distinct(), list(on), "left_anti")
+    return many.unionByName(lonely.withColumn(ROW, F.xxhash64(*on)), allowMissingColumns=True)
+
+
 def spread_join(
     big: DataFrame,
     other: DataFrame,
@@ -175,9 +187,9 @@ def spread_both(
     """Inner join of two numbered long tables, either of which may hold hot keys.
 
     The rows of a key form a grid: each side is dealt to its own parts and repeated for
-    those of the other, so a task gets one part of each.
+    those of the other, so a task gets one part of each.  Rows keep the numbers of the left side.
     """
     same = {name: name for name in on}
     one = repeat_rows(split_rows(left, hot_left, same), hot_right, same, OTHER_PART)
     two = repeat_rows(split_rows(right, hot_right, same, OTHER_PART), hot_left, same)
-    return one.drop(ROW).join(two.drop(ROW), [*on, PART, OTHER_PART]).drop(PART, OTHER_PART)
+    return one.join(two.drop(ROW), [*on, PART, OTHER_PART]).drop(PART, OTHER_PART)

@@ -24,12 +24,14 @@ from crewlytics.operators.matching import running_spells, without_match
 from crewlytics.operators.ordering import ranked
 from crewlytics.operators.participation import EVENT
 from crewlytics.operators.skew import (
-    PART,
+    ROW,
+    dealt_anew,
     heavy_keys,
     key_counts,
     numbered,
+    padded,
     spread_both,
-    spread_outer,
+    spread_join,
 )
 from crewlytics.sources.workforce import Workforce
 
@@ -74,33 +76,40 @@ def training_main(
     the department shown for people from elsewhere.
     """
     hot = hot_of(w, hot_rows)
-    events = w.training_event.where(F.col(EVENT).isNotNull())
-    rows = part.by_participant(part.participations(events, w.training_participant, hot), hot)
+    events = _timed(w.training_event.where(F.col(EVENT).isNotNull()))
+    people = padded(numbered(w.training_participant), events, [EVENT])
     running = running_spells(w.work_spell, as_of)
     profile = part.staff_profile(w.company_pers_assign, running, w.position_dim, w.org_dim)
     sites = part.site_groups(w.company_pers_assign, w.work_spell, w.staff_group_dim)
-    titled = part.with_profile(rows, profile, hot, "position_title", "org_name", "is_active")
-    placed = part.with_site_groups(titled, sites, hot).drop(PART)
 
     # Live rows of an event: its live rows so far, once for each of its course links.
-    is_live = F.when(F.col("cancel_date").isNull(), 1).otherwise(0)
-    narrow = rows.select(
-        EVENT, "participant_id", "company_id", "start_date", "cancel_date", PART
-    )
-    counted = part.with_site_groups(narrow, sites, hot).groupBy(EVENT).agg(
-        F.sum(is_live).alias("_live")
+    # Few columns of many rows look small in a file; merging keeps them from being broadcast.
+    live = people.where(part.IS_LIVE).select(EVENT, "participant_id", ROW).hint("merge")
+    dated = events.select(EVENT, "company_id", "start_date")
+    present = part.by_participant(spread_join(live, dated, [EVENT], hot.events), hot)
+    counted = part.with_site_groups(present, sites, hot).groupBy(EVENT).agg(
+        F.count(F.lit(1)).alias("_live")
     )
     courses = key_counts(w.training_event_course, [EVENT])
     total = F.col("_live") * F.coalesce("_rows", F.lit(1))
     shares = counted.join(courses, EVENT, "left").select(EVENT, total.alias("_live"))
-    named = part.course_names(numbered(w.training_event_course), w.course, w.course_category)
-    offered = spread_outer(shares, named, [EVENT], hot.courses)
-    main = spread_both(placed, offered, [EVENT], hot.events, hot.courses)
-    main = main.unionByName(_without_id(w.training_event), allowMissingColumns=True)
-    live_rows = F.col("_live")
+
+    # All that is known of an event meets its participants first, so each of their rows is dealt
+    # twice, by event and by person, and not by event once more.
+    links = numbered(w.training_event_course)
+    named = part.course_names(links, w.course, w.course_category)
+    named = padded(named, events, [EVENT], w.training_event_course)
+    offered = spread_join(named, events, [EVENT], hot.courses).join(shares, EVENT, "left")
+    if hot.events is None:
+        offered = dealt_anew(offered, [EVENT])
+    rows = spread_both(people, offered, [EVENT], hot.events, hot.courses)
+    rows = part.by_participant(rows, hot)
+    titled = part.with_profile(rows, profile, hot, "position_title", "org_name", "is_active")
+    main = part.with_site_groups(titled, sites, hot)
+    main = main.unionByName(_timed(_without_id(w.training_event)), allowMissingColumns=True)
+    live_rows = F.coalesce("_live", F.lit(0))
 
     internal = part.is_internal()
-    hours = part.event_hours()
     return main.select(
         F.col(EVENT).alias("event_id"),
         _event_name().alias("training_name"),
@@ -109,8 +118,8 @@ def training_main(
         "start_date",
         "end_date",
         "cancel_date",
-        hours.cast("double").alias("hours"),
-        part.hours_per_person(hours, live_rows).alias("hours_per_person"),
+        "hours",
+        part.hours_per_person(F.col("hours"), live_rows).alias("hours_per_person"),
         F.col("company_id").alias("company"),
         "participant_id",
         part.participant_key(internal).alias("participant_key"),
@@ -123,6 +132,12 @@ def training_main(
     )
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """The hours of each event as one short number, in place of what they come from."""
+    timed = events.withColumn("hours", part.event_hours().cast("double"))
+    return timed.drop("training_duration", "training_duration_unit")
+
+
 def _without_id(events: DataFrame) -> DataFrame:
     """Events without an id: nothing belongs to them, and they count as one event's rows."""
     rows = events.where(F.col(EVENT).isNull()).withColumn("_one", F.lit(1))

@@ -122,3 +122,18 @@ def test_limits_are_arguments(workforce):
     rows = reports["training_main"](workforce).count()
     assert rows > 2000
     assert reports["training_full_details"](workforce, limit=None).count() == rows
+
+
+def test_participations_are_dealt_by_event_and_by_person_only(workforce, spark):
+    """Whole rows cross the network twice, and the narrow ones that are counted twice."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = training.training_main(workforce)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+        )
+        dealt = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", plan)
+        assert sum("participant_name#" in columns for columns in dealt) == 2
+        assert sum("participant_id#" in columns for columns in dealt) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

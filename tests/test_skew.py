@@ -11,6 +11,7 @@ from crewlytics.operators.skew import (
     hot_keys,
     key_counts,
     numbered,
+    padded,
     split_rows,
     spread_both,
     spread_join,
@@ -220,3 +221,41 @@ def test_adaptive_execution_splits_a_hot_event(spark, workforce, tmp_path):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == rows_of(tables.training_uniques(stored))
+
+
+def test_inner_join_with_padded_rows_is_the_left_join(spark):
+    one = spark.createDataFrame([(k, f"n{k}") for k in (0, 1, 1, 2, 3, 3)], "k long, n string")
+    many = spark.createDataFrame([(1, 4), (1, None), (2, 5), (None, 7), (8, 8)], "k long, c int")
+    found = one.join(padded(numbered(many), one, ["k"]), "k").select("k", "n", "c")
+    assert rows_of(found) == rows_of(one.join(many, "k", "left"))
+
+
+def test_adaptive_execution_splits_a_hot_event_of_the_model(spark, workforce, tmp_path):
+    """Both joins of participations and events, that of the counted rows and that of the whole ones."""
+    hot = F.when(F.col("training_event_id") % 2 == 0, 2).otherwise(F.col("training_event_id"))
+    path = str(tmp_path / "participants")
+    w = workforce.training_participant.withColumn("training_event_id", hot)
+    w.repartition(8).write.parquet(path)
+    stored = Workforce(
+        spark, lambda name: spark.read.parquet(path) if name == "training_participant" else getattr(workforce, name)
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.shuffle.partitions": "16",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        report = training.training_main(stored)
+        got = rows_of(report)
+        plan = report._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+        joins = [line for line in plan.split("\n") if "SortMergeJoin(skew=true) [training_event_id" in line]
+        assert len(joins) >= 2
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == rows_of(training.training_main(stored))
